@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+
+_PARTITIONS_PER_STATEMENT = 500
 
 
 @dataclass(frozen=True)
@@ -88,10 +90,31 @@ def ensure_table(spark: SparkSession, table: Table) -> bool:
     return True
 
 
-def publish(spark: SparkSession, table: Table) -> None:
-    """Make files written to the location visible through the catalog."""
-    if table.partitions:
+def partition_spec(table: Table, row: Row) -> str:
+    """``name = 'value', ...`` of one partition, for DDL statements."""
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "null"
+        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{text}'"
+
+    return ", ".join(f"{n} = {literal(row[n])}" for n in table.partition_names)
+
+
+def partitions_of(df: DataFrame, table: Table) -> list[Row]:
+    """Partitions a frame has rows for: table metadata, one row per partition."""
+    return df.select(*table.partition_names).distinct().collect() if table.partitions else []
+
+
+def publish(spark: SparkSession, table: Table, written: Sequence[Row] | None = None) -> None:
+    """Make written files visible through the catalog: the partitions ``written``, or all there are."""
+    if table.partitions and written is None:
         spark.sql(f"ALTER TABLE {table.name} RECOVER PARTITIONS")
+    for start in range(0, len(written or ()), _PARTITIONS_PER_STATEMENT):
+        few = written[start : start + _PARTITIONS_PER_STATEMENT]
+        specs = " ".join(f"PARTITION ({partition_spec(table, row)})" for row in few)
+        spark.sql(f"ALTER TABLE {table.name} ADD IF NOT EXISTS {specs}")
     spark.catalog.refreshTable(table.name)
 
 

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from stopwise.operators.rows import latest_per_key
-from stopwise.sinks.table import Table, conform, ensure_table
+from stopwise.sinks.table import Table, conform, ensure_table, partition_spec, partitions_of
 from stopwise.sinks.write import replace, stage
 
 _MAX_LITERAL_PARTITIONS = 2_000
@@ -63,17 +63,11 @@ def _touched(target: DataFrame, staged: DataFrame, table: Table, stable_partitio
         keys = staged.where(_has_key(table)).select(*table.keys)
         matches = target.select(*table.keys, *names).join(keys, list(table.keys), "left_semi")
         found = found.unionByName(matches.select(*names))
-    return found.distinct().collect()  # one row per partition
+    return partitions_of(found, table)
 
 
 def _drop_partition(spark: SparkSession, table: Table, row: Row) -> None:
-    def literal(value: object) -> str:
-        if value is None:
-            return "null"
-        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-        return f"'{text}'"
-
-    spec = ", ".join(f"{n} = {literal(row[n])}" for n in table.partition_names)
+    spec = partition_spec(table, row)
     nothing = ", ".join(f"cast(null as {kind})" for kind in table.columns.values())
     spark.sql(f"INSERT OVERWRITE TABLE {table.name} PARTITION ({spec}) SELECT {nothing} WHERE false")
     spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS PARTITION ({spec})")
@@ -122,10 +116,9 @@ def upsert(
     affected = target.alias("l").join(F.broadcast(touched_df).alias("r"), _same(names), "left_semi")
     fresh = stage(spark, _kept(affected, staged, table).unionByName(staged), table)
 
-    filled = fresh.select(*names).distinct()
-    emptied = touched_df.alias("l").join(filled.alias("r"), _same(names), "left_anti").collect()
-    replace(spark, table, fresh)
-    for row in emptied:
+    filled = partitions_of(fresh, table)
+    replace(spark, table, fresh, filled)
+    for row in set(touched) - set(filled):
         _drop_partition(spark, table, row)
     return staged
 

@@ -3,7 +3,9 @@ a partition that holds most of the rows is written by many tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 
 from stopwise.session import scratch_dir
 from stopwise.sinks.table import Table, conform, ensure_namespace_of, ensure_table, publish
@@ -25,10 +27,12 @@ def stage(spark: SparkSession, df: DataFrame, table: Table) -> DataFrame:
     return spark.read.schema(table.stored_schema).parquet(path)
 
 
-def replace(spark: SparkSession, table: Table, df: DataFrame) -> None:
+def replace(
+    spark: SparkSession, table: Table, df: DataFrame, written: Sequence[Row] | None = None
+) -> None:
     """Overwrite the partitions ``df`` has rows for (the whole table if it has no partitions)."""
     _writer(df, table, "overwrite").parquet(table.location)
-    publish(spark, table)
+    publish(spark, table, written)
 
 
 def overwrite_partitions(spark: SparkSession, table: Table, df: DataFrame) -> None:
