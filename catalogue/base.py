@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer files than there are cores.
+
+    A test table is one file with one row group, which one task would parse alone. A table of many
+    files is split by its scan and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an instant as time and ``k`` out of the properties. The SQL side reads UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

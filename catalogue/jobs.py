@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalogue.base import EVENTS_SQL, events, query, table
+from catalogue.base import EVENTS_SQL, events, query, spread, table
 from stopwise.plans import (
     line_stops,
     lines_master,
@@ -27,40 +27,30 @@ def arrival_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, part, supp, number = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     seconds = F.make_interval(secs=F.pmod(order * 60 + part, F.lit(86400)))
     quantity = F.col("l_quantity").cast("int")
-    point = F.struct(F.lit("Point").alias("type"), F.array("l_quantity", "l_tax").alias("coordinates"))
+    point = _text('{"type": "Point", "coordinates": [', F.col("l_quantity"), ", ", F.col("l_tax"), "]}")
     head = F.when(F.col("l_returnflag") == "R", "True").otherwise("no")
-    first = F.struct(
-        _text("T", number).alias("line"),
-        _text("S", supp).alias("stop"),
-        head.alias("isHead"),
-        F.col("l_returnflag").alias("destination"),
-        (-number).alias("deviation"),
-        part.alias("bus"),
-        point.alias("geometry"),
-        (quantity * 60).alias("estimateArrive"),
-        F.col("l_quantity").alias("DistanceBus"),
-    )
+    first = _text(
+        '{"line": "T', number, '", "stop": "S', supp, '", "isHead": "', head, '", "destination": "',
+        F.col("l_returnflag"), '", "deviation": ', -number, ', "bus": ', part, ', "geometry": ', point,
+        ', "estimateArrive": ', quantity * 60, ', "DistanceBus": ', F.col("l_quantity"), "}",
+    )
     second = _text('{"bus": "', supp, '", "destination": "x, None, y", "estimateArrive": ', quantity, "}")
-    both = _text("[", F.to_json(first), ", ", second, "]")
     literals = _text("[{'bus': ", part, ", 'isHead': True, 'destination': \"it's, None\", 'deviation': None}]")
     arrive = (
         F.when(number == 1, "[]")
         .when(number == 2, "[{broken")
         .when(number == 3, literals)
         .when(number == 4, F.lit(None))
-        .otherwise(both)
-    )
-    place = F.struct(
-        F.array(_text("T", number), F.lit("T0")).alias("lines"),
-        _text("S", supp).alias("stopId"),
-        _text("Stop ", part).alias("stopName"),
-        point.alias("geometry"),
-        F.col("l_linestatus").alias("Direction"),
+        .otherwise(_text("[", first, ", ", second, "]"))
     )
-    other = F.struct(_text("S", part).alias("stopId"), F.lit("never used").alias("stopName"))
-    info = F.when(number != 5, _text("[", F.to_json(place), ", ", F.to_json(other), "]")).otherwise("[]")
-    return table(spark, sf_dir, "lineitem").select(
-        F.date_format(F.col("l_shipdate").cast("timestamp") + seconds, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+    place = _text(
+        '{"lines": ["T', number, '", "T0"], "stopId": "S', supp, '", "stopName": "Stop ', part,
+        '", "geometry": ', point, ', "Direction": "', F.col("l_linestatus"), '"}',
+    )
+    other = _text('{"stopId": "S', part, '", "stopName": "never used"}')
+    info = F.when(number != 5, _text("[", place, ", ", other, "]")).otherwise("[]")
+    return spread(table(spark, sf_dir, "lineitem")).select(
+        (F.col("l_shipdate").cast("timestamp") + seconds).cast("string").alias("timestamp"),
         arrive.alias("Arrive"),
         info.alias("StopInfo"),
         F.when(F.col("l_returnflag") != "N", _text("S", supp)).alias("stopId"),
@@ -173,7 +163,7 @@ def line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("To ", key % 4).alias("nameB"),
         F.array(day("LA", key % 5), day("SA", key % 3 + 5)).alias("typeOfDays"),
     )
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         F.when(nation % 5 != 0, line).alias("Line"),
         F.when(nation % 4 != 0, F.col("c_mktsegment")).alias("Label"),
         F.to_json(F.array(stop(0, F.col("c_acctbal"), nation / 2), stop(1, F.col("c_acctbal")))).alias("Stops"),
@@ -258,7 +248,7 @@ def weather_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.translate(number.cast("string"), ".", ",")
 
     at = F.date_format("ts", "yyyy-MM-dd HH:mm")
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts_utc"),
         _text("City ", F.col("user_id")).alias("location.name"),

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stopwise.functions.clock import MINUTES_PER_DAY, minute_of_day
 from stopwise.operators.rows import not_null, unpivot_groups
-from stopwise.operators.skew import salted_left_join
-
-_PROFILE_BYTES = 8 * MINUTES_PER_DAY
+from stopwise.operators.skew import lookup_join, measured_bytes
 
 
 def headway_by_window(timetable: DataFrame, wrap_midnight: bool = False) -> DataFrame:
@@ -51,30 +49,28 @@ def headway_by_window(timetable: DataFrame, wrap_midnight: bool = False) -> Data
     )
 
 
-def _by_minute(windows: DataFrame) -> DataFrame:
-    """Best frequency per line, day type and minute: windows are half-open, overlaps take the min."""
+def best_segments(windows: DataFrame) -> DataFrame:
+    """Windows cut into segments that do not overlap: ``(line, day_type, from_min, to_min, freq)``.
+
+    Overlaps take the smallest frequency. Grouping is by minute first, so no group exceeds the 1,440
+    minutes of a day, and ``n`` windows give fewer than ``2 * n`` segments.
+    """
     start = F.greatest(F.col("start_min"), F.lit(0))
     last = F.least(F.col("stop_min"), F.lit(MINUTES_PER_DAY)) - 1
-    return (
+    by_minute = (
         windows.where(F.col("expected_min_freq").isNotNull() & (last >= start))
         .withColumn("minute", F.explode(F.sequence(start, last)))
         .groupBy("line", "day_type", "minute")
         .agg(F.min("expected_min_freq").alias("freq"))
     )
-
-
-def _profiles(windows: DataFrame) -> DataFrame:
-    """One row per line and day type with an array of exactly 1,440 entries, one per minute."""
-    minutes = _by_minute(windows)
-    day = F.explode(F.sequence(F.lit(0), F.lit(MINUTES_PER_DAY - 1)))
-    blank = windows.select("line", "day_type").distinct().withColumn("minute", day)
-    filled = (
-        blank.unionByName(minutes, allowMissingColumns=True)
-        .groupBy("line", "day_type", "minute")
-        .agg(F.min("freq").alias("freq"))
+    # Minutes in a row with one frequency share the difference of minute and rank.
+    run = F.row_number().over(Window.partitionBy("line", "day_type", "freq").orderBy("minute"))
+    return (
+        by_minute.withColumn("run", F.col("minute") - run)
+        .groupBy("line", "day_type", "freq", "run")
+        .agg(F.min("minute").alias("from_min"), (F.max("minute") + 1).alias("to_min"))
+        .drop("run")
     )
-    entries = F.array_sort(F.collect_list(F.struct("minute", "freq")))
-    return filled.groupBy("line", "day_type").agg(entries["freq"].alias("__profile"))
 
 
 def headway_lookup(
@@ -87,15 +83,11 @@ def headway_lookup(
 ) -> DataFrame:
     """Left lookup of the smallest frequency whose window covers ``minute`` (``start <= m < stop``).
 
-    ``facts`` carry ``line`` and ``day_type``. The windows of a line become an array indexed by the
-    minute, so the join has at most one partner per row: no fan-out, and nothing to collapse
-    afterwards. Beyond the broadcast limit the minute becomes part of the join key.
+    ``facts`` carry ``line`` and ``day_type``. A hash join on both with the range as residual: since
+    segments do not overlap, a row has at most one partner and nothing is to be collapsed afterwards.
     """
-    known = windows.where(F.col("line").isNotNull() & F.col("day_type").isNotNull())
-    profiles = known.select("line", "day_type").distinct().count()
-    if profiles * _PROFILE_BYTES <= max_broadcast_bytes:
-        joined = facts.join(F.broadcast(_profiles(known)), ["line", "day_type"], "left")
-        value = F.get(F.col("__profile"), F.col(minute))
-        return joined.select(*facts.columns, value.alias(into))
-    by_minute = _by_minute(known).select("line", "day_type", F.col("minute").alias(minute), F.col("freq").alias(into))
-    return salted_left_join(facts, by_minute, ["line", "day_type", minute], spread_by)
+    small = 2 * measured_bytes(windows) <= max_broadcast_bytes
+    segments = best_segments(windows).withColumnsRenamed({"from_min": "__from", "to_min": "__to", "freq": into})
+    inside = (F.col(f"l.{minute}") >= F.col("r.__from")) & (F.col(f"l.{minute}") < F.col("r.__to"))
+    joined = lookup_join(facts, segments, ["line", "day_type"], spread_by, inside, small)
+    return joined.drop("__from", "__to")

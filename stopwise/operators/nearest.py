@@ -36,11 +36,14 @@ def _one_per_second(observations: DataFrame, obs_ts: str, obs_id: str, slot_minu
     )
 
 
-def _measure(seconds: DataFrame) -> Row:
-    """Rows, slots, rows of the fullest slot and width of the widest row: one job, four numbers."""
+def _measure(observations: DataFrame, obs_ts: str, slot_minutes: int) -> Row:
+    """Bounds from one job: seconds with an observation, slots, seconds of the fullest slot, widest row."""
+    width = sum((field_bytes(f) for f in observations.schema.fields), F.lit(0))
+    seconds = F.least(F.count("*"), F.lit(slot_minutes * 60))
     return (
-        seconds.groupBy("slot")
-        .agg(F.count("*").alias("n"), F.max(field_bytes(seconds.schema["obs"])).alias("width"))
+        observations.where(F.col(obs_ts).isNotNull())
+        .groupBy(slot_number(F.col(obs_ts), slot_minutes))
+        .agg(seconds.alias("n"), F.max(width).alias("width"))
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.count("*").alias("slots"),
@@ -134,7 +137,7 @@ def nearest_join(
         raise ValueError("slots must be whole minutes")
     reach = _reach(window_minutes, slot_minutes, mode)
     seconds = _one_per_second(observations, obs_ts, obs_id, slot_minutes)
-    size = _measure(seconds)
+    size = _measure(observations, obs_ts, slot_minutes)
     # Join cells are slots, or minutes where slots are crowded, so an event meets few pieces.
     cell_seconds = slot_minutes * 60 if size["crowd"] <= _CROWDED_SLOT else FINE_CELL_SECONDS
     borders = size["slots"] * (2 * reach + 1) * (slot_minutes * 60 // cell_seconds)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -41,7 +43,8 @@ def salted_left_join(
     Keys with more than ``rows_per_task`` left rows are split over ``ceil(rows / rows_per_task)``
     salts, chosen by a hash of ``spread_by`` (columns that tell the left rows apart), and the right
     rows of just those keys are repeated per salt. There are at most ``rows / rows_per_task`` such
-    keys, which is what bounds the two broadcasts below.
+    keys, which is what bounds the two broadcasts below. Left rows with a null in the key match
+    nothing and are spread freely.
     """
     hot = (
         left.groupBy(*on)
@@ -49,7 +52,11 @@ def salted_left_join(
         .where(F.col("__n") > rows_per_task)
         .select(*on, F.ceil(F.col("__n") / rows_per_task).cast("bigint").alias("__splits"))
     )
-    spread = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("__splits"), F.lit(1)))
+    matchless = reduce(or_, [F.col(k).isNull() for k in on])
+    number = F.xxhash64(*spread_by)
+    spread = F.when(matchless, number).otherwise(
+        F.pmod(number, F.coalesce(F.col("__splits"), F.lit(1)))
+    )
     salted = left.join(F.broadcast(hot), list(on), "left").withColumn("__salt", spread)
     last_salt = F.coalesce(F.col("__splits"), F.lit(1)) - F.lit(1).cast("bigint")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), last_salt))
