@@ -58,7 +58,8 @@ def best_segments(windows: DataFrame) -> DataFrame:
     start = F.greatest(F.col("start_min"), F.lit(0))
     last = F.least(F.col("stop_min"), F.lit(MINUTES_PER_DAY)) - 1
     by_minute = (
-        windows.where(F.col("expected_min_freq").isNotNull() & (last >= start))
+        windows.transform(not_null, "start_min", "stop_min", "expected_min_freq")
+        .where(last >= start)
         .withColumn("minute", F.explode(F.sequence(start, last)))
         .groupBy("line", "day_type", "minute")
         .agg(F.min("expected_min_freq").alias("freq"))
