@@ -1,16 +1,18 @@
 """Headway, nearest weather, enrichment, roll-up and reports.
 
 Arrivals are the events that are no errors, observations are the errors, and the timetable comes
-from the suppliers: line, day type and two service windows out of their numbers.
+from the suppliers: line, day type and two service windows out of their numbers. Measures that are
+averaged are binary fractions, so their sums do not depend on the order of the rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalogue.base import EVENTS_SQL, events, query, table
+from catalogue.base import EVENTS_SQL, events, new_database, query, table
 from stopwise.config import GoldConfig
 from stopwise.functions import day_type, local_minute
+from stopwise.jobs import build_gold
 from stopwise.operators import band_join, headway_by_window, headway_lookup, nearest_join
 from stopwise.plans import enrich, hourly_rollup, latest_enriched, recent_delay_rates
 
@@ -85,9 +87,9 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.concat(F.lit("w"), F.col("event_id")).alias("id"),
             F.col("ts").alias("obs_ts"),
-            (value / 10).alias("temp_c"),
-            (value / 4).alias("wind_kph"),
-            F.when(k >= 10, k / 200).alias("precip_mm"),
+            (F.floor(value) / 8).alias("temp_c"),
+            (F.floor(value) / 4).alias("wind_kph"),
+            F.when(k >= 10, k * k / 4096).alias("precip_mm"),
             k.alias("humidity"),
             (F.lit(10) - k / 20).alias("vis_km"),
             (k / 10).alias("uv"),
@@ -107,9 +109,9 @@ _ARRIVALS_SQL = f"""
 """
 
 _WEATHER_SQL = f"""
-    (SELECT 'w' || event_id AS obs_id, ts AS obs_ts, value / 10 AS temp_c, value / 4 AS wind_kph,
-            CASE WHEN k >= 10 THEN k / 200.0 END AS precip_mm, 10 - k / 20.0 AS vis_km,
-            'sky ' || k AS condition_text, k, value,
+    (SELECT 'w' || event_id AS obs_id, ts AS obs_ts, floor(value) / 8 AS temp_c, floor(value) / 4 AS wind_kph,
+            CASE WHEN k >= 10 THEN k * k / 4096.0 END AS precip_mm, 10 - k / 20.0 AS vis_km,
+            'sky ' || k AS condition_text, k,
             CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(floor(epoch(ts) / 1800) AS BIGINT) AS slot
      FROM {EVENTS_SQL} e WHERE event_type = 'error')
 """
@@ -131,8 +133,10 @@ _HEADWAY_SQL = f"""
 """
 
 
-@query(f"SELECT id, line, day_type, minute, headway FROM {_HEADWAY_SQL} h")
-def headway_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+_HEADWAY_ROWS_SQL = f"SELECT id, line, day_type, minute, headway FROM {_HEADWAY_SQL} h"
+
+
+def _headway(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int) -> DataFrame:
     facts = arrivals(spark, sf_dir).select(
         "id",
         "line",
@@ -140,7 +144,31 @@ def headway_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         local_minute(F.col("event_ts"), CONFIG.tz).alias("minute"),
     )
     found = headway_by_window(timetable(spark, sf_dir))
-    return headway_lookup(facts, found, "minute", ["id"], CONFIG.max_broadcast_bytes, into="headway")
+    return headway_lookup(facts, found, "minute", ["id"], max_broadcast_bytes, into="headway")
+
+
+@query(_HEADWAY_ROWS_SQL)
+def headway_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headway(spark, sf_dir, CONFIG.max_broadcast_bytes)
+
+
+@query(_HEADWAY_ROWS_SQL)
+def headway_without_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headway(spark, sf_dir, 0)
+
+
+@query(f"""
+    SELECT line, day_type, start_min, stop_min, min(expected_min_freq) AS expected_min_freq FROM (
+        SELECT line, day_type, start_min, stop_min, expected_min_freq FROM {WINDOWS_SQL} w
+        WHERE stop_min >= start_min
+        UNION ALL
+        SELECT line, day_type, start_min, 1440, expected_min_freq FROM {WINDOWS_SQL} w WHERE stop_min < start_min
+        UNION ALL
+        SELECT line, day_type, 0, stop_min, expected_min_freq FROM {WINDOWS_SQL} w WHERE stop_min < start_min) u
+    GROUP BY line, day_type, start_min, stop_min
+""")
+def headway_over_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headway_by_window(timetable(spark, sf_dir), wrap_midnight=True)
 
 
 @query(f"""
@@ -193,6 +221,11 @@ def nearest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, weather(spark, sf_dir))
 
 
+@query(_nearest_sql(_WEATHER_SQL))
+def nearest_without_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, weather(spark, sf_dir), max_broadcast_bytes=0)
+
+
 @query(_nearest_sql(f"(SELECT * FROM {_WEATHER_SQL} q WHERE k < 20)"))
 def nearest_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, weather(spark, sf_dir).where(F.col("humidity") < 20))
@@ -222,20 +255,16 @@ _ENRICHED_SQL = f"""
 """
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(
-        arrivals(spark, sf_dir), timetable(spark, sf_dir), weather(spark, sf_dir), CONFIG, unique_ids=True
-    )
-
-
-@query(f"""
+_FACT_SQL = f"""
     SELECT id, epoch_us(event_ts) AS event_us, line, expected_headway_min, round(delay_ratio, 6) AS delay_ratio,
            delayed, epoch_us(obs_ts) AS obs_us, round(temp_c, 4) AS temp_c, condition_text, weather_severity,
-           weather_adverse, delay_weather_attributed, obs_ts IS NOT NULL AS weather_matched
+           weather_adverse, delay_weather_attributed
     FROM {_ENRICHED_SQL} e
-""")
-def enriched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enriched(spark, sf_dir).select(
+"""
+
+
+def _shown_facts(facts: DataFrame) -> DataFrame:
+    return facts.select(
         "id",
         F.unix_micros("event_ts").alias("event_us"),
         "line",
@@ -248,10 +277,30 @@ def enriched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "weather_severity",
         "weather_adverse",
         "delay_weather_attributed",
-        "weather_matched",
     )
 
 
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(
+        arrivals(spark, sf_dir), timetable(spark, sf_dir), weather(spark, sf_dir), CONFIG, unique_ids=True
+    )
+
+
+@query(_FACT_SQL)
+def enriched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_facts(enriched(spark, sf_dir))
+
+
+@query(_FACT_SQL)
+def gold_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both gold tables are built twice; the second build must change nothing."""
+    database, folder = new_database(spark, "gold")
+    inputs = [f(spark, sf_dir) for f in (arrivals, timetable, weather)]
+    for _ in range(2):
+        facts, _ = build_gold(spark, *inputs, folder, database, CONFIG)
+    return _shown_facts(spark.table(facts.name))
+
+
 _HOURLY_SQL = f"""
     (SELECT date_trunc('hour', event_ts) AS event_hour, line, count(*) AS total_preds,
             count(*) FILTER (WHERE delayed) AS delayed_preds,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogue.base import EVENTS_SQL, events, query, spread, table
+from stopwise.operators import quality_counts
 from stopwise.plans import (
     line_stops,
     lines_master,
@@ -14,6 +15,7 @@ from stopwise.plans import (
     predictions,
     stops,
     timetable,
+    weather_quality,
 )
 
 
@@ -124,6 +126,15 @@ def first_element_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("updated_ts").withColumn("lines", F.array_join("lines", ","))
 
 
+@query("""
+    SELECT count(*) AS rows, count(*) FILTER (WHERE l_linenumber = 2) AS arrive_json_bad,
+           0::BIGINT AS stopinfo_json_bad, 0::BIGINT AS incident_listaincident_data_json_bad
+    FROM lineitem
+""")
+def json_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_counts(parse_arrivals(arrival_documents(spark, sf_dir)))
+
+
 def line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer is one line document; some lack their own line or label."""
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
@@ -295,3 +306,13 @@ def weather_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("air_pm2_5", 4).alias("air_pm2_5"),
         "air_us_epa_index",
     )
+
+
+@query(f"""
+    SELECT count(*) AS rows, count(*) FILTER (WHERE k >= 90) AS temp_c_bad, 0::BIGINT AS humidity_bad,
+           0::BIGINT AS obs_ts_bad
+    FROM {EVENTS_SQL} e
+""", name="weather_quality")
+def weather_cells_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = weather_quality(weather_documents(spark, sf_dir).drop("event_id"))
+    return counts.select("rows", "temp_c_bad", "humidity_bad", "obs_ts_bad")

@@ -113,6 +113,9 @@ def upsert(
     touched_df = spark.createDataFrame(touched, schema)
     if len(touched) <= _MAX_LITERAL_PARTITIONS:  # literals prune the scan at planning time
         target = target.where(reduce(and_, [_among(n, {r[n] for r in touched}) for n in names]))
+        if not target.inputFiles():  # new partitions only, e.g. the next day: nothing to merge with
+            replace(spark, table, staged, touched)
+            return staged
     affected = target.alias("l").join(F.broadcast(touched_df).alias("r"), _same(names), "left_semi")
     fresh = stage(spark, _kept(affected, staged, table).unionByName(staged), table)
 
