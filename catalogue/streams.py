@@ -36,7 +36,7 @@ def _run_live(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     events(spark, sf_dir).select(_message().alias("value")).write.text(f"{folder}/in")
     good = live_weather(folder, database)
     dead = dead_letter_table(f"{database}.dead", f"{folder}/dead")
-    messages = stream_messages(spark, f"{folder}/in", maxFilesPerTrigger="4")
+    messages = stream_messages(spark, f"{folder}/in", maxBytesPerTrigger="256g")
     write_live(messages, good, dead, f"{folder}/checkpoint", _ONCE).awaitTermination()
     return good.name, dead.name
 
@@ -64,7 +64,8 @@ def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT reason, count(*) AS messages, sum(length)::BIGINT AS characters FROM (
         SELECT CASE WHEN k < 10 THEN 'invalid json' ELSE 'not an object' END AS reason,
                CASE WHEN k < 10 THEN 35 + length(CAST(event_id AS VARCHAR))
-                    ELSE length('[{{"last_updated_epoch":,"last_updated":"2024-01-01 00:00","temp_c":,"humidity":"10","condition":{{"text":"","code":10}}}}]')
+                    ELSE length('[{{"last_updated_epoch":,"last_updated":"2024-01-01 00:00","temp_c":,')
+                         + length('"humidity":"10","condition":{{"text":"","code":10}}}}]')
                          + length(CAST(event_id AS VARCHAR)) + length(CAST(value AS VARCHAR)) + length(event_type)
                          + CASE WHEN event_type <> 'click' THEN length('{{"current":}}') ELSE 0 END END AS length
         FROM {EVENTS_SQL} e WHERE k <= 10) d

@@ -8,6 +8,9 @@ from stopwise.sinks.table import Table
 from stopwise.sinks.write import replace, stage
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
+# Rebalancing goes by shuffle bytes, which differ from file bytes. A partition only counts as scattered
+# when its files are this much smaller than the target, so a compacted one is not taken up again.
+_SLACK = 8
 
 
 def data_files(spark: SparkSession, location: str) -> DataFrame:
@@ -24,12 +27,12 @@ def data_files(spark: SparkSession, location: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, table: Table, target_file_bytes: int = TARGET_FILE_BYTES) -> int:
-    """Rewrite the partitions that have more files than their size calls for; returns how many.
+    """Rewrite the partitions whose files are far smaller than the target; returns how many.
 
     Rows are unchanged. Partitions that are already compact are neither read nor written.
     """
-    wanted = F.greatest(F.ceil(F.col("bytes") / target_file_bytes), F.lit(1))
-    scattered = data_files(spark, table.location).where(F.col("files") > wanted)
+    enough = F.ceil(F.col("bytes") * _SLACK / target_file_bytes)
+    scattered = data_files(spark, table.location).where(F.col("files") > enough)
     folders = [r["folder"] for r in scattered.select("folder").collect()]  # one per partition
     if not folders:
         return 0

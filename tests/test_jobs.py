@@ -168,6 +168,15 @@ def test_rollup_of_nothing_and_reports(spark):
     assert recent_delay_rates(hourly, "2025-10-08 00:00:00").count() == 0
 
 
+@pytest.mark.parametrize(("zone", "hours"), [(None, {"22", "23"}), ("Europe/Madrid", {"00", "01"})])
+def test_hour_bucket_zone(spark, zone, hours):
+    times = spark.createDataFrame([("2025-07-01 22:30:00",), ("2025-07-01 23:10:00",)], "event_ts string")
+    columns = {c: F.lit(None).cast(t) for c, t in ARRIVALS_WEATHER.items() if c != "event_ts"}
+    facts = times.withColumns({"event_ts": F.col("event_ts").cast("timestamp"), **columns})
+    got = hourly_rollup(facts, GoldConfig(bucket_tz=zone)).select(F.date_format("event_hour", "HH")).collect()
+    assert {r[0] for r in got} == hours
+
+
 def test_whole_chain_twice(spark, tmp_path):
     mark = uuid.uuid4().hex
     silver, gold = str(tmp_path / "silver"), str(tmp_path / "gold")

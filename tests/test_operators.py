@@ -194,6 +194,17 @@ def test_nearest_in_crowded_slots(spark, limit):
     assert {r.id: r.oid for r in got.collect()} == brute_nearest(events, observations, 60, "slot")
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_nearest_with_hot_seconds(spark, limit):
+    """Thousands of copies of one event second and of one observation second stay linear and whole."""
+    events = times(spark, [(i, 7_200) for i in range(5_000)] + [(9_000 + i, 7_300 + i) for i in range(50)], "id", "t")
+    observed = times(spark, [(i, 7_250) for i in range(5_000, 0, -1)] + [(6_000, 7_330)], "oid", "o")
+    got = nearest_join(events, observed, "t", "o", "oid", ["id"], max_broadcast_bytes=limit)
+    counts = {r.oid: r["count"] for r in got.groupBy("oid").count().collect()}
+    # Seconds 7,300 to 7,349: nearer to 7,330 from 7,291 on.
+    assert counts == {1: 5_000, 6_000: 50}
+
+
 def test_nearest_documented_distances(spark):
     # 61 and 89 minutes lie in the slot window of 60, not in the exact one; 91 in neither.
     events = [(1, 29 * 60 + 36_000)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogue import REGISTRY
 from catalogue.gold import arrivals, timetable, weather
-from stopwise.operators import latest_per_key, nearest_join, unpivot_groups
+from stopwise.operators import latest_per_key, nearest_join
 from stopwise.plans import enrich, parse_arrivals, stops
 
 SF = "/root/testdata/sf0.001"
