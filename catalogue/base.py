@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,17 +13,29 @@ from stopwise.session import scratch_dir
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    sql: str
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def query(sql: str | None, name: str | None = None) -> Callable:
-    """Register the function under ``name`` or its own name."""
+def query(sql: str, name: str | None = None, nullable: Sequence[str] = ()) -> Callable:
+    """Register the function under ``name`` or its own name.
+
+    ``nullable`` names integer columns that hold nulls. Data-frame libraries disagree on the type of
+    those, so both sides hand them out as doubles.
+    """
+    if nullable:
+        casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in nullable)
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql}) q"
 
     def register(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        REGISTRY[name or run.__name__] = Query(run, sql)
+        def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = run(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("double") for c in nullable}) if nullable else df
+
+        registered.__module__ = run.__module__
+        REGISTRY[name or run.__name__] = Query(registered, sql)
         return run
 
     return register

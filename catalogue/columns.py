@@ -62,7 +62,7 @@ def all_string_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(CASE user_id % 4 WHEN 0 THEN trunc(round(value, 2)) WHEN 3 THEN 1500 END AS INTEGER) AS as_int,
            CAST(CASE user_id % 4 WHEN 0 THEN trunc(round(value, 2)) WHEN 3 THEN 1500 END AS BIGINT) AS as_bigint
     FROM {EVENTS_SQL} e
-""")
+""", nullable=("as_int", "as_bigint"))
 def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("value").cast("string")
     text = (
@@ -82,7 +82,7 @@ def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN k END AS number
     FROM {EVENTS_SQL} e
-""")
+""", nullable=("number",))
 def strict_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k").cast("string")
     text = (
@@ -141,7 +141,7 @@ def day_type(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(CASE WHEN event_type NOT IN ('error', 'signup') THEN hour(ts) * 60 + minute(ts) END AS INTEGER)
                AS text_minute
     FROM (SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Madrid' AS l FROM events) e
-""")
+""", nullable=("text_minute",))
 def minute_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (
         F.when(F.col("event_type") == "error", F.date_format("ts", "HH"))

@@ -93,7 +93,7 @@ def unpivot_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR), s_nationkey FROM supplier
     UNION ALL
     SELECT c_custkey, CAST(NULL AS VARCHAR), c_mktsegment, CAST(NULL AS INTEGER) FROM customer
-""")
+""", nullable=("nation",))
 def union_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     return union_with_missing(

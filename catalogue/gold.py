@@ -117,7 +117,7 @@ _WEATHER_SQL = f"""
 """
 
 
-@query(f"SELECT * FROM {WINDOWS_SQL} w", name="headway_by_window")
+@query(f"SELECT * FROM {WINDOWS_SQL} w", name="headway_by_window", nullable=("expected_min_freq",))
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headway_by_window(timetable(spark, sf_dir))
 
@@ -147,12 +147,12 @@ def _headway(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int) -> Data
     return headway_lookup(facts, found, "minute", ["id"], max_broadcast_bytes, into="headway")
 
 
-@query(_HEADWAY_ROWS_SQL)
+@query(_HEADWAY_ROWS_SQL, nullable=("headway",))
 def headway_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headway(spark, sf_dir, CONFIG.max_broadcast_bytes)
 
 
-@query(_HEADWAY_ROWS_SQL)
+@query(_HEADWAY_ROWS_SQL, nullable=("headway",))
 def headway_without_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headway(spark, sf_dir, 0)
 
@@ -166,7 +166,7 @@ def headway_without_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL
         SELECT line, day_type, 0, stop_min, expected_min_freq FROM {WINDOWS_SQL} w WHERE stop_min < start_min) u
     GROUP BY line, day_type, start_min, stop_min
-""")
+""", nullable=("expected_min_freq",))
 def headway_over_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headway_by_window(timetable(spark, sf_dir), wrap_midnight=True)
 
@@ -180,7 +180,7 @@ def headway_over_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
                FROM {_WEATHER_SQL} o GROUP BY slot) s
       ON s.slot BETWEEN a.slot - 2 AND a.slot + 2
     GROUP BY a.id
-""", name="band_join")
+""", name="band_join", nullable=("first_us", "last_us", "total_k"))
 def weather_in_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     observations = weather(spark, sf_dir).withColumn("obs_us", F.unix_micros("obs_ts"))
     measures = {
@@ -286,12 +286,12 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_FACT_SQL)
+@query(_FACT_SQL, nullable=("expected_headway_min", "obs_us"))
 def enriched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_facts(enriched(spark, sf_dir))
 
 
-@query(_FACT_SQL)
+@query(_FACT_SQL, nullable=("expected_headway_min", "obs_us"))
 def gold_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both gold tables are built twice; the second build must change nothing."""
     database, folder = new_database(spark, "gold")

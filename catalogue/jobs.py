@@ -93,7 +93,7 @@ _POLLS_SQL = """
         UNION ALL
         SELECT event_ts, own_line, own_stop, NULL, false, NULL, NULL, NULL, NULL, NULL, NULL
         FROM {_POLLS_SQL} p WHERE l_linenumber IN (1, 2, 4)) u
-""")
+""", nullable=("deviation", "bus", "estimate_arrive_sec", "distance_bus_m"))
 def json_explode_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = predictions(parse_arrivals(arrival_documents(spark, sf_dir)))
     return rows.withColumn("event_us", F.unix_micros("event_ts")).select(
@@ -246,7 +246,7 @@ def point_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
                     UNION ALL
                     SELECT *, NULL, NULL FROM {_ENTRIES_SQL} e WHERE c_nationkey = 7) d) t) r
     WHERE rn = 1
-""")
+""", nullable=("d1_min_freq", "d1_max_freq", "d1_freq", "d2_min_freq", "d2_max_freq", "d2_freq"))
 def nested_two_level_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timetable(parse_lines(line_documents(spark, sf_dir))).drop("ingest_ts")
 

@@ -36,7 +36,7 @@ def _run_live(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     events(spark, sf_dir).select(_message().alias("value")).write.text(f"{folder}/in")
     good = live_weather(folder, database)
     dead = dead_letter_table(f"{database}.dead", f"{folder}/dead")
-    messages = stream_messages(spark, f"{folder}/in", maxBytesPerTrigger="256g")
+    messages = stream_messages(spark, f"{folder}/in", maxBytesPerTrigger=str(256 * 1024**3))
     write_live(messages, good, dead, f"{folder}/checkpoint", _ONCE).awaitTermination()
     return good.name, dead.name
 
