@@ -50,3 +50,19 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, min(last, n)
         first = min(last, n)
+
+
+def fixed(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column whose values all have ``width`` bytes, as rows of bytes."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int64)[column.offset] if len(column) else 0
+    raw = np.frombuffer(data, np.uint8) if data is not None and len(column) else np.empty(0, np.uint8)
+    return raw[first : first + width * len(column)].reshape(-1, width)
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """The reverse of :func:`fixed`."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])

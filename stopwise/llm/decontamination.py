@@ -125,7 +125,7 @@ def _lists(doc: np.ndarray, n_docs: int, values: pa.Array) -> pa.Array:
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of the runs that begin where ``breaks`` is set."""
     first = np.flatnonzero(breaks)
-    return first, np.append(first[1:], len(breaks)) - 1
+    return first, np.append(first[1:], len(breaks))[: len(first)] - 1
 
 
 def described(n_words, window, doc, word, bench: Benchmark) -> list[pa.Array]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stopwise.llm.common import table
 from stopwise.llm.decontamination import decontaminate, digest
 from stopwise.llm.mixing import mix
+from stopwise.llm.near_duplicates import near_duplicates
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,32 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + l - 1], ' ') AS s
+  FROM (SELECT doc_id, w, least(len(w), 4) AS l, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM x JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op4_decontamination": Query(op4_decontamination, OP4_SQL),
     "op6_mixing": Query(op6_mixing),
+    "op9_minhash": Query(op9_minhash, OP9_SQL),
 }
