@@ -11,6 +11,7 @@ from stopwise.llm.common import table
 from stopwise.llm.decontamination import decontaminate, digest
 from stopwise.llm.mixing import mix
 from stopwise.llm.near_duplicates import near_duplicates
+from stopwise.llm.repeats import digest as repeats_digest, remove_repeats
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = rf"""
 WITH RECURSIVE dw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-
+]+') AS w
   FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + l - 1], ' ') AS s
@@ -78,8 +80,13 @@ FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op4_decontamination": Query(op4_decontamination, OP4_SQL),
     "op6_mixing": Query(op6_mixing),
     "op9_minhash": Query(op9_minhash, OP9_SQL),
+    "op10_suffix_array": Query(op10_suffix_array),
 }
