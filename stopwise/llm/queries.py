@@ -11,6 +11,8 @@ from stopwise.llm.common import table
 from stopwise.llm.decontamination import decontaminate, digest
 from stopwise.llm.mixing import mix
 from stopwise.llm.near_duplicates import near_duplicates
+from stopwise.llm.neighbours import nearest
+from stopwise.llm.secret_scan import digest as secrets_digest, scan_secrets
 from stopwise.llm.repeats import digest as repeats_digest, remove_repeats
 
 
@@ -51,10 +53,18 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -86,7 +96,9 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_decontamination": Query(op4_decontamination, OP4_SQL),
+    "op5_cross_polytope": Query(op5_cross_polytope),
     "op6_mixing": Query(op6_mixing),
+    "op8_secrets": Query(op8_secrets),
     "op9_minhash": Query(op9_minhash, OP9_SQL),
     "op10_suffix_array": Query(op10_suffix_array),
 }
