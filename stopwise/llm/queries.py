@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.llm.common import table
+from stopwise.llm.language import label_languages
 from stopwise.llm.decontamination import decontaminate, digest
 from stopwise.llm.mixing import mix
 from stopwise.llm.near_duplicates import near_duplicates
@@ -61,6 +62,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": Query(op4_decontamination, OP4_SQL),
     "op5_cross_polytope": Query(op5_cross_polytope),
     "op6_mixing": Query(op6_mixing),
+    "op7_language": Query(op7_language),
     "op8_secrets": Query(op8_secrets),
     "op9_minhash": Query(op9_minhash, OP9_SQL),
     "op10_suffix_array": Query(op10_suffix_array),
