@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stopwise.llm.common import table
 from stopwise.llm.language import label_languages
@@ -14,6 +14,9 @@ from stopwise.llm.mixing import mix
 from stopwise.llm.near_duplicates import near_duplicates
 from stopwise.llm.neighbours import nearest
 from stopwise.llm.secret_scan import digest as secrets_digest, scan_secrets
+from stopwise.llm.extraction import extract_main_text
+from stopwise.llm.licences import digest as licences_digest, scan_licences
+from stopwise.llm.toxicity import held_out, learn, score_toxicity
 from stopwise.llm.repeats import digest as repeats_digest, remove_repeats
 
 
@@ -23,6 +26,26 @@ class Query:
     sql: str | None = None
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences_digest(scan_licences(table(spark, sf_dir, "documents")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("longest")
 
@@ -100,6 +123,9 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html": Query(op1_html),
+    "op2_toxicity": Query(op2_toxicity),
+    "op3_licences": Query(op3_licences),
     "op4_decontamination": Query(op4_decontamination, OP4_SQL),
     "op5_cross_polytope": Query(op5_cross_polytope),
     "op6_mixing": Query(op6_mixing),
