@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stopwise.session import scratch_dir
 
@@ -29,7 +29,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def release(*done: DataFrame) -> None:
+    """Delete what :func:`staged` wrote for tables that nothing reads any more."""
+    for df in done:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key() -> Column:
+    """Id and text of a row in one: rows that agree in both are one document."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(F.col("text").cast("string")).cast("string"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

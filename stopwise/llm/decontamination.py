@@ -245,6 +245,27 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole, in which no window of any item occurs."""
+    kept = docs
+    at = docs.columns.index("text")
+    for block in blocks(benchmark, block_bytes):
+        kept = kept.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(Benchmark(block, window)), at), docs.schema)
+    return kept
+
+
+def _without(bench, at: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(at))
+            hit = np.zeros(batch.num_rows, bool)
+            for i, j in pieces(offsets):
+                hit[i + shard_matches(data[offsets[i] : offsets[j]], offsets[i : j + 1], bench.value)[2]] = True
+            yield batch.filter(pa.array(~hit))
+
+    return scan
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns the registered query returns, out of :func:`decontaminate`."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])

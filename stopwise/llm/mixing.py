@@ -26,10 +26,10 @@ SEED = 42
 KNAPSACK_WORDS = 1 << 16
 
 
-def sizes(docs: DataFrame, size: Column | None = None) -> DataFrame:
+def sizes(docs: DataFrame, size: Column | None = None, key: str = "long") -> DataFrame:
     counted = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast(key).alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         (counted if size is None else size.cast("long")).alias("size"),
     )
@@ -124,6 +124,7 @@ def mix(
     most: float = MOST,
     seed: int = SEED,
     size: Column | None = None,
+    key: str = "long",
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, epochs, taken`` for every row of ``docs``.
 
@@ -132,9 +133,9 @@ def mix(
     its target. Null or empty texts have size 0 and nothing taken; null sources are one source, after all
     others; a table without words takes nothing; repeated rows are documents of their own, which the hash
     treats alike, so rows equal in id and size on the border are ranked arbitrarily but in the same number.
-    Same rows and seed, same mix.
+    Same rows and seed, same mix. ``key`` is the type of ``doc_id``.
     """
-    sized = staged(sizes(docs, size), "sizes")
+    sized = staged(sizes(docs, size, key), "sizes")
     by_length = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     by_source = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = staged(targets(by_source, weights, share, most), "targets")

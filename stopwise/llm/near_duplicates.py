@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stopwise.llm.common import binary, fixed, pieces, staged, texts, utf8
+from stopwise.llm.common import binary, fixed, pieces, release, row_key, staged, texts, utf8
 from stopwise.llm.components import components
 from stopwise.llm.hashing import NOT_SPACE, lowered, mix, words
 
@@ -73,7 +73,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def shingled(docs: DataFrame, width: int, with_set: bool) -> DataFrame:
-    """``doc_id, n, key`` and the signature, or the set itself."""
+    """``doc_id, mark, n, key`` and the signature, or the set itself; ``mark`` is the row's own key."""
     what = "shingles" if with_set else "signature"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +85,16 @@ def shingled(docs: DataFrame, width: int, with_set: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_key(s) for s in sets], pa.binary()),
                         pa.array(made, pa.binary()),
                     ],
-                    ["doc_id", "n", "key", what],
+                    ["doc_id", "mark", "n", "key", what],
                 )
 
-    return texts(docs).mapInArrow(scan, f"doc_id long, n long, key binary, {what} binary")
+    rows = texts(docs).withColumn("mark", row_key())
+    return rows.mapInArrow(scan, f"doc_id long, mark string, n long, key binary, {what} binary")
 
 
 _PAIR = "a binary, b binary, bound int, tree int, label binary, n long"
@@ -166,7 +168,9 @@ def candidates(classes: DataFrame, trees: list[int], reach: int, percent: int) -
 
     found = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, _PAIR), "neighbours")
     stitched = found.filter("bound IS NOT NULL").groupBy("bound").applyInPandas(across, "a binary, b binary")
-    return found.filter("bound IS NULL").select("a", "b").union(stitched).distinct()
+    pairs = staged(found.filter("bound IS NULL").select("a", "b").union(stitched).distinct(), "pairs")
+    release(found)
+    return pairs
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +192,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, mark, n_shingles, component_id, kept`` for every row of ``docs``; ``mark`` is :func:`row_key`.
 
     Words are what stands between white space, A-Z lowered. ``component_id`` is the smallest ``doc_id``
     reachable over links of at least ``percent`` Jaccard similarity, ``kept`` is that row. Null and empty
@@ -203,8 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     classes = staged(classes, "classes")
     # First one neighbour in a few orders: it joins most of every group, so that of the many candidates of
     # the second pass only those between different components are left to confirm.
-    near = staged(candidates(classes, [0, 1], 1, percent), "near")
-    wide = staged(candidates(classes, list(range(TREES)), NEIGHBOURS, percent), "wide")
+    near = candidates(classes, [0, 1], 1, percent)
+    wide = candidates(classes, list(range(TREES)), NEIGHBOURS, percent)
     named = wide.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = classes.join(named, "key", "left_semi").select(F.col("least").alias("doc_id"), F.col("key").alias("wanted"))
     sources = texts(docs).join(staged(members, "members"), "doc_id").select("doc_id", "text", "wanted")
@@ -221,11 +225,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     placed = staged(placed.withColumn("root", F.coalesce("root", "key")), "placed")
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     owner = staged(placed.join(lowest, "root").select("key", "component_id"), "owners")
-    out = marked.select("doc_id", F.col("n").alias("n_shingles"), "key").join(owner, "key", "left")
+    release(near, wide, sets, rest, placed, classes)
+    out = marked.select("doc_id", "mark", F.col("n").alias("n_shingles"), "key").join(owner, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", component)
     return out.select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 

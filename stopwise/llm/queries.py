@@ -94,7 +94,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).drop("mark")
 
 
 OP9_SQL = rf"""

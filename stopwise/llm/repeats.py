@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stopwise.llm.common import binary, fixed, pieces, staged, texts, utf8
+from stopwise.llm.common import binary, fixed, pieces, release, staged, texts, utf8
 from stopwise.llm.hashing import byte_values, prefix_sums, range_hashes
 from stopwise.session import scratch_dir
 
@@ -223,7 +223,9 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, lead: int = LEAD)
     """``row, first, last``: ranges of starts whose ``length`` bytes start anywhere else as well."""
     found = staged(anchor_rows(numbered, length, lead), "anchors")
     shared = staged(shared_anchors(found, lead), "shared")
+    release(found)
     cut = staged(blocks(shared, numbered, length), "blocks")
+    release(shared)
     hull, core = ["h1", "h2"], ["c1", "c2"]
     one = F.min(F.struct("row", "first", "last", *core)).alias("one")
     hulls = staged(cut.groupBy(*hull).agg(F.count("*").alias("n"), one).filter("n > 1"), "hulls")
@@ -236,9 +238,12 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, lead: int = LEAD)
         partners.select("row", "first", "last", F.lit(0).alias("mine"))
     )
     single = staged(strings(parts, numbered, length), "strings")
+    release(cores, open_cores, unsure)
     twice = staged(single.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter("n > 1").select("s1", "s2"), "twice")
     ends = single.filter("mine = 1").join(twice, ["s1", "s2"], "left_semi")
-    return whole.union(ends.select("row", "first", F.col("first").alias("last")))
+    spans = staged(whole.union(ends.select("row", "first", F.col("first").alias("last"))), "spans")
+    release(cut, hulls, single, twice)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
@@ -251,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = bucketed(texts(docs).withColumn("row", F.monotonically_increasing_id()), "row", n)
-    spans = staged(repeated_spans(numbered, length, lead), "spans")
+    spans = repeated_spans(numbered, length, lead)
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     joined = numbered.join(lists, "row", "left").select("doc_id", "text", "spans")
 

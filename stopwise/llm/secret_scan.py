@@ -153,18 +153,18 @@ def thresholds(tested: DataFrame, rate: float) -> dict[int, int]:
     return {r["band"]: r["step"] for r in fits.groupBy("band").agg(F.max("step").alias("step")).collect()}
 
 
-def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """Rows and columns of ``docs``, with ``secrets`` (``start, kind, end`` by start, then kind; places in code points).
+def scan_secrets(docs: DataFrame, rate: float = RATE, column: str = "secrets") -> DataFrame:
+    """Rows and columns of ``docs``, with ``column``: ``start, kind, end`` by start, then kind; places in code points.
 
     Kinds are numbers of :data:`KINDS`. A random string inside a span of a known form is not given again.
     A null or empty text has none; texts are read whole; rows that repeat give the same spans. A column
-    called ``secrets`` (or one of the two working columns, ``_base`` and ``_tested``) is replaced.
+    of that name (or of the working columns, ``_base``, ``_coded`` and ``_tested``) is replaced.
     """
-    seen = staged(scanned(docs.drop("secrets", "_base", "_tested")), "scanned")
+    seen = staged(scanned(docs.drop(column, "_base", "_coded", "_tested")), "scanned")
     limits = thresholds(seen, rate)
     held = F.filter("_tested", lambda t: t["step"] > _limit(t["band"], limits))
     added = _marked(held, KINDS.index("random"))
-    return seen.withColumn("secrets", F.array_sort(F.concat("_base", added))).drop("_base", "_tested")
+    return seen.withColumn(column, F.array_sort(F.concat("_base", added))).drop("_base", "_tested")
 
 
 def _limit(band: Column, limits: dict[int, int]) -> Column:

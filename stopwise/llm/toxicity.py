@@ -274,14 +274,14 @@ def score_batches(network: WindowNetwork | None, data: np.ndarray, offsets: np.n
     return out
 
 
-def score_toxicity(docs: DataFrame, network: WindowNetwork | None) -> DataFrame:
-    """Rows and columns of ``docs`` with ``toxicity`` (0 to 1).
+def score_toxicity(docs: DataFrame, network: WindowNetwork | None, column: str = "toxicity") -> DataFrame:
+    """Rows and columns of ``docs`` with the score (0 to 1) as ``column``.
 
     Null and empty texts, and texts without a word, score 0, as does everything where nothing could be
-    learned. A column called ``toxicity`` is replaced. Equal texts get equal scores.
+    learned. A column of that name is replaced. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    plain = docs.drop("toxicity")
+    plain = docs.drop(column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
     at = plain.columns.index("text")
 
@@ -292,10 +292,10 @@ def score_toxicity(docs: DataFrame, network: WindowNetwork | None) -> DataFrame:
                 score_batches(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for i, j in pieces(offsets)
             ]
-            column = pa.array(np.clip(np.concatenate([np.empty(0), *scores]), 0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "toxicity"])
+            score = pa.array(np.clip(np.concatenate([np.empty(0), *scores]), 0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, column])
 
-    return plain.mapInArrow(scan, f"{schema}, toxicity double")
+    return plain.mapInArrow(scan, f"{schema}, `{column}` double")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> WindowNetwork | None:
