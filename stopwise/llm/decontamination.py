@@ -60,7 +60,7 @@ def wide(numbers: np.ndarray, start: np.ndarray, length: np.ndarray, window: int
     at = np.arange(-(-window // _EACH) * _EACH)
     index = np.minimum(start[:, None] + at, max(len(numbers) - 1, 0))
     taken = np.where(at < length[:, None], numbers[index] if len(numbers) else 0, pad).astype(np.uint64)
-    columns = taken.reshape(len(start), -1, _EACH)
+    columns = taken.reshape(len(start), len(at) // _EACH, _EACH)
     shifts = np.array([_BITS, 0], np.uint64)
     return (columns << shifts).sum(axis=2, dtype=np.uint64)
 

@@ -29,6 +29,7 @@ GRAMS = (4, 5, 6, 8)
 TOXIC, CLEAN, VOCABULARY, EVIDENCE = 800, 2000, 4_000, 20.0
 TOXIC_SHARE = 0.3  # of the loss
 FIRST_EPOCHS, FIRST_WINDOWS, LATER_EPOCHS, WORST, BATCH, RATE, SEED = 2, 8, 6, 2, 256, 0.02, 3
+LEAST_STEPS = 40  # of an epoch
 
 # What stands between white space and ASCII punctuation.
 WORD = np.zeros(256, bool)
@@ -234,7 +235,7 @@ def train(sample: list[tuple[int, str]], seed: int = SEED) -> WindowNetwork | No
             rank = np.arange(len(by)) - np.searchsorted(doc[by], doc[by])
             use, weight = by[rank < np.where(label[by] == 1, 1, WORST)], even
         use = rng.permutation(use)
-        batches = np.array_split(use, max(1, len(use) // BATCH))
+        batches = np.array_split(use, max(min(LEAST_STEPS, len(use)), len(use) // BATCH))
         for part in batches:
             inside, back = np.unique(window[part], return_inverse=True)
             real = inside[inside >= 0]
