@@ -31,6 +31,8 @@ TOXIC_SHARE = 0.3  # of the loss
 FIRST_EPOCHS, FIRST_WINDOWS, LATER_EPOCHS, WORST, BATCH, RATE, SEED = 2, 8, 6, 2, 256, 0.02, 3
 LEAST_STEPS = 40  # of an epoch
 
+SMALL = 256 << 10  # bytes of the sample worked on at once
+
 # What stands between white space and ASCII punctuation.
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -186,40 +188,79 @@ def likelihood_ratio(bad: np.ndarray, n: np.ndarray, toxic: int, documents: int)
     return total
 
 
+def chosen_features(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The features that surely go with a label, by the documents that have them; piece by piece."""
+    names = n = bad = None
+    for i, j in pieces(offsets, SMALL):
+        tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        doc = np.repeat(np.arange(j - i), tokens.count)
+        known = np.unique(tokens.of.astype(np.int64) * (j - i) + doc)  # words with the documents they are in
+        order = np.argsort(tokens.word, kind="stable")
+        begin = np.searchsorted(tokens.word[order], known // (j - i))
+        many = np.searchsorted(tokens.word[order], known // (j - i), "right") - begin
+        of = np.repeat(np.arange(len(known)), many)
+        at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        found, place = np.unique(tokens.feature[order[at]], return_inverse=True)
+        pairs = np.unique(place.astype(np.int64) * (j - i) + (known % (j - i))[of])
+        feature = pairs // (j - i)
+        here = np.bincount(feature, minlength=len(found))
+        here_bad = np.bincount(feature, toxic[i + pairs % (j - i)], len(found))
+        if names is None:
+            names, n, bad = found, here, here_bad
+        else:
+            whole, place = np.unique(np.concatenate([names, found]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n, here]), len(whole))
+            bad = np.bincount(place, np.concatenate([bad, here_bad]), len(whole))
+            names = whole
+    evidence = likelihood_ratio(bad, n, int(toxic.sum()), len(toxic))
+    enough = np.flatnonzero(evidence >= EVIDENCE)
+    return np.sort(names[enough[np.argsort(-evidence[enough], kind="stable")][:VOCABULARY]])
+
+
+def gathered(network: WindowNetwork, data: np.ndarray, offsets: np.ndarray):
+    """Each different window of a document once, with its share of the document's windows.
+
+    Words with a feature are numbered from 1, word 0 stands for all others, -1 fills up. Also returned are
+    the features of the words (row of the vocabulary and word, by word) and the number of words.
+    """
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    top = 1
+    for i, j in pieces(offsets, SMALL):
+        tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        doc, window = tokens.windows()
+        if not len(doc):
+            continue
+        row, word = network.known(tokens)
+        has = np.unique(word)
+        number = np.zeros(int(tokens.of.max()) + 2, np.int64)
+        number[has] = top + np.arange(len(has))
+        number[-1] = -1
+        top += len(has)
+        plain = number[window]
+        code = (mix(plain.astype(np.uint64)) @ _PLACES).view(np.int64)
+        by = np.lexsort((code, doc))
+        new = np.ones(len(by), bool)
+        new[1:] = (doc[by][1:] != doc[by][:-1]) | (code[by][1:] != code[by][:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(by)))
+        first = by[first]
+        order = np.argsort(word, kind="stable")
+        for k, part in enumerate(
+            (doc[first] + i, plain[first], times / np.bincount(doc)[doc[first]], row[order], number[word[order]])
+        ):
+            out[k].append(part)
+    return *(np.concatenate(x) for x in out), top
+
+
 def train(sample: list[tuple[int, str]], seed: int = SEED) -> WindowNetwork | None:
     if len({toxic for toxic, _ in sample}) < 2:
         return None
     rng = np.random.default_rng(seed)
     data, offsets = utf8(pa.array([t for _, t in sample], pa.string()))
     toxic = np.array([x for x, _ in sample])
-    tokens = Tokens(data, offsets)
-    # the features that surely go with a label, by the documents that have them
-    word_doc = np.unique(np.stack([tokens.of, np.repeat(np.arange(len(sample)), tokens.count)]), axis=1)
-    order = np.argsort(tokens.word, kind="stable")
-    many = np.bincount(tokens.word, minlength=int(tokens.of.max()) + 1)
-    begin = np.cumsum(many) - many
-    of = np.repeat(np.arange(word_doc.shape[1]), many[word_doc[0]])
-    inside = np.arange(len(of)) - np.repeat(np.cumsum(many[word_doc[0]]) - many[word_doc[0]], many[word_doc[0]])
-    feature = tokens.feature[order[begin[word_doc[0]][of] + inside]]
-    names, at = np.unique(feature, return_inverse=True)
-    pairs = np.unique(at.astype(np.int64) * len(sample) + word_doc[1][of])
-    feature, doc = pairs // len(sample), pairs % len(sample)
-    n = np.bincount(feature, minlength=len(names))
-    bad = np.bincount(feature, toxic[doc], len(names))
-    evidence = likelihood_ratio(bad, n, int(toxic.sum()), len(toxic))
-    enough = np.flatnonzero(evidence >= EVIDENCE)
-    enough = enough[np.argsort(-evidence[enough], kind="stable")][:VOCABULARY]
-    network = WindowNetwork(np.sort(names[enough]), seed)
-    row, word = network.known(tokens)
-    by_word = np.argsort(word, kind="stable")
-    row, word = row[by_word], word[by_word]
-    n_words = int(tokens.of.max()) + 1
-    ends = np.searchsorted(word, np.arange(n_words + 2))
-    doc, window = tokens.windows()
-    plain, same = distinct(window, word, n_words)
-    # each different window of a document once, with its share of the document's windows as weight
-    _, first, times = np.unique(np.stack([same, doc]), axis=1, return_index=True, return_counts=True)
-    doc, window, share = doc[first], plain[same[first]], times / np.bincount(doc)[doc[first]]
+    network = WindowNetwork(chosen_features(data, offsets, toxic), seed)
+    doc, window, share, row, word, n_words = gathered(network, data, offsets)
+    ends = np.searchsorted(word, np.arange(n_words + 1))
     label = toxic[doc].astype(np.float32)
     even = np.where(label == 1, TOXIC_SHARE / max(1, toxic.sum()), (1 - TOXIC_SHARE) / max(1, (1 - toxic).sum()))
     rule = Adam(network.p, RATE)
@@ -238,12 +279,13 @@ def train(sample: list[tuple[int, str]], seed: int = SEED) -> WindowNetwork | No
         batches = np.array_split(use, max(min(LEAST_STEPS, len(use)), len(use) // BATCH))
         for part in batches:
             inside, back = np.unique(window[part], return_inverse=True)
-            real = inside[inside >= 0]
-            local = back.reshape(window[part].shape) - (len(inside) - len(real))
+            real = inside[inside >= 1]
+            local = np.where(inside >= 1, np.arange(len(inside)) - (len(inside) - len(real)), np.where(inside == 0, len(real), -1))
+            local = local[back].reshape(window[part].shape)
             own = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in real])
             to = np.repeat(np.arange(len(real)), (ends[1:] - ends[:-1])[real])
             scaled = (weight[part] * len(batches)).astype(np.float32)
-            rule.update(network.gradients(row[own], to, np.maximum(local, -1), label[part], scaled))
+            rule.update(network.gradients(row[own], to, local, label[part], scaled))
     return network
 
 
