@@ -249,6 +249,8 @@ def gathered(network: WindowNetwork, data: np.ndarray, offsets: np.ndarray):
             (doc[first] + i, plain[first], times / np.bincount(doc)[doc[first]], row[order], number[word[order]])
         ):
             out[k].append(part)
+    if not out[0]:
+        out = [[np.empty(0, np.int64)], [np.empty((0, WINDOW), np.int64)], [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
     return *(np.concatenate(x) for x in out), top
 
 
@@ -282,7 +284,7 @@ def train(sample: list[tuple[int, str]], seed: int = SEED) -> WindowNetwork | No
             real = inside[inside >= 1]
             local = np.where(inside >= 1, np.arange(len(inside)) - (len(inside) - len(real)), np.where(inside == 0, len(real), -1))
             local = local[back].reshape(window[part].shape)
-            own = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in real])
+            own = np.concatenate([np.empty(0, np.int64), *(np.arange(ends[w], ends[w + 1]) for w in real)])
             to = np.repeat(np.arange(len(real)), (ends[1:] - ends[:-1])[real])
             scaled = (weight[part] * len(batches)).astype(np.float32)
             rule.update(network.gradients(row[own], to, local, label[part], scaled))
