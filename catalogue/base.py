@@ -31,6 +31,7 @@ def query(sql: str, name: str | None = None, nullable: Sequence[str] = ()) -> Ca
 
     def register(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # as the SQL side reads times
             df = run(spark, sf_dir)
             return df.withColumns({c: F.col(c).cast("double") for c in nullable}) if nullable else df
 
@@ -45,19 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer files than there are cores.
-
-    A test table is one file with one row group, which one task would parse alone. A table of many
-    files is split by its scan and is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with an instant as time and ``k`` out of the properties. The SQL side reads UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Events with an instant as time, and ``k`` out of the properties."""
     return table(spark, sf_dir, "events").withColumns(
         {
             "ts": F.col("ts").cast("timestamp"),
@@ -77,3 +67,10 @@ def new_database(spark: SparkSession, label: str) -> tuple[str, str]:
     """``(database, folder)`` that no other call uses."""
     folder = scratch_dir(spark, label)
     return folder.rsplit("/", 1)[1].replace("-", "_"), folder
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Written and read back, so that nothing of it is computed later, under other settings."""
+    path = scratch_dir(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

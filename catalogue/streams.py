@@ -36,7 +36,7 @@ def _run_live(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     events(spark, sf_dir).select(_message().alias("value")).write.text(f"{folder}/in")
     good = live_weather(folder, database)
     dead = dead_letter_table(f"{database}.dead", f"{folder}/dead")
-    messages = stream_messages(spark, f"{folder}/in", maxBytesPerTrigger=str(256 * 1024**3))
+    messages = stream_messages(spark, f"{folder}/in")
     write_live(messages, good, dead, f"{folder}/checkpoint", _ONCE).awaitTermination()
     return good.name, dead.name
 
@@ -74,7 +74,7 @@ def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dead = _run_live(spark, sf_dir)
     return spark.table(dead).groupBy("reason").agg(
-        F.count("*").alias("messages"), F.sum(F.length("value")).alias("characters")
+        F.count("*").alias("messages"), F.sum(F.length(F.col("value").cast("string"))).alias("characters")
     )
 
 
@@ -96,6 +96,25 @@ def live_as_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+    SELECT count(*) AS rows, count(DISTINCT event_id) AS messages, 2 AS sinks FROM {EVENTS_SQL} e WHERE k > 10
+""")
+def stream_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries with checkpoints of their own fill one pair of tables; neither loses a row."""
+    database, folder = new_database(spark, "two")
+    good, dead = live_weather(folder, database), dead_letter_table(f"{database}.dead", f"{folder}/dead")
+    for part in (0, 1):
+        rows = events(spark, sf_dir).where(F.pmod("event_id", F.lit(2)) == part)
+        rows.select(_message().alias("value")).write.text(f"{folder}/in{part}")
+        messages = stream_messages(spark, f"{folder}/in{part}")
+        write_live(messages, good, dead, f"{folder}/checkpoint{part}", _ONCE).awaitTermination()
+    return spark.table(good.name).agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("ts_epoch").alias("messages"),
+        F.countDistinct("sink").cast("int").alias("sinks"),
+    )
+
+
 _FOLDERS = {"click": "arrivals/2024", "view": "lines/a b+c", "error": "meteorology", "signup": "unknown"}
 
 

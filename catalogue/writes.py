@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalogue.base import events, new_database, query, table
+from catalogue.base import events, new_database, query, scratch, table
 from stopwise.sinks import (
+    Partition,
     Table,
     append,
     compact,
@@ -82,6 +83,37 @@ def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(scan(spark, target, between=("ts", "2024-01-10 06:00:00", "2024-01-12 18:00:00")))
 
 
+@query(f"{_SHOWN_SQL} WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00'")
+def pruned_scan_other_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in one session zone, written again and scanned in another; keys, partitions and bounds are instants."""
+    target = _events_table(spark, "zones", hour_partition("ts", "hour_key"))
+    rows = scratch(events(spark, sf_dir).select(*_EVENT_COLUMNS))
+    first, last = (F.lit(f"2024-01-{d}Z").cast("timestamp") for d in ("10 06:00:00", "12 18:00:00"))
+    try:
+        for zone in ("Europe/Madrid", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            upsert(spark, target, rows, stable_partitions=True)
+        return scratch(_shown(scan(spark, target, between=("ts", first, last))))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@query("""
+    SELECT event_id, epoch_us(ts) AS ts_us, event_type,
+           round(CASE WHEN event_type = 'click' THEN -value ELSE value END, 2) AS value
+    FROM events
+""")
+def upsert_many_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of partitions are touched, one for each day and remainder of the id."""
+    by_id = Partition("part", "bigint", "event_id", lambda c: F.pmod(c, F.lit(97)), monotone=False)
+    target = _events_table(spark, "many", by_id)
+    rows = events(spark, sf_dir).select(*_EVENT_COLUMNS)
+    overwrite_partitions(spark, target, rows)
+    changed = rows.where(F.col("event_type") == "click").withColumn("value", -F.col("value"))
+    upsert(spark, target, changed)
+    return _shown(spark.table(target.name))
+
+
 @query("""
     SELECT event_id, epoch_us(ts) AS ts_us, event_type,
            round(CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN -value ELSE value END, 2) AS value
@@ -111,6 +143,8 @@ def compacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer
     UNION ALL
     SELECT c_custkey, CAST(NULL AS VARCHAR), c_mktsegment, round(c_acctbal, 2) FROM customer
+    UNION ALL
+    SELECT c_custkey + 1000000000, c_name, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM customer
 """)
 def append_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     database, folder = new_database(spark, "drift")
@@ -118,7 +152,8 @@ def append_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = Table(f"{database}.customers", f"{folder}/customers", {"key": "bigint", "name": "string"})
     target = append(spark, target, customer.selectExpr("c_custkey AS key", "c_name AS name"))
     wider = customer.selectExpr("c_mktsegment AS segment", "c_custkey AS key", "round(c_acctbal, 2) AS balance")
-    append(spark, target, wider)
+    target = append(spark, target, wider)
+    append(spark, target, customer.selectExpr("c_custkey + 1000000000 AS KEY", "c_name AS Name"))  # another case
     return spark.table(target.name)
 
 
@@ -146,7 +181,6 @@ def upsert_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT epoch_us(event_hour) AS hour_us, line,
            CASE WHEN line IN ('click', 'error') THEN 10 * n ELSE n END AS n
     FROM (SELECT date_trunc('hour', ts) AS event_hour, event_type AS line, count(*) AS n FROM events GROUP BY 1, 2) h
-    WHERE line <> 'view'
     UNION ALL
     SELECT epoch_us(date_trunc('hour', ts)), 'any', count(*) FROM events GROUP BY 1
 """)
@@ -158,7 +192,7 @@ def upsert_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = events(spark, sf_dir).withColumn("event_hour", F.date_trunc("hour", "ts"))
     hourly = rows.groupBy("event_hour", F.col("event_type").alias("line")).agg(F.count("*").alias("n"))
-    overwrite_partitions(spark, target, hourly.where(F.col("line") != "view"))
+    overwrite_partitions(spark, target, hourly)
     changed = hourly.where(F.col("line").isin("click", "error")).withColumn("n", F.col("n") * 10)
     every = rows.groupBy("event_hour").agg(F.count("*").alias("n")).withColumn("line", F.lit("any"))
     upsert(spark, target, changed.unionByName(every), stable_partitions=True)

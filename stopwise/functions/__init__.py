@@ -7,6 +7,9 @@ from stopwise.functions.clock import (
     minute_of_day,
     naive_to_instant,
     time_slot,
+    utc_date,
+    utc_hour_key,
+    utc_text,
 )
 from stopwise.functions.delay import attributed, delay_ratio, delayed
 from stopwise.functions.geo import lat, lon
@@ -42,4 +45,7 @@ __all__ = [
     "severity",
     "strict_int",
     "time_slot",
+    "utc_date",
+    "utc_hour_key",
+    "utc_text",
 ]

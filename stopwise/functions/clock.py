@@ -56,3 +56,27 @@ def naive_to_instant(text: Column, source_tz: str | None = None) -> Column:
     """Timestamp text without zone, read on the wall clock of ``source_tz`` or of the session."""
     parsed = text.try_cast("timestamp")
     return parsed if source_tz is None else F.to_utc_timestamp(parsed, source_tz)
+
+
+def utc_date(ts: Column) -> Column:
+    """Date of an instant in UTC, whatever the session zone is."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86_400)).cast("int"))
+
+
+def utc_hour_key(ts: Column) -> Column:
+    """``yyyy-MM-dd-HH`` of an instant in UTC."""
+    hour = F.floor(F.pmod(F.unix_seconds(ts), F.lit(86_400)) / 3_600).cast("string")
+    return F.concat(utc_date(ts).cast("string"), F.lit("-"), F.lpad(hour, 2, "0"))
+
+
+def utc_text(ts: Column) -> Column:
+    """An instant as text in UTC, as a cast to text gives it there: no zeros at the end of a fraction."""
+    second = F.pmod(F.unix_seconds(ts), F.lit(86_400))
+    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    whole = F.concat(
+        utc_date(ts).cast("string"), F.lit(" "), two(second / 3_600), F.lit(":"), two(F.pmod(second, F.lit(3_600)) / 60),
+        F.lit(":"), two(F.pmod(second, F.lit(60))),
+    )
+    fraction = F.rtrim(F.lpad(micros.cast("string"), 6, "0"), F.lit("0"))
+    return F.when(micros == 0, whole).otherwise(F.concat(whole, F.lit("."), fraction))

@@ -47,7 +47,7 @@ def bool_text(text: Column) -> Column:
 
 
 def hash_key(columns: Sequence[Column], null_safe: bool = True) -> Column:
-    """SHA-256 over the columns as text.
+    """SHA-256 over the columns as text. Give instants as ``utc_text``, which no session zone changes.
 
     ``null_safe`` keeps a null as an empty part, so ``(a, null, b)`` and ``(a, b, null)`` differ.
     Without it nulls are left out, as plain ``concat_ws`` does.

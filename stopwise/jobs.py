@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stopwise.config import GoldConfig
+from stopwise.functions import utc_date, utc_hour_key
+from stopwise.operators import latest_per_key
 from stopwise.plans import enrich, hourly_rollup, ingest_arrivals, ingest_lines, parse_weather, tables
-from stopwise.sinks import Table, compact, full_refresh, upsert
+from stopwise.sinks import Table, compact, full_refresh, merge_into, upsert
+from stopwise.sinks.write import discard
+from stopwise.streaming.live import observations_from_live
+
+METHODS = ("rewrite", "merge")
+
+
+def _store(
+    spark: SparkSession, table: Table, df: DataFrame, method: str, latest_by: Sequence[Column] = (), **rules: bool
+) -> DataFrame:
+    """Upsert by rewriting touched partitions, or by MERGE where the catalog has row-level operations.
+
+    Returns the rows as written, to be discarded by the caller, or for a MERGE the rows themselves.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    if method == "merge":
+        df = latest_per_key(df, list(table.keys), latest_by) if latest_by else df
+        merge_into(table.name, df, table.keys)
+        return df
+    return upsert(spark, table, df, "latest" if latest_by else "error", latest_by, **rules)
+
+
+def _store_and_discard(spark: SparkSession, table: Table, df: DataFrame, method: str, *args, **rules: bool) -> None:
+    written = _store(spark, table, df, method, *args, **rules)
+    if method == "rewrite":
+        discard(spark, written)
 
 
 def load_arrivals(
-    spark: SparkSession, raw: DataFrame, warehouse: str, db: str, source_tz: str | None = None
+    spark: SparkSession, raw: DataFrame, warehouse: str, db: str, source_tz: str | None = None, method: str = "rewrite"
 ) -> None:
     """Predictions and stops. Loading the same documents again changes nothing but the load time."""
     frames = ingest_arrivals(raw, source_tz)
     predictions = tables.arrivals_predictions(warehouse, db)
     # The key is made of the event time and the line, so a key never changes partition.
-    upsert(spark, predictions, frames["arrivals_predictions"], on_duplicate="latest", stable_partitions=True)
-    upsert(spark, tables.stops(warehouse, db), frames["stops"])
+    latest = [F.col("ingest_ts").desc()]
+    _store_and_discard(spark, predictions, frames["arrivals_predictions"], method, latest, stable_partitions=True)
+    _store_and_discard(spark, tables.stops(warehouse, db), frames["stops"], method)
 
 
 def load_lines(spark: SparkSession, raw: DataFrame, warehouse: str, db: str) -> None:
@@ -27,10 +58,18 @@ def load_lines(spark: SparkSession, raw: DataFrame, warehouse: str, db: str) ->
 
 
 def load_weather(
-    spark: SparkSession, raw: DataFrame, warehouse: str, db: str, source_tz: str | None = None
+    spark: SparkSession, raw: DataFrame, warehouse: str, db: str, source_tz: str | None = None, method: str = "rewrite"
 ) -> None:
     target = tables.meteorology_current(warehouse, db)
-    upsert(spark, target, parse_weather(raw, source_tz), on_duplicate="latest", stable_partitions=True)
+    latest = [F.col("ingest_ts").desc()]
+    _store_and_discard(spark, target, parse_weather(raw, source_tz), method, latest, stable_partitions=True)
+
+
+def load_live(spark: SparkSession, live: DataFrame, warehouse: str, db: str, method: str = "rewrite") -> None:
+    """Rows of the live table into the observations, where the gold build finds them."""
+    target = tables.meteorology_current(warehouse, db)
+    latest = [F.col("ingest_ts").desc()]
+    _store_and_discard(spark, target, observations_from_live(live), method, latest, stable_partitions=True)
 
 
 def build_gold(
@@ -42,15 +81,33 @@ def build_gold(
     db: str,
     config: GoldConfig = GoldConfig(),
     unique_ids: bool = True,
+    between: tuple[str, str] | None = None,
 ) -> tuple[Table, Table]:
     """Enriched arrivals and hourly roll-up, then compaction of both.
 
-    The enrichment runs once: the roll-up reads what the first upsert has written to scratch.
+    The enrichment runs once: the roll-up reads what the first upsert has written to scratch. ``between``
+    are two instants as text, from and before: only arrivals in that range are built, with the weather
+    around it. Both should be full hours, since an hour of the roll-up is replaced as a whole.
     """
     facts, hourly = tables.arrivals_weather(warehouse, db), tables.delay_weather_hourly(warehouse, db)
+    if between is not None:
+        start, stop = (F.lit(x).cast("timestamp") for x in between)
+        reach = F.make_interval(mins=F.lit(config.weather_window_minutes + 2 * config.slot_minutes))
+        arrivals = arrivals.where((F.col("event_ts") >= start) & (F.col("event_ts") < stop))
+        weather = weather.where(F.col("obs_ts").between(start - reach, stop + reach))
+        arrivals = _bounded(arrivals, "event_date", utc_date(start), utc_date(stop))
+        weather = _bounded(weather, "obs_hour", utc_hour_key(start - reach), utc_hour_key(stop + reach))
     enriched = enrich(arrivals, timetable, weather, config, unique_ids=unique_ids)
     written = upsert(spark, facts, enriched, stable_partitions=True)
-    upsert(spark, hourly, hourly_rollup(written, config), stable_partitions=True)
+    # a null line is a group of the roll-up like any other, and is replaced like any other
+    rolled = upsert(spark, hourly, hourly_rollup(written, config), stable_partitions=True, null_safe=True)
+    for staged in (written, rolled):
+        discard(spark, staged)
     for table in (facts, hourly):
         compact(spark, table)
     return facts, hourly
+
+
+def _bounded(df: DataFrame, partition: str, low: Column, high: Column) -> DataFrame:
+    """Bounds on the partition column too, where the input is a table that has it."""
+    return df.where(F.col(partition).between(low, high)) if partition in df.columns else df

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import ast
-import json
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -43,17 +40,35 @@ def optional_column(df: DataFrame, name: str, data_type: T.DataType | str) -> Co
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(data_type)
 
 
-@F.pandas_udf(T.StringType())
-def _literal_to_json(text: pd.Series) -> pd.Series:
-    def convert(value: str | None) -> str | None:
-        if value is None:
-            return None
-        try:
-            return json.dumps(ast.literal_eval(value))
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
+# A quoted string of either kind, or what stands between two of them. Possessive, so a long cell costs no stack.
+_TOKEN = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++"""
+_ESCAPED = r"(?<!\\)((?:\\\\)*+)\\"  # an escaping backslash, after any number of escaped ones
 
-    return text.map(convert, na_action="ignore")
+
+def _json_string(token: Column) -> Column:
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    plain = F.regexp_replace(inner, _ESCAPED + "'", "$1'")
+    hexed = F.regexp_replace(plain, _ESCAPED + "x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    quoted = F.when(token.startswith("'"), F.regexp_replace(hexed, r'(?<!\\)((?:\\\\)*+)"', r'$1\\"')).otherwise(hexed)
+    return F.concat(F.lit('"'), quoted, F.lit('"'))
+
+
+def _json_bare(token: Column) -> Column:
+    for literal, value in (("None", "null"), ("True", "true"), ("False", "false")):
+        token = F.regexp_replace(token, rf"\b{literal}\b", value)
+    return F.regexp_replace(token, r",(\s*[\]}])", "$1")
+
+
+def literal_to_json(text: Column) -> Column:
+    """A Python literal of lists, dictionaries, strings, numbers, ``None`` and booleans as JSON text.
+
+    Strings are taken out whole first, so a name inside one is never touched. Text that is no such literal
+    comes out as no JSON either. Built-in functions only.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(
+        F.transform(tokens, lambda t: F.when(t.startswith("'") | t.startswith('"'), _json_string(t)).otherwise(_json_bare(t))), ""
+    )
 
 
 def parse_json_array(
@@ -62,8 +77,7 @@ def parse_json_array(
     """Parse a text column holding a JSON array of ``items`` (a DDL type).
 
     Adds ``into`` (the array) and ``{into}_bad`` (text was there, no array came out). Cells that were
-    written as Python literals (``None``, ``True``, mixed quotes) are not JSON; only those cells go
-    through the Arrow function, all others reach it as nulls.
+    written as Python literals (``None``, ``True``, mixed quotes) are not JSON and are rewritten first.
     """
     array = f"array<{items}>"
     text = F.col(f"`{column}`")
@@ -71,12 +85,10 @@ def parse_json_array(
     parsed = df.withColumn(first, F.from_json(text, array))
     result = F.col(first)
     if repair_literals:
-        rest = F.when(result.isNull() & text.isNotNull(), text)
-        parsed = parsed.withColumn(f"__{into}_repaired", _literal_to_json(rest))
-        result = F.coalesce(result, F.from_json(F.col(f"__{into}_repaired"), array))
+        result = F.coalesce(result, F.from_json(F.when(result.isNull(), literal_to_json(text)), array))
     return parsed.withColumns(
         {into: result, f"{into}_bad": text.isNotNull() & result.isNull()}
-    ).drop(first, f"__{into}_repaired")
+    ).drop(first)
 
 
 def quality_counts(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def enrich(
         mode=config.window_mode,
         max_broadcast_bytes=config.max_broadcast_bytes,
     )
-    return facts.transform(flag_delays, config).select(*ARRIVALS_WEATHER, "weather_matched")
+    return facts.transform(flag_delays, config).select(*ARRIVALS_WEATHER)
 
 
 def flag_delays(facts: DataFrame, config: GoldConfig = GoldConfig()) -> DataFrame:

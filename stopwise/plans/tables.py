@@ -50,6 +50,7 @@ def live_weather(warehouse: str, db: str) -> Table:
         **dict(schemas.LIVE_FIELDS.values()),
         "ingest_time": "timestamp",
         "raw_partition_key": "string",
+        "sink_id": "string",
         "batch_id": "bigint",
     }
     parts = (day_partition("timestamp"),)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stopwise.functions import hash_key, locale_bigint, locale_double, locale_int, naive_to_instant
+from stopwise.functions import hash_key, locale_bigint, locale_double, locale_int, naive_to_instant, utc_text
 from stopwise.operators import normalize_headers, optional_column
 from stopwise.schemas import METEOROLOGY_CURRENT, WEATHER_FIELDS
 
@@ -32,7 +32,7 @@ def parse_weather(raw: DataFrame, source_tz: str | None = None) -> DataFrame:
     df = normalize_headers(raw, "hyphen")
     typed = df.select(*[value.alias(name) for name, (_, value) in _fields(df, source_tz).items()])
     return typed.withColumns(
-        {"id": hash_key([F.col(c) for c in _KEY]), "ingest_ts": F.current_timestamp()}
+        {"id": hash_key([utc_text(typed[c]) if METEOROLOGY_CURRENT[c] == "timestamp" else F.col(c) for c in _KEY]), "ingest_ts": F.current_timestamp()}
     ).select(*METEOROLOGY_CURRENT)
 
 

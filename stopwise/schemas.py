@@ -31,6 +31,59 @@ TIMETABLE_ITEM = (
     f" typeOfDays:array<struct<Direction1:{_SERVICE}, Direction2:{_SERVICE}, DayType:string>>>"
 )
 
+# ---- Fields of the items: output column -> (path in the item, kind). Kinds are named in plans/fields.py.
+
+ARRIVE_FIELDS = {
+    "line": ("line", "text"),
+    "stop_id": ("stop", "text"),
+    "destination": ("destination", "text"),
+    "is_head": ("isHead", "flag"),
+    "deviation": ("deviation", "count"),
+    "bus": ("bus", "count"),
+    "estimate_arrive_sec": ("estimateArrive", "count"),
+    "distance_bus_m": ("DistanceBus", "count"),
+    "position_type_bus": ("positionTypeBus", "text"),
+    "lon": ("geometry.coordinates", "first"),
+    "lat": ("geometry.coordinates", "second"),
+}
+STOP_INFO_FIELDS = {
+    "stop_id": ("stopId", "text"),
+    "stop_name": ("stopName", "text"),
+    "lon": ("geometry.coordinates", "first"),
+    "lat": ("geometry.coordinates", "second"),
+    "direction": ("Direction", "text"),
+    "lines": ("lines", "text"),
+}
+LINE_STOP_FIELDS = {
+    "stop_id": ("stop", "text"),
+    "stop_name": ("name", "text"),
+    "postal_address": ("postalAddress", "text"),
+    "lon": ("geometry.coordinates", "first of two"),
+    "lat": ("geometry.coordinates", "second of two"),
+    "pmv": ("pmv", "text"),
+    "data_lines": ("dataLine", "text"),
+}
+TIMETABLE_FIELDS = {
+    "line": ("IdLine", "text"),
+    "label": ("Label", "text"),
+    "name_a": ("nameA", "text"),
+    "name_b": ("nameB", "text"),
+}
+DAY_FIELDS = {
+    "day_type": ("DayType", "text"),
+    **{
+        f"d{n}_{name}": (f"Direction{n}.{field}", kind)
+        for n in (1, 2)
+        for name, field, kind in (
+            ("start_time", "StartTime", "text"),
+            ("stop_time", "StopTime", "text"),
+            ("min_freq", "MinimunFrequency", "whole"),
+            ("max_freq", "MaximumFrequency", "whole"),
+            ("freq", "Frequency", "whole"),
+        )
+    },
+}
+
 # ---- Silver
 
 ARRIVALS_PREDICTIONS = {
@@ -185,6 +238,7 @@ ARRIVALS_WEATHER = {
     "weather_severity": "string",
     "weather_adverse": "boolean",
     "delay_weather_attributed": "boolean",
+    "weather_matched": "boolean",
     "build_ts": "timestamp",
 }
 DELAY_WEATHER_HOURLY = {

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stopwise.sinks.table import Table
-from stopwise.sinks.write import replace, stage
+from stopwise.sinks.storage import Storage, new_staging
+from stopwise.sinks.table import Table, ensure_table
+from stopwise.sinks.write import move_in, put
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
-# Rebalancing goes by shuffle bytes, which differ from file bytes. A partition only counts as scattered
-# when its files are this much smaller than the target, so a compacted one is not taken up again.
-_SLACK = 8
+_FILE = "file_number__"  # not hidden: folder names that begin with an underscore are
 
 
-def data_files(spark: SparkSession, location: str) -> DataFrame:
-    """``(folder, files, bytes)`` per partition folder, from the listing; no file is opened."""
+def data_files(spark: SparkSession, location: str, small_bytes: int = 0) -> DataFrame:
+    """``(folder, files, bytes, small)`` per partition folder, from the listing; no file is opened."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
@@ -22,24 +23,46 @@ def data_files(spark: SparkSession, location: str) -> DataFrame:
         .load(location)
         .select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length")
         .groupBy("folder")
-        .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+        .agg(
+            F.count("*").alias("files"),
+            F.sum("length").alias("bytes"),
+            F.count_if(F.col("length") < small_bytes).alias("small"),
+        )
     )
 
 
 def compact(spark: SparkSession, table: Table, target_file_bytes: int = TARGET_FILE_BYTES) -> int:
-    """Rewrite the partitions whose files are far smaller than the target; returns how many.
+    """Rewrite the partitions that have two or more files below half the target; returns how many.
 
-    Rows are unchanged. Partitions that are already compact are neither read nor written.
+    A partition of ``b`` bytes gets ``ceil(b / target)`` files of like size, none of which is then below
+    half the target unless it is the only one, so a compacted partition is not taken up again. Rows are
+    unchanged. Partitions that are already compact are neither read nor written.
     """
-    enough = F.ceil(F.col("bytes") * _SLACK / target_file_bytes)
-    scattered = data_files(spark, table.location).where(F.col("files") > enough)
-    folders = [r["folder"] for r in scattered.select("folder").collect()]  # one per partition
-    if not folders:
+    ensure_table(spark, table)
+    store = Storage(spark, table.location)
+    listed = data_files(spark, table.location, target_file_bytes // 2).where("small > 1")
+    scattered = {r["folder"]: math.ceil(r["bytes"] / target_file_bytes) for r in listed.collect()}  # one per partition
+    if not scattered:
         return 0
-    rows = (
-        spark.read.schema(table.stored_schema)
-        .option("basePath", table.location)
-        .parquet(*folders)
+    rows = spark.read.schema(table.stored_schema).option("basePath", table.location).parquet(*scattered)
+    sizes = spark.createDataFrame(list(scattered.items()), "__folder string, __files int")
+    folder = F.url_decode(F.regexp_replace(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")), "/[^/]*$", ""))
+    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z0-9]+:/*", "/")
+    placed = rows.withColumn("__at", plain(folder)).join(
+        sizes.select(plain(F.col("__folder")).alias("__at"), "__files"), "__at", "left"
     )
-    replace(spark, table, stage(spark, rows, table))
+    # every file of a partition is one key of the shuffle and one folder of the staged copy
+    number = F.pmod(F.xxhash64(*table.columns), F.coalesce("__files", F.lit(1))).cast("int")
+    keyed = placed.withColumn(_FILE, number).repartition(*table.partition_names, _FILE).drop("__at", "__files")
+    staging = new_staging()
+    put(keyed, table, f"{store.root}/{staging}", _FILE)
+    folders = store.leaves(staging, len(table.partitions))
+    for folder in folders:
+        base = f"{staging}/{folder}".rstrip("/")
+        for level, is_folder in store.names(base):
+            for name in store.files(f"{base}/{level}") if is_folder else []:
+                store.move(f"{base}/{level}/{name}", f"{base}/{level.split('=')[1]}-{name}")
+            if is_folder:
+                store.delete(f"{base}/{level}")
+    move_in(spark, table, staging)
     return len(folders)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from stopwise.functions.clock import utc_date, utc_hour_key
+from stopwise.sinks.storage import Storage, finish_swap, partition_values
 
 _PARTITIONS_PER_STATEMENT = 500
 
 
 @dataclass(frozen=True)
 class Partition:
-    """A partition column computed from one stored column.
+    """A partition column computed from one stored column, by a function that no session setting changes.
 
     ``monotone`` transforms keep order, so a range on the source column also prunes partitions.
     """
@@ -25,11 +28,13 @@ class Partition:
 
 
 def day_partition(source: str, name: str = "event_date") -> Partition:
-    return Partition(name, "date", source, F.to_date)
+    """The UTC date of an instant."""
+    return Partition(name, "date", source, utc_date)
 
 
 def hour_partition(source: str, name: str = "event_hour_key") -> Partition:
-    return Partition(name, "string", source, lambda c: F.date_format(c, "yyyy-MM-dd-HH"))
+    """The UTC hour of an instant."""
+    return Partition(name, "string", source, utc_hour_key)
 
 
 def prefix_partition(source: str, length: int, name: str) -> Partition:
@@ -74,9 +79,13 @@ def ensure_namespace_of(spark: SparkSession, table_name: str, table_location: st
 def ensure_table(spark: SparkSession, table: Table) -> bool:
     """Create the table if it is absent; an existing one is left as it is. True if created.
 
-    Data already at the location (from an earlier session without a shared catalog) is picked up.
+    Data already at the location (from an earlier session without a shared catalog) is picked up. A swap
+    of files that an earlier run began and did not end is ended first.
     """
+    store = Storage(spark, table.location)
+    filled, emptied = finish_swap(store)
     if spark.catalog.tableExists(table.name):
+        publish(spark, table, filled, emptied)
         return False
     ensure_namespace_of(spark, table.name, table.location)
     empty = spark.createDataFrame([], table.stored_schema).write.mode("ignore")
@@ -86,35 +95,34 @@ def ensure_table(spark: SparkSession, table: Table) -> bool:
         f"CREATE TABLE IF NOT EXISTS {table.name} ({table.stored_schema}) USING parquet {layout}"
         f" LOCATION '{table.location}'"
     )
-    publish(spark, table)
+    if table.partitions and store.names(""):
+        spark.sql(f"ALTER TABLE {table.name} RECOVER PARTITIONS")
+    spark.catalog.refreshTable(table.name)
     return True
 
 
-def partition_spec(table: Table, row: Row) -> str:
-    """``name = 'value', ...`` of one partition, for DDL statements."""
+def partition_spec(folder: str) -> str:
+    """``name = 'value', ...`` of one partition folder, for DDL statements."""
 
-    def literal(value: object) -> str:
+    def literal(value: str | None) -> str:
         if value is None:
             return "null"
-        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        text = value.replace("\\", "\\\\").replace("'", "\\'")
         return f"'{text}'"
 
-    return ", ".join(f"{n} = {literal(row[n])}" for n in table.partition_names)
-
-
-def partitions_of(df: DataFrame, table: Table) -> list[Row]:
-    """Partitions a frame has rows for: table metadata, one row per partition."""
-    return df.select(*table.partition_names).distinct().collect() if table.partitions else []
+    return ", ".join(f"{n} = {literal(v)}" for n, v in partition_values(folder).items())
 
 
-def publish(spark: SparkSession, table: Table, written: Sequence[Row] | None = None) -> None:
-    """Make written files visible through the catalog: the partitions ``written``, or all there are."""
-    if table.partitions and written is None:
-        spark.sql(f"ALTER TABLE {table.name} RECOVER PARTITIONS")
-    for start in range(0, len(written or ()), _PARTITIONS_PER_STATEMENT):
-        few = written[start : start + _PARTITIONS_PER_STATEMENT]
-        specs = " ".join(f"PARTITION ({partition_spec(table, row)})" for row in few)
+def publish(spark: SparkSession, table: Table, filled: Sequence[str] = (), emptied: Sequence[str] = ()) -> None:
+    """Tell the catalog which partition folders have come and gone; nothing else is listed."""
+    for start in range(0, len(filled) if table.partitions else 0, _PARTITIONS_PER_STATEMENT):
+        few = filled[start : start + _PARTITIONS_PER_STATEMENT]
+        specs = " ".join(f"PARTITION ({partition_spec(f)})" for f in few)
         spark.sql(f"ALTER TABLE {table.name} ADD IF NOT EXISTS {specs}")
+    for start in range(0, len(emptied), _PARTITIONS_PER_STATEMENT):
+        few = emptied[start : start + _PARTITIONS_PER_STATEMENT]
+        specs = ", ".join(f"PARTITION ({partition_spec(f)})" for f in few)
+        spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS {specs}")
     spark.catalog.refreshTable(table.name)
 
 
@@ -122,11 +130,21 @@ def with_partitions(df: DataFrame, partitions: Sequence[Partition]) -> DataFrame
     return df.withColumns({p.name: p.transform(F.col(p.source)) for p in partitions})
 
 
-def conform(df: DataFrame, table: Table) -> DataFrame:
-    """Exactly the stored columns, in order: extra columns go, missing ones become null."""
-    present = set(df.columns)
+class MissingColumns(ValueError):
+    """The source of an upsert lacks columns of the table."""
+
+
+def conform(df: DataFrame, table: Table, fill: bool = True) -> DataFrame:
+    """Exactly the stored columns, in order. Names match in any case; extra columns go.
+
+    Missing columns become null, or with ``fill=False`` are an error.
+    """
+    present = {name.lower(): name for name in df.columns}
+    missing = [name for name in table.columns if name.lower() not in present]
+    if missing and not fill:
+        raise MissingColumns(f"{table.name}: the source has no {', '.join(missing)}")
     columns = [
-        (F.col(f"`{name}`") if name in present else F.lit(None)).cast(kind).alias(name)
+        (F.lit(None) if name in missing else F.col(f"`{present[name.lower()]}`")).cast(kind).alias(name)
         for name, kind in table.columns.items()
     ]
     return with_partitions(df.select(*columns), table.partitions)

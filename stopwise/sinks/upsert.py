@@ -4,73 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stopwise.operators.rows import latest_per_key
-from stopwise.sinks.table import Table, conform, ensure_table, partition_spec, partitions_of
-from stopwise.sinks.write import replace, stage
-
-_MAX_LITERAL_PARTITIONS = 2_000
+from stopwise.sinks.storage import Storage
+from stopwise.sinks.table import Table, conform, ensure_table
+from stopwise.sinks.write import rebalanced, replace, stage
 
 
 class DuplicateKeys(ValueError):
     """The source of an upsert holds a key more than once."""
 
 
-def _has_key(table: Table) -> Column:
-    return reduce(and_, [F.col(k).isNotNull() for k in table.keys])
-
-
-def _same(names: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
-
-
-def _among(column: str, values: set) -> Column:
-    given = [v for v in values if v is not None]
-    tests = [F.col(column).isin(given)] if given else []
-    if None in values:
-        tests.append(F.col(column).isNull())
-    return reduce(or_, tests)
-
+class _Key:
+    """What makes two rows the same, and the steps of an upsert that depend on it."""
 
-def _resolve(spark: SparkSession, table: Table, source: DataFrame, latest_by: Sequence[Column]) -> DataFrame:
-    # As in a MERGE, a null key equals nothing: such rows are inserted and never deduplicated.
-    keyed = latest_per_key(source.where(_has_key(table)), table.keys, latest_by)
-    return keyed.unionByName(source.where(~_has_key(table)))
+    def __init__(self, table: Table, null_safe: bool) -> None:
+        self.table, self.keys, self.null_safe = table, list(table.keys), null_safe
 
+    def known(self) -> Column:
+        """Rows whose key can equal another; the others are inserted and never deduplicated."""
+        return F.lit(True) if self.null_safe else reduce(and_, [F.col(k).isNotNull() for k in self.keys])
 
-def _reject_duplicates(staged: DataFrame, table: Table) -> None:
-    twice = staged.where(_has_key(table)).groupBy(*table.keys).count().where("count > 1").take(3)
-    if twice:
-        raise DuplicateKeys(f"{table.name}: source repeats keys, e.g. {[tuple(r)[:-1] for r in twice]}")
+    def resolve(self, source: DataFrame, latest_by: Sequence[Column]) -> DataFrame:
+        keyed = latest_per_key(source.where(self.known()), self.keys, latest_by)
+        return keyed.unionByName(source.where(~self.known()))
 
+    def reject_duplicates(self, staged: DataFrame) -> None:
+        twice = staged.where(self.known()).groupBy(*self.keys).count().where("count > 1").take(3)
+        if twice:
+            raise DuplicateKeys(f"{self.table.name}: source repeats keys, e.g. {[tuple(r)[:-1] for r in twice]}")
 
-def _kept(target: DataFrame, staged: DataFrame, table: Table) -> DataFrame:
-    """Target rows the source does not replace. Rows with a null key skip the join."""
-    keys = staged.where(_has_key(table)).select(*table.keys)
-    return target.where(_has_key(table)).join(keys, list(table.keys), "left_anti").select(
-        *target.columns
-    ).unionByName(target.where(~_has_key(table)))
+    def kept(self, target: DataFrame, staged: DataFrame) -> DataFrame:
+        """Target rows the source does not replace. Rows whose key equals nothing skip the join."""
+        left, right = target.where(self.known()).alias("l"), staged.where(self.known()).select(*self.keys).alias("r")
+        pairs = [(F.col(f"l.{k}"), F.col(f"r.{k}")) for k in self.keys]
+        same = reduce(and_, [a.eqNullSafe(b) if self.null_safe else a == b for a, b in pairs])
+        rest = left.join(right, same, "left_anti").select(*target.columns)
+        return rest if self.null_safe else rest.unionByName(target.where(~self.known()))
 
 
-def _touched(target: DataFrame, staged: DataFrame, table: Table, stable_partitions: bool) -> list[Row]:
-    """Partitions to rewrite: those of the source and, unless a key cannot move, of its matches."""
-    names = table.partition_names
-    found = staged.select(*names)
+def _touched(
+    spark: SparkSession, staged: DataFrame, table: Table, stable_partitions: bool, known: Column
+) -> list[str]:
+    """Partition folders to rewrite: those of the source and, unless a key cannot move, of its matches."""
+    found = set(Storage(spark, staged._staged_at).leaves("", len(table.partitions)))
     if not stable_partitions:
-        keys = staged.where(_has_key(table)).select(*table.keys)
-        matches = target.select(*table.keys, *names).join(keys, list(table.keys), "left_semi")
-        found = found.unionByName(matches.select(*names))
-    return partitions_of(found, table)
-
-
-def _drop_partition(spark: SparkSession, table: Table, row: Row) -> None:
-    spec = partition_spec(table, row)
-    nothing = ", ".join(f"cast(null as {kind})" for kind in table.columns.values())
-    spark.sql(f"INSERT OVERWRITE TABLE {table.name} PARTITION ({spec}) SELECT {nothing} WHERE false")
-    spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS PARTITION ({spec})")
+        keys = staged.where(known).select(*table.keys)
+        target = spark.table(table.name)
+        place = target.select(*table.keys, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("__folder"))
+        matches = place.join(keys, list(table.keys), "left_semi").select("__folder").distinct()
+        levels = len(table.partitions)
+        found |= {"/".join(unquote(r[0]).split("/")[-levels:]) for r in matches.collect()}  # one per partition
+    return sorted(found)
 
 
 def upsert(
@@ -80,49 +69,42 @@ def upsert(
     on_duplicate: str = "error",
     latest_by: Sequence[Column] = (),
     stable_partitions: bool = False,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Replace target rows that share a key with the source, insert the others.
 
-    Only touched partitions are read and rewritten. The new content is complete in scratch storage
-    before the first file of the table changes; a run that dies while the partitions are swapped is
-    mended by running it again. ``on_duplicate`` is ``"error"`` or ``"latest"`` (first row by
-    ``latest_by``). ``stable_partitions`` promises that a key never changes partition, which spares
-    the key scan of the whole table. Keys missing from the source stay in the table.
-    Returns the source as it was written, for further use without computing it again.
+    Only the folders of touched partitions are read and rewritten, however many they are. The new content
+    is complete in a hidden folder of the table before the first file changes, and is moved in under a
+    journal: a run that dies at any point leaves a table that the next write to it puts right first.
+    ``on_duplicate`` is ``"error"`` or ``"latest"`` (first row by ``latest_by``, which must be given).
+    ``stable_partitions`` promises that a key never changes partition, which spares the key scan of the
+    whole table. A null in a key equals nothing, as in MERGE, unless ``null_safe`` is set. Keys missing from
+    the source stay in the table; a source without one of the table's columns is an error.
+    Returns the source as it was written, for further use without computing it again; ``discard`` it then.
     """
     if on_duplicate not in ("error", "latest"):
         raise ValueError(f"unknown duplicate rule {on_duplicate!r}")
+    if on_duplicate == "latest" and not latest_by:
+        raise ValueError("on_duplicate='latest' needs latest_by")
     ensure_table(spark, table)
-    incoming = conform(source, table)
+    rule = _Key(table, null_safe)
+    incoming = conform(source, table, fill=False)
     if on_duplicate == "latest":
-        incoming = _resolve(spark, table, incoming, latest_by)
+        incoming = rule.resolve(incoming, latest_by)
     staged = stage(spark, incoming, table)
     if on_duplicate == "error":
-        _reject_duplicates(staged, table)
-    target = spark.table(table.name)
-
+        rule.reject_duplicates(staged)
     if not table.partitions:
-        replace(spark, table, stage(spark, _kept(target, staged, table).unionByName(staged), table))
-        return staged
-
-    names = table.partition_names
-    touched = _touched(target, staged, table, stable_partitions)
-    if not touched:
+        replace(spark, table, rule.kept(spark.table(table.name), staged).unionByName(staged))
         return staged
-    schema = T.StructType([target.schema[n] for n in names])
-    touched_df = spark.createDataFrame(touched, schema)
-    if len(touched) <= _MAX_LITERAL_PARTITIONS:  # literals prune the scan at planning time
-        target = target.where(reduce(and_, [_among(n, {r[n] for r in touched}) for n in names]))
-        if not target.inputFiles():  # new partitions only, e.g. the next day: nothing to merge with
-            replace(spark, table, staged, touched)
-            return staged
-    affected = target.alias("l").join(F.broadcast(touched_df).alias("r"), _same(names), "left_semi")
-    fresh = stage(spark, _kept(affected, staged, table).unionByName(staged), table)
-
-    filled = partitions_of(fresh, table)
-    replace(spark, table, fresh, filled)
-    for row in set(touched) - set(filled):
-        _drop_partition(spark, table, row)
+    touched = _touched(spark, staged, table, stable_partitions, rule.known())
+    store = Storage(spark, table.location)
+    there = [f"{store.root}/{f}" for f in touched if store.exists(f)]
+    fresh = staged
+    if there:  # the folders themselves are read: a pruned scan without any test on partition values
+        affected = spark.read.schema(table.stored_schema).option("basePath", store.root).parquet(*there)
+        fresh = rule.kept(affected, staged).unionByName(staged)
+    replace(spark, table, rebalanced(fresh, table), touched)
     return staged
 
 

@@ -1,13 +1,18 @@
 """Plain writes. Rows are rebalanced by partition first, so files come out neither tiny nor huge and
-a partition that holds most of the rows is written by many tasks."""
+a partition that holds most of the rows is written by many tasks.
+
+Every write goes to a hidden folder of the table first and is then moved in under a journal. Moving is a
+rename where the storage has one; on an object store it is a copy of the new files.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.session import scratch_dir
+from stopwise.sinks.storage import Storage, new_staging, swap
 from stopwise.sinks.table import Table, conform, ensure_namespace_of, ensure_table, publish
 
 
@@ -15,24 +20,50 @@ def rebalanced(df: DataFrame, table: Table) -> DataFrame:
     return df.hint("rebalance", *table.partition_names)
 
 
-def _writer(df: DataFrame, table: Table, mode: str) -> DataFrameWriter:
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    return writer.partitionBy(*table.partition_names) if table.partitions else writer
+def put(df: DataFrame, table: Table, path: str, *more_levels: str) -> None:
+    levels = [*table.partition_names, *more_levels]
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*levels) if levels else writer).parquet(path)
 
 
 def stage(spark: SparkSession, df: DataFrame, table: Table) -> DataFrame:
-    """Write to shared scratch storage and read back: cuts the lineage, evaluates ``df`` once."""
+    """Write to shared scratch storage and read back: cuts the lineage, evaluates ``df`` once.
+
+    :func:`discard` removes it again.
+    """
     path = scratch_dir(spark, "staged")
-    _writer(rebalanced(df, table), table, "overwrite").parquet(path)
-    return spark.read.schema(table.stored_schema).parquet(path)
+    put(rebalanced(df, table), table, path)
+    staged = spark.read.schema(table.stored_schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(spark: SparkSession, staged: DataFrame) -> None:
+    """Delete what :func:`stage` wrote; the frame can no longer be read."""
+    Storage(spark, staged._staged_at).delete("")
 
 
 def replace(
-    spark: SparkSession, table: Table, df: DataFrame, written: Sequence[Row] | None = None
+    spark: SparkSession, table: Table, df: DataFrame, touched: Sequence[str] = (), replacing: bool = True
+) -> None:
+    """Swap the partitions ``df`` has rows for (the whole table if it has no partitions).
+
+    ``touched`` partition folders that ``df`` has no rows for are emptied. With ``replacing=False`` the rows
+    are added instead.
+    """
+    store, staging = Storage(spark, table.location), new_staging()
+    put(df, table, f"{store.root}/{staging}")
+    move_in(spark, table, staging, touched, replacing)
+
+
+def move_in(
+    spark: SparkSession, table: Table, staging: str, touched: Sequence[str] = (), replacing: bool = True
 ) -> None:
-    """Overwrite the partitions ``df`` has rows for (the whole table if it has no partitions)."""
-    _writer(df, table, "overwrite").parquet(table.location)
-    publish(spark, table, written)
+    store = Storage(spark, table.location)
+    filled = store.leaves(staging, len(table.partitions))
+    emptied = sorted(set(touched) - set(filled)) if table.partitions else []
+    swap(store, staging, filled, replacing, emptied)
+    publish(spark, table, filled, emptied)
 
 
 def overwrite_partitions(spark: SparkSession, table: Table, df: DataFrame) -> None:
@@ -44,7 +75,7 @@ def overwrite_partitions(spark: SparkSession, table: Table, df: DataFrame) -> No
 def append(spark: SparkSession, table: Table, df: DataFrame) -> Table:
     """Append; columns the table lacks are added to it, columns ``df`` lacks are null.
 
-    Returns the table with its grown column list.
+    Names match in any case. Returns the table with its grown column list.
     """
     ensure_table(spark, table)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -56,8 +87,7 @@ def append(spark: SparkSession, table: Table, df: DataFrame) -> Table:
     grown = Table(
         table.name, table.location, {**table.columns, **added}, table.keys, table.partitions
     )
-    _writer(rebalanced(conform(df, grown), grown), grown, "append").parquet(table.location)
-    publish(spark, grown)
+    replace(spark, grown, rebalanced(conform(df, grown), grown), replacing=False)
     return grown
 
 

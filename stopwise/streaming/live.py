@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stopwise.functions import hash_key
+from stopwise.functions import hash_key, utc_text
 from stopwise.schemas import LIVE_FIELDS, METEOROLOGY_CURRENT
-from stopwise.sinks.table import Partition, Table, conform, ensure_table, partitions_of, publish
+from stopwise.sinks.storage import NULL_PARTITION, Storage
+from stopwise.sinks.table import Partition, Table, conform, ensure_table, publish
 
 # Every field is read as text: a value of another type is then no reason to lose the message.
 _BLOCK = ", ".join(f"`{key}`:string" for key in LIVE_FIELDS)
 _MESSAGE = f"struct<current:struct<{_BLOCK}>, {_BLOCK}>"
 
+# Bound of a micro-batch of files, unless the caller gives another. It bounds admission: the rest is read next.
+BATCH_BYTES = str(256 * 1024**2)
+BATCH_OFFSETS = "1000000"
+
 # Default flush interval, and parts of the air-quality and condition objects.
 FLUSH_INTERVAL = "900 seconds"
 _AIR_PARTS = {
@@ -32,12 +40,15 @@ def stream_messages(
     spark: SparkSession, path: str | None = None, source_format: str = "text", **options: str
 ) -> DataFrame:
     """Streaming ``(value, partition_key)``. Text files carry one message per line; for ``kafka``
-    give the connection as options. Rate limits (``maxFilesPerTrigger``, ``maxBytesPerTrigger``,
-    ``maxOffsetsPerTrigger``) bound a micro-batch by size, the trigger bounds it by time."""
-    reader = spark.readStream.format(source_format).options(**options)
+    give the connection as options. A micro-batch is bounded by size (``maxBytesPerTrigger`` or
+    ``maxOffsetsPerTrigger``, with defaults) and by the trigger's time. ``value`` holds the bytes as sent."""
+    bound = {"maxOffsetsPerTrigger": BATCH_OFFSETS} if source_format == "kafka" else {"maxBytesPerTrigger": BATCH_BYTES}
+    if "maxFilesPerTrigger" in options:
+        bound = {}
+    reader = spark.readStream.format(source_format).options(**{**bound, **options})
     stream = reader.load(path) if path else reader.load()
     key = F.col("key").cast("string") if "key" in stream.columns else F.lit(None).cast("string")
-    return stream.select(F.col("value").cast("string"), key.alias("partition_key"))
+    return stream.select(F.col("value").cast("binary").alias("value"), key.alias("partition_key"))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
@@ -46,13 +57,15 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     The text is parsed as the only element of an array, so half messages, several messages run
     together, and JSON that is not an object are all told apart from good ones.
     """
-    wrapped = F.concat(F.lit("["), F.col("value"), F.lit("]"))
+    text = F.try_validate_utf8(F.col("value").cast("string"))
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
     only = F.from_json(wrapped, f"array<{_MESSAGE}>")
-    message = F.when((F.size(only) == 1) & F.trim("value").startswith("{"), F.get(only, F.lit(0)))
+    message = F.when((F.size(only) == 1) & F.trim(text).startswith("{"), F.get(only, F.lit(0)))
     reason = F.when(
         F.col("message").isNull(),
-        F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "empty")
-        .when(F.trim("value").startswith("{"), "invalid json")
+        F.when(text.isNull() & F.col("value").isNotNull(), "not utf-8")
+        .when(F.coalesce(F.trim(text), F.lit("")) == "", "empty")
+        .when(F.trim(text).startswith("{"), "invalid json")
         .otherwise("not an object"),
     )
     return messages.withColumn("message", message).withColumn("reason", reason)
@@ -78,19 +91,43 @@ def live_rows(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _batch_partition() -> Partition:
-    return Partition("batch", "bigint", "batch_id", lambda c: c)
+def _batch_partitions() -> tuple[Partition, ...]:
+    """The sink a row came through, and the number of its micro-batch there."""
+    return (
+        Partition("sink", "string", "sink_id", lambda c: c, monotone=False),
+        Partition("batch", "bigint", "batch_id", lambda c: c),
+    )
 
 
 def by_batch(table: Table) -> Table:
-    """The table with the batch number as last partition level."""
-    parts = (*table.partitions, _batch_partition())
-    return Table(table.name, table.location, table.columns, table.keys, parts)
+    """The table with sink and batch number as last partition levels."""
+    return Table(table.name, table.location, table.columns, table.keys, (*table.partitions, *_batch_partitions()))
 
 
 def dead_letter_table(name: str, location: str) -> Table:
-    columns = {"value": "string", "reason": "string", "batch_id": "bigint", "failed_at": "timestamp"}
-    return Table(name, location, columns, partitions=(_batch_partition(),))
+    """Failed messages with their bytes as sent."""
+    columns = {
+        "value": "binary",
+        "reason": "string",
+        "sink_id": "string",
+        "batch_id": "bigint",
+        "failed_at": "timestamp",
+    }
+    return Table(name, location, columns, partitions=_batch_partitions())
+
+
+def sink_identity(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives and dies with the checkpoint, as its batch numbers do."""
+    store = Storage(spark, checkpoint)
+    if (name := store.read("_sink_id")) is None:
+        name = uuid.uuid4().hex
+        store.write("_sink_id", name)
+    return name
+
+
+def _folder(table: Table, row: Row) -> str:
+    value = lambda v: NULL_PARTITION if v is None else quote(str(v), safe="-")
+    return "/".join(f"{n}={value(row[n])}" for n in table.partition_names)
 
 
 def write_live(
@@ -102,16 +139,20 @@ def write_live(
 ) -> StreamingQuery:
     """Start the query: rows to ``good``, unreadable messages to ``dead``.
 
-    Both tables are partitioned by batch and each batch overwrites its own partitions, so a batch
-    that is replayed after a failure leaves every message exactly once in exactly one of them.
+    Both tables are partitioned by sink and batch, and each batch overwrites its own partitions, so a batch
+    that is replayed after a failure leaves every message exactly once in exactly one of them. The sink is
+    named by a file in the checkpoint: several queries, and a query that begins anew, can share the tables.
+    Batches are folded into larger files by moving their rows on with ``load_live``.
     """
     spark = stream.sparkSession
     good = by_batch(good)
     for table in (good, dead):
         ensure_table(spark, table)
+    sink = sink_identity(spark, checkpoint)
 
     def write(rows: DataFrame, table: Table, batch_id: int) -> None:
-        rows = conform(rows.withColumn("batch_id", F.lit(batch_id)), table)
+        own = {"batch_id": F.lit(batch_id), "sink_id": F.lit(sink)}
+        rows = conform(rows.withColumns(own), table)
         (
             rows.hint("rebalance", *table.partition_names)
             .write.mode("overwrite")
@@ -119,7 +160,8 @@ def write_live(
             .partitionBy(*table.partition_names)
             .parquet(table.location)
         )
-        publish(rows.sparkSession, table, partitions_of(rows, table))
+        filled = rows.select(*table.partition_names).distinct().collect()  # one row per day of the batch
+        publish(rows.sparkSession, table, [_folder(table, r) for r in filled])
 
     def process(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_messages(batch).persist()
@@ -155,7 +197,7 @@ def observations_from_live(live: DataFrame) -> DataFrame:
     known["obs_ts"] = F.coalesce(F.col("`timestamp`"), F.timestamp_seconds("ts_epoch"))
     known |= parts("air_quality", _AIR_PARTS) | parts("weather_condition", _CONDITION_PARTS)
     # The message names no place and no run, which are empty parts of the key.
-    known["id"] = hash_key([F.lit(None)] * 4 + [known["obs_ts"], F.lit(None)])
+    known["id"] = hash_key([F.lit(None)] * 4 + [utc_text(known["obs_ts"]), F.lit(None)])
     known["ingest_ts"] = F.col("ingest_time")
     return live.select(
         *[

@@ -63,7 +63,7 @@ def live(spark, tmp_path):
 
 def test_every_message_ends_in_one_table(live):
     good, dead = live([*GOOD, *BAD])
-    assert {r.value: r.reason for r in dead.collect()} == BAD
+    assert {bytes(r.value).decode(): r.reason for r in dead.collect()} == BAD
     assert good.count() == len(GOOD)
     first = good.where("ts_epoch = 1759655700").first()
     assert (first.temperature_celsius, first.humidity, first.raw_partition_key) == (20.1, 55, "1759655700")
@@ -132,3 +132,18 @@ def test_bronze(spark, tmp_path, source_format):
     }
     moved = got.where("domain = 'arrivals'").first()
     assert moved.bronze_path.endswith("/bronze/arrivals/d 1/f.txt") and (tmp_path / "raw" / "lines" / "f.txt").exists()
+
+
+def test_failed_bytes_are_kept_and_checkpoints_do_not_meet(spark, tmp_path):
+    db = f"live_{uuid.uuid4().hex}"
+    good = live_weather(str(tmp_path), db)
+    dead = dead_letter_table(f"{db}.dead", str(tmp_path / db / "dead"))
+    raw = b'{"temp_c": "\xff\xfe"}'
+    for k in range(2):
+        os.makedirs(tmp_path / f"in{k}")
+        (tmp_path / f"in{k}" / "a.txt").write_bytes(raw + b"\n" + GOOD[0].encode() + b"\n")
+        messages = stream_messages(spark, str(tmp_path / f"in{k}"))
+        write_live(messages, good, dead, str(tmp_path / f"checkpoint{k}"), ONCE).awaitTermination()
+    failed = spark.table(dead.name).collect()
+    assert [(bytes(r.value), r.reason) for r in failed] == [(raw, "not utf-8")] * 2
+    assert spark.table(good.name).count() == 2
