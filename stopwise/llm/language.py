@@ -126,8 +126,13 @@ def held_out(doc_id: Column) -> Column:
 def training_words(docs: DataFrame) -> list[tuple[str, bytes]]:
     """``(language, word)`` of a bounded sample: by hash of the text, at most the constants above."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang", "text").withColumn("place", rank).filter(f"place <= {DOCUMENTS}")
+    # a share by hash that holds some four times what is wanted, so that few rows of a language meet in a task
+    number = labelled.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_lang")
+    hashed = labelled.select("doc_id", "lang", "text").withColumn("_hash", F.xxhash64("text"))
+    hashed = hashed.join(number, F.col("lang") == F.col("_lang"))
+    hashed = hashed.filter(F.pmod("_hash", F.lit(1 << 20)) * F.col("_n") < 4 * DOCUMENTS * (1 << 20))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    chosen = hashed.withColumn("place", rank).filter(f"place <= {DOCUMENTS}")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

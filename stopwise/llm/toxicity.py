@@ -164,6 +164,10 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     known = known.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = known.select("doc_id", F.xxhash64("text").alias("place")).join(marked, "doc_id")
     hashed = hashed.groupBy("place").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))  # copies count once
+    # a share by hash that holds some four times what is wanted, so that few rows of a label meet in a task
+    number = {r["toxic"]: r["count"] for r in hashed.groupBy("toxic").count().collect()}
+    wanted = F.when(F.col("toxic") == 1, 4 * TOXIC / max(1, number.get(1, 1))).otherwise(4 * CLEAN / max(1, number.get(0, 1)))
+    hashed = hashed.filter(F.pmod(F.col("place"), F.lit(1 << 20)) < wanted * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy("place", "doc_id"))
     most = F.when(F.col("toxic") == 1, TOXIC).otherwise(CLEAN)
     chosen = hashed.withColumn("rank", rank).filter(f"rank <= {max(TOXIC, CLEAN)}").filter(F.col("rank") <= most)
