@@ -105,7 +105,7 @@ def pruned_scan_other_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def upsert_many_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thousands of partitions are touched, one for each day and remainder of the id."""
-    by_id = Partition("part", "bigint", "event_id", lambda c: F.pmod(c, F.lit(97)), monotone=False)
+    by_id = Partition("part", "bigint", "event_id", lambda c: F.pmod(c, F.lit(71)), monotone=False)
     target = _events_table(spark, "many", by_id)
     rows = events(spark, sf_dir).select(*_EVENT_COLUMNS)
     overwrite_partitions(spark, target, rows)
