@@ -14,8 +14,7 @@ from stopwise.functions.clock import slot_number
 from stopwise.operators.skew import field_bytes, fits, lookup_join
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-FINE_CELL_SECONDS = 60
-_CROWDED_SLOT = 64
+CELL_SECONDS = 300
 
 
 def _reach(window_minutes: int, slot_minutes: int, mode: str) -> int:
@@ -37,7 +36,7 @@ def _one_per_second(observations: DataFrame, obs_ts: str, obs_id: str, slot_minu
 
 
 def _measure(observations: DataFrame, obs_ts: str, slot_minutes: int) -> Row:
-    """Bounds from one job: seconds with an observation, slots, seconds of the fullest slot, widest row."""
+    """Bounds from one job: seconds with an observation, slots, widest row."""
     width = sum((field_bytes(f) for f in observations.schema.fields), F.lit(0))
     seconds = F.least(F.count("*"), F.lit(slot_minutes * 60))
     return (
@@ -47,7 +46,6 @@ def _measure(observations: DataFrame, obs_ts: str, slot_minutes: int) -> Row:
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.count("*").alias("slots"),
-            F.coalesce(F.max("n"), F.lit(0)).alias("crowd"),
             F.coalesce(F.max("width"), F.lit(0)).alias("widest"),
         )
         .first()
@@ -125,21 +123,22 @@ def nearest_join(
     slot_minutes: int = 30,
     mode: str = "slot",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    cell_seconds: int = CELL_SECONDS,
 ) -> DataFrame:
     """Each event with the nearest observation in its window; events without one keep nulls.
 
     ``mode="slot"``: the slots of both may lie up to ``window_minutes`` apart. ``mode="exact"``: the
     two instants may. Equally near observations are told apart by time, then by ``obs_id``. Every
     event row comes out exactly once. ``spread_by`` are columns that tell event rows apart; they are
-    only used to split a hot second when the observations are too many to broadcast.
+    only used to split a hot second when the observations are too many to broadcast. Events are joined on
+    cells of ``cell_seconds``, a part of a slot; in one cell an event meets at most that many pieces, and a
+    smaller one costs more pieces. A Spark job measures the observations while the join is being built.
     """
-    if (slot_minutes * 60) % FINE_CELL_SECONDS:
-        raise ValueError("slots must be whole minutes")
+    if (slot_minutes * 60) % cell_seconds:
+        raise ValueError("a slot must be a whole number of cells")
     reach = _reach(window_minutes, slot_minutes, mode)
     seconds = _one_per_second(observations, obs_ts, obs_id, slot_minutes)
     size = _measure(observations, obs_ts, slot_minutes)
-    # Join cells are slots, or minutes where slots are crowded, so an event meets few pieces.
-    cell_seconds = slot_minutes * 60 if size["crowd"] <= _CROWDED_SLOT else FINE_CELL_SECONDS
     borders = size["slots"] * (2 * reach + 1) * (slot_minutes * 60 // cell_seconds)
     piece_bytes = 64 + 2 * size["widest"]
     small = (size["rows"] + borders) * piece_bytes <= max_broadcast_bytes
