@@ -14,7 +14,8 @@ from stopwise.session import build_session
 from stopwise.sinks.table import ensure_namespace_of, ensure_table
 from stopwise.sources import read_documents, read_json_documents, read_workbooks
 from stopwise.streaming import stream_files, stream_messages, write_bronze, write_live
-from stopwise.streaming.live import dead_letter_table
+from stopwise.streaming.live import by_batch, dead_letter_table
+from stopwise.streaming.silver import write_silver
 
 # Headers of the documents, for the formats that must be told.
 HEADERS = {
@@ -35,6 +36,20 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--warehouse", required=True)
         p.add_argument("--db", default="meteorology" if job == "weather" else "transit")
         p.add_argument("--source_tz")
+        if job != "lines":
+            p.add_argument("--method", choices=jobs.METHODS, default="rewrite")
+    fold = commands.add_parser("fold", help="live rows into the observations")
+    fold.add_argument("--warehouse", required=True)
+    fold.add_argument("--live_db", default="live")
+    fold.add_argument("--db", default="meteorology")
+    fold.add_argument("--method", choices=jobs.METHODS, default="rewrite")
+    silver = commands.add_parser("silver", help="new landing files into the silver tables")
+    silver.add_argument("--input", required=True)
+    silver.add_argument("--warehouse", required=True)
+    silver.add_argument("--transit_db", default="transit")
+    silver.add_argument("--weather_db", default="meteorology")
+    silver.add_argument("--checkpoint", required=True)
+    silver.add_argument("--once", action="store_true", help="take what is there and stop")
     defaults = GoldConfig()
     gold = commands.add_parser("gold")
     gold.add_argument("--warehouse", required=True)
@@ -45,6 +60,11 @@ def _parser() -> argparse.ArgumentParser:
     gold.add_argument("--tz", default=defaults.tz)
     gold.add_argument("--delay_ratio_thresh", type=float, default=defaults.delay_ratio_threshold)
     gold.add_argument("--wx_recent_minutes", type=int, default=defaults.weather_window_minutes)
+    gold.add_argument("--window_mode", choices=("slot", "exact"), default=defaults.window_mode)
+    gold.add_argument("--slot_minutes", type=int, default=defaults.slot_minutes)
+    gold.add_argument("--bucket_tz", default=defaults.bucket_tz)
+    gold.add_argument("--wrap_midnight", action="store_true")
+    gold.add_argument("--between", nargs=2, metavar=("FROM", "BEFORE"), help="build these hours only")
     for job in ("live", "bronze"):
         p = commands.add_parser(job)
         p.add_argument("--input")
@@ -81,6 +101,10 @@ def _gold(spark: SparkSession, args: argparse.Namespace) -> None:
         tz=args.tz,
         delay_ratio_threshold=args.delay_ratio_thresh,
         weather_window_minutes=args.wx_recent_minutes,
+        window_mode=args.window_mode,
+        slot_minutes=args.slot_minutes,
+        bucket_tz=args.bucket_tz,
+        wrap_midnight=args.wrap_midnight,
     )
     arrivals = tables.arrivals_predictions(args.silver_warehouse, args.transit_db)
     weather = tables.meteorology_current(args.silver_warehouse, args.weather_db)
@@ -88,7 +112,14 @@ def _gold(spark: SparkSession, args: argparse.Namespace) -> None:
         ensure_table(spark, table)
     timetable = _silver(spark, args.silver_warehouse, args.transit_db, "lines_timetable")
     jobs.build_gold(
-        spark, spark.table(arrivals.name), timetable, spark.table(weather.name), args.warehouse, args.gold_db, config
+        spark,
+        spark.table(arrivals.name),
+        timetable,
+        spark.table(weather.name),
+        args.warehouse,
+        args.gold_db,
+        config,
+        between=tuple(args.between) if args.between else None,
     )
 
 
@@ -96,13 +127,21 @@ def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = build_session(f"stopwise-{args.job}")
     if args.job == "arrivals":
-        jobs.load_arrivals(spark, _documents(spark, args), args.warehouse, args.db, args.source_tz)
+        jobs.load_arrivals(spark, _documents(spark, args), args.warehouse, args.db, args.source_tz, args.method)
     elif args.job == "lines":
         jobs.load_lines(spark, _documents(spark, args), args.warehouse, args.db)
     elif args.job == "weather":
-        jobs.load_weather(spark, _documents(spark, args), args.warehouse, args.db, args.source_tz)
+        jobs.load_weather(spark, _documents(spark, args), args.warehouse, args.db, args.source_tz, args.method)
     elif args.job == "gold":
         _gold(spark, args)
+    elif args.job == "fold":
+        live = by_batch(tables.live_weather(args.warehouse, args.live_db))
+        ensure_table(spark, live)
+        jobs.load_live(spark, spark.table(live.name), args.warehouse, args.db, args.method)
+    elif args.job == "silver":
+        names = {"arrivals": args.transit_db, "lines": args.transit_db, "meteorology": args.weather_db}
+        trigger = {"availableNow": True} if args.once else None
+        write_silver(spark, args.input, args.checkpoint, args.warehouse, names, trigger).awaitTermination()
     else:
         options = dict(o.split("=", 1) for o in args.option)
         trigger = {"availableNow": True} if args.once else None
