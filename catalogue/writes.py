@@ -86,7 +86,7 @@ def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SHOWN_SQL} WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00'")
 def pruned_scan_other_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in one session zone, written again and scanned in another; keys, partitions and bounds are instants."""
-    target = _events_table(spark, "zones", hour_partition("ts", "hour_key"))
+    target = _events_table(spark, "zones")
     rows = scratch(events(spark, sf_dir).select(*_EVENT_COLUMNS))
     first, last = (F.lit(f"2024-01-{d}Z").cast("timestamp") for d in ("10 06:00:00", "12 18:00:00"))
     try:

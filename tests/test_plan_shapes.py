@@ -34,7 +34,8 @@ def written(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY))
+# the many partitions are written by the plans of upsert_single_key
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - {"upsert_many_partitions"}))
 def test_no_nested_loops_or_products(spark, written, name):
     texts = [plan(REGISTRY[name].run(spark, SF)), *written]
     if REGISTRY[name].run.__module__.endswith("writes") and name != "partition_transforms":

@@ -111,6 +111,24 @@ def test_two_zones_keep_one_row_per_key(spark, tmp_path):
     assert spark.table(table.name).count() == 1
 
 
+def test_partition_values_do_not_follow_the_zone(spark):
+    from stopwise.functions import utc_date, utc_hour_key, utc_text
+
+    df = spark.sql("SELECT timestamp_micros(x) AS t FROM VALUES (1704153000000000L), (-1500000L), (1711846799123450L), (NULL) v(x)")
+    shown = df.select(utc_date(F.col("t")).cast("string"), utc_hour_key(F.col("t")), utc_text(F.col("t")))
+    try:
+        for zone in ("UTC", "Europe/Madrid", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [tuple(r) for r in shown.collect()] == [
+                ("2024-01-01", "2024-01-01-23", "2024-01-01 23:50:00"),
+                ("1969-12-31", "1969-12-31-23", "1969-12-31 23:59:58.5"),
+                ("2024-03-31", "2024-03-31-00", "2024-03-31 00:59:59.12345"),
+                (None, None, None),
+            ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_compaction_obeys_its_target(spark, tmp_path):
     table = new_table(tmp_path, (day_partition("ts"),))
     rows = spark.range(40_000).selectExpr(
