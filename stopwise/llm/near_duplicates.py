@@ -6,6 +6,11 @@ each other, so the candidates of a class are the next few in each order, as long
 minima agree: in a sparse region those are all that share a short prefix, in a crowded one only those that
 share a long one. The sort is a range partitioning with sampled bounds; what stands on the two sides of a
 bound is compared as well. A group of thousands of near copies costs a few candidates per class and order.
+
+What those few leave out is found exactly. A block is the classes that share ``SHALLOW`` minima of an order;
+one with more classes than a window reaches, which are not all of one component by then, is first compared
+with the class in it that has most links (the original of many copies), and if that does not join it, every
+two classes of different components are compared on their full sets, in cells spread over tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, SHALLOW, NEIGHBOURS = 16, 8, 3, 8
 BINS = TREES * DEPTH
 KEY = 16
+CELL_ROWS, CELL_SHINGLES = 1000, 1 << 19  # classes and shingles on one side of a cell, on average
 
 _RANDOM = np.random.default_rng(20240229)
 # Where an empty bin looks for a minimum: itself, then the other bins in an order of its own.
@@ -97,6 +103,7 @@ def shingled(docs: DataFrame, width: int, with_set: bool) -> DataFrame:
     return rows.mapInArrow(scan, f"doc_id long, mark string, n long, key binary, {what} binary")
 
 
+_PLACE = np.random.default_rng(7).permutation(BINS).reshape(TREES, DEPTH)  # the minima of every order
 _PAIR = "a binary, b binary, bound int, tree int, label binary, n long"
 
 
@@ -117,12 +124,16 @@ def _neighbours(tree, label, key, n, reach: int, percent: int):
     return a, b
 
 
+def _ordered(classes: DataFrame, trees: list[int], depth: int) -> DataFrame:
+    """``tree, label, key, n``: the first ``depth`` minima of every class in the given orders."""
+    label = lambda t: F.concat(*[F.substring("signature", 4 * int(c) + 1, 4) for c in _PLACE[t][:depth]])
+    entries = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), label(t).alias("label")) for t in trees]))
+    return classes.select(entries.alias("e"), "key", "n").select("e.tree", "e.label", "key", "n")
+
+
 def candidates(classes: DataFrame, trees: list[int], reach: int, percent: int) -> DataFrame:
     """``a``, ``b``: keys of neighbours in the given orders, each pair once."""
-    place = np.random.default_rng(7).permutation(BINS).reshape(TREES, DEPTH)
-    label = lambda t: F.concat(*[F.substring("signature", 4 * int(c) + 1, 4) for c in place[t]])
-    entries = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), label(t).alias("label")) for t in trees]))
-    rows = classes.select(entries.alias("e"), "key", "n").select("e.tree", "e.label", "key", "n")
+    rows = _ordered(classes, trees, DEPTH)
     order = ["tree", "label", "key"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +202,90 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(scan, "a binary, b binary")
 
 
+def mixed_blocks(classes: DataFrame, roots: DataFrame, degrees: DataFrame, reach: int) -> DataFrame:
+    """Blocks of more classes than a window reaches that are not all of one component.
+
+    ``tree, label``; ``main``, the component most of them are of; classes and shingles inside and outside of
+    it; ``hub`` and ``hub_root``, the class with most links and its component.
+    """
+    rows = _rooted(_ordered(classes, list(range(TREES)), SHALLOW), roots)
+    rows = rows.join(degrees, "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    each = rows.groupBy("tree", "label", "root").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("size"), F.max(F.struct("links", "key")).alias("hub")
+    )
+    whole = each.groupBy("tree", "label").agg(
+        F.count("*").alias("roots"), F.sum("rows").alias("rows"), F.sum("size").alias("size"),
+        F.max(F.struct("rows", "size", "root")).alias("main"), F.max(F.struct("hub.links", "hub.key", "root")).alias("hub"),
+    )
+    return whole.filter((F.col("roots") > 1) & (F.col("rows") > reach + 1)).select(
+        "tree", "label", F.col("main.root").alias("main"), F.col("main.rows").alias("main_rows"), F.col("main.size").alias("main_size"),
+        (F.col("rows") - F.col("main.rows")).alias("rest_rows"), (F.col("size") - F.col("main.size")).alias("rest_size"),
+        F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"),
+    )
+
+
+def _linked(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a cell that join components, each pair tested on its full sets unless it is joined already."""
+    cell_i, cell_j, tree = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["tree"].iloc[0])
+    group = group.sort_values("key", key=lambda c: c.map(bytes))
+    keys, n = group["key"].map(bytes).to_list(), group["n"].to_numpy()
+    chunk = group["chunk"].to_numpy()
+    minima = np.frombuffer(b"".join(group["signature"]), ">u4").reshape(len(group), BINS)
+    prefix = np.stack([minima[:, _PLACE[t][:SHALLOW]] for t in range(tree)], axis=1) if tree else None
+    root = np.unique(group["root"].map(bytes), return_inverse=True)[1]
+    shingles = np.frombuffer(b"".join(group["shingles"]), np.uint64)
+    distinct, number = np.unique(shingles, return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(n)))
+    present = np.zeros(len(distinct), np.int64)
+    right = np.flatnonzero(chunk == cell_j)
+    a, b = [], []
+    for x in np.flatnonzero(chunk == cell_i):
+        y = right[right > x] if cell_i == cell_j else right
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        y = y[(root[y] != root[x]) & (100 * small >= percent * large)]
+        if tree and len(y):  # a pair is compared in the first block it shares
+            y = y[~(prefix[y] == prefix[x]).all(axis=2).any(axis=1)]
+        if not len(y):
+            continue
+        present[number[ends[x] : ends[x + 1]]] = 1
+        first = np.cumsum(n[y]) - n[y]
+        at = np.repeat(ends[y] - first, n[y]) + np.arange(n[y].sum())
+        both = np.add.reduceat(present[number[at]], first)
+        present[number[ends[x] : ends[x + 1]]] = 0
+        for z in y[100 * both >= percent * (n[x] + n[y] - both)]:
+            if root[z] != root[x]:
+                a.append(keys[x])
+                b.append(keys[z])
+                root[root == root[z]] = root[x]
+    return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+
+
+def cells(classes: DataFrame, roots: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Members of the blocks once per cell: a chunk outside the main component with one such or one inside it."""
+    ways = lambda part: F.ceil(F.greatest(F.col(f"{part}_rows") / CELL_ROWS, F.col(f"{part}_size") / CELL_SHINGLES)).cast("int")
+    cut = blocks.select("tree", "label", "main", ways("rest").alias("rest"), ways("main").alias("inside"))
+    rows = _rooted(_ordered(classes, list(range(TREES)), SHALLOW).join(cut, ["tree", "label"]), roots)
+    mixed = F.xxhash64("key", F.lit(1))
+    chunk = F.when(F.col("root") == F.col("main"), F.col("rest") + F.pmod(mixed, F.col("inside"))).otherwise(F.pmod(mixed, F.col("rest")))
+    rows = rows.withColumn("chunk", chunk.cast("int"))
+    before = F.transform(F.sequence(F.lit(0), F.least("chunk", F.col("rest") - 1)), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
+    after = F.transform(F.sequence("chunk", F.col("rest") + F.col("inside") - 1), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))
+    place = F.when(F.col("chunk") < F.col("rest"), F.array_union(before, after)).otherwise(before)
+    return rows.withColumn("c", F.explode(place)).select("tree", "label", "c.i", "c.j", "chunk", "key", "n", "root")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    to = roots.select(F.col("node").alias("key"), "root")
+    return rows.join(to, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links."""
+    links = _renamed(_renamed(links, "a", roots), "b", roots)
+    joined = components(staged(links, "links"))
+    return staged(_renamed(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, mark, n_shingles, component_id, kept`` for every row of ``docs``; ``mark`` is :func:`row_key`.
 
@@ -211,16 +306,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     wide = candidates(classes, list(range(TREES)), NEIGHBOURS, percent)
     named = wide.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = classes.join(named, "key", "left_semi").select(F.col("least").alias("doc_id"), F.col("key").alias("wanted"))
-    sources = texts(docs).join(staged(members, "members"), "doc_id").select("doc_id", "text", "wanted")
-    sets = shingled(sources, width, True).dropDuplicates(["key"])
-    sets = staged(sets.select("key", "shingles"), "sets")
-    roots = components(staged(confirmed(near, sets, percent), "links"))
+    sets = _sets(docs, members, width)
+    first = staged(confirmed(near, sets, percent), "links")
+    roots = components(first)
     rest = _renamed(_renamed(wide.withColumns({"ra": F.col("a"), "rb": F.col("b")}), "ra", roots), "rb", roots)
     rest = staged(rest.filter("ra <> rb").select("a", "b"), "rest")
-    more = confirmed(rest, sets, percent)
-    more = _renamed(_renamed(more, "a", roots), "b", roots)
-    joined = components(staged(more, "links"))
-    ends = staged(_renamed(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "roots")
+    more = staged(confirmed(rest, sets, percent), "links")
+    ends = _merged(roots, more)
+    links = first.union(more)
+    ends_of = [links.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("links")) for c in ("a", "b")]
+    degrees = ends_of[0].union(ends_of[1]).groupBy("key").agg(F.sum("links").alias("links"))
+    ends = _completed(docs, classes, ends, staged(degrees, "degrees"), sets, width, percent)
     placed = classes.select("key", "least").join(ends.withColumnRenamed("node", "key"), "key", "left")
     placed = staged(placed.withColumn("root", F.coalesce("root", "key")), "placed")
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -234,6 +330,40 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     )
 
 
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``key, shingles`` of the classes ``wanted``, each read from its document with the least id."""
+    sources = texts(docs).join(staged(members, "members"), "doc_id").select("doc_id", "text", "wanted")
+    sets = shingled(sources, width, True).dropDuplicates(["key"])
+    return staged(sets.select("key", "shingles"), "sets")
+
+
+def _completed(
+    docs: DataFrame, classes: DataFrame, roots: DataFrame, degrees: DataFrame, sets: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """``roots`` with every link inside the blocks that no window covers."""
+    blocks = staged(mixed_blocks(classes, roots, degrees, NEIGHBOURS), "blocks")
+    if blocks.isEmpty():
+        return roots
+    rows = _ordered(classes, list(range(TREES)), SHALLOW).join(blocks.select("tree", "label"), ["tree", "label"])
+    lacking = staged(rows.select("key").distinct().join(sets, "key", "left_anti"), "lacking")
+    members = classes.join(lacking, "key", "left_semi").select(F.col("least").alias("doc_id"), F.col("key").alias("wanted"))
+    if not lacking.isEmpty():
+        more = _sets(docs, members, width)
+        sets = staged(sets.union(more.join(lacking, "key", "left_semi")), "sets")
+        release(more)
+    star = _rooted(_ordered(classes, list(range(TREES)), SHALLOW).join(blocks, ["tree", "label"]), roots)
+    star = star.filter("root <> hub_root").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    star = staged(star, "star")
+    roots = _merged(roots, confirmed(star, sets, percent))
+    release(star, blocks)
+    blocks = staged(mixed_blocks(classes, roots, degrees, NEIGHBOURS), "blocks")
+    if blocks.isEmpty():
+        return roots
+    full = cells(classes, roots, blocks).join(classes.select("key", "signature"), "key").join(sets, "key")
+    found = full.groupBy("tree", "label", "i", "j").applyInPandas(lambda group: _linked(group, percent), "a binary, b binary")
+    return _merged(roots, found)
+
+
 def _renamed(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     to = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     joined = rows.join(to, rows[column] == to["_node"], "left")
