@@ -22,7 +22,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 RATE = 0.05
-GRID = 1000  # p-values are rounded up to this many steps, so that counts per step are all the rule needs
+GRID = 100  # steps of a p-value's logarithm per factor of e; rounded up, so that counts per step are all the rule needs
+LEAST_LOG = -690  # smaller ones, below about 1e-300, are one step
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -137,19 +138,25 @@ def scanned(docs: DataFrame) -> DataFrame:
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.floor(F.log2(s["end"] - s["start"])).cast("int").alias("band"),
-            F.ceil(battery(s["text"], s["letters"]) * GRID).cast("int").alias("step"),
+            stepped(battery(s["text"], s["letters"])).alias("step"),
         ),
     )
     return wide.withColumn("_tested", tested).drop("_coded")
 
 
+def stepped(p: Column) -> Column:
+    """The step of a p-value: 0 for 1, and ``-GRID`` for every factor of e below it."""
+    log = F.coalesce(F.log(p), F.lit(float(LEAST_LOG)))
+    return F.ceil(F.greatest(log, F.lit(float(LEAST_LOG))) * GRID).cast("int")
+
+
 def thresholds(tested: DataFrame, rate: float) -> dict[int, int]:
     """Per band of lengths (at most 31 of them) the largest step of p-values that is rejected."""
     each = tested.select(F.explode("_tested").alias("t")).groupBy("t.band", "t.step").agg(F.count("*").alias("n"))
     band = Window.partitionBy("band")
     upto = F.sum("n").over(band.orderBy("step"))
     ruled = each.withColumns({"upto": upto, "all": F.sum("n").over(band)})
-    fits = ruled.filter(F.col("step") / GRID * F.col("all") <= rate * F.col("upto"))
+    fits = ruled.filter(F.exp(F.col("step") / GRID) * F.col("all") <= rate * F.col("upto"))
     return {r["band"]: r["step"] for r in fits.groupBy("band").agg(F.max("step").alias("step")).collect()}
 
 
@@ -168,7 +175,7 @@ def scan_secrets(docs: DataFrame, rate: float = RATE, column: str = "secrets") -
 
 
 def _limit(band: Column, limits: dict[int, int]) -> Column:
-    out = F.lit(-1)
+    out = F.lit(GRID * LEAST_LOG - 1)
     for k, step in limits.items():
         out = F.when(band == k, F.lit(step)).otherwise(out)
     return out

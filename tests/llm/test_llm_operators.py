@@ -237,6 +237,16 @@ def test_battery_separates_random_from_text(spark):
     assert all(r["p"] < 0.001 for r in got if not r["random"])
 
 
+def test_rejections_where_few_are_not_random(spark):
+    # one p-value of 1e-30 among 1000: the rule rejects it and nothing else, as with exact p-values
+    rng = random.Random(3)
+    values = [1e-30, *(rng.uniform(0.2, 1) for _ in range(999))]
+    p = spark.createDataFrame([(v,) for v in values], "p double")
+    tested = p.select(secret_scan.stepped(p["p"]).alias("step")).selectExpr("array(struct(4 AS band, step)) AS _tested")
+    limit = secret_scan.thresholds(tested, 0.05)[4]
+    assert p.filter(secret_scan.stepped(p["p"]) <= limit).count() == 1
+
+
 def test_mixing(spark):
     rng = random.Random(9)
     docs = awkward() + [(100 + k, prose(k, rng.choice([1, 5, 5, 40, 200])), rng.choice("abcdez")) for k in range(400)]
