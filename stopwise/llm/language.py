@@ -14,12 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stopwise.llm.common import pieces, utf8
+from stopwise.llm.common import PIECE, pieces, utf8
 from stopwise.llm.hashing import NOT_SPACE, lowered, prefix_sums, range_hashes, words
 from stopwise.llm.recurrent import Adam, backward, forward, random, softmax
 
 HIDDEN, LONGEST, BATCH, RATE, SEED = 16, 32, 512, 0.01, 5
-# Bounds of the training sample: documents and words of a language, words of a document, languages.
+# Bounds of the training sample: documents and words of a language, words of a document. Beyond so many
+# languages each has fewer words; none is left out.
 DOCUMENTS, WORDS, WORDS_EACH, LANGUAGES, EPOCHS = 300, 15_000, 100, 200, 4
 REMEMBERED = 400_000  # words whose sums a task keeps
 UNDETERMINED = "und"
@@ -80,6 +81,7 @@ class Labeller:
 
     def __init__(self, network: ByteNetwork) -> None:
         self.network = network
+        self.share = _share(len(network.labels))
         self.known = np.empty(0, np.uint64)
         self.value = np.empty((0, len(network.labels)), np.float32)
 
@@ -90,10 +92,11 @@ class Labeller:
             made = np.empty((len(fresh), len(self.network.labels)), np.float32)
             size = end[fresh] - start[fresh]
             order = np.argsort(size, kind="stable")
-            for k in range(0, len(order), 4096):  # of like length, so that little is filled up
-                part = order[k : k + 4096]
+            many = max(1, int(4096 * self.share))
+            for k in range(0, len(order), many):  # of like length, so that little is filled up
+                part = order[k : k + many]
                 made[part] = self.network.sums(*coded(data, start[fresh[part]], end[fresh[part]]))
-            if len(self.known) + len(fresh) > REMEMBERED:
+            if len(self.known) + len(fresh) > REMEMBERED * self.share:
                 self.known, self.value = self.known[:0], self.value[:0]
                 if len(fresh) < len(hashes):
                     return self._looked_up(hashes, start, end, data)
@@ -118,6 +121,11 @@ class Labeller:
         return total
 
 
+def _share(languages: int) -> float:
+    """What a language keeps of its words, and a task of its rows and words, where there are very many."""
+    return min(1.0, LANGUAGES / max(languages, 1))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no label is learned from; a null id counts as its own text, ``''``."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
@@ -126,13 +134,15 @@ def held_out(doc_id: Column) -> Column:
 def training_words(docs: DataFrame) -> list[tuple[str, bytes]]:
     """``(language, word)`` of a bounded sample: by hash of the text, at most the constants above."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    hashed = labelled.select("doc_id", "lang", "text", F.xxhash64("text").alias("_hash"))
+    distinct = hashed.groupBy("lang", "_hash").agg(F.min("doc_id").alias("doc_id"))  # copies count once
     # a share by hash that holds some four times what is wanted, so that few rows of a language meet in a task
-    number = labelled.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_lang")
-    hashed = labelled.select("doc_id", "lang", "text").withColumn("_hash", F.xxhash64("text"))
-    hashed = hashed.join(number, F.col("lang") == F.col("_lang"))
-    hashed = hashed.filter(F.pmod("_hash", F.lit(1 << 20)) * F.col("_n") < 4 * DOCUMENTS * (1 << 20))
+    number = distinct.groupBy("lang").agg(F.count("*").alias("_n"))
+    words_each = max(1, int(WORDS_EACH * _share(number.count())))
+    distinct = distinct.join(F.broadcast(number), "lang").filter(F.pmod("_hash", F.lit(1 << 20)) * F.col("_n") < 4 * DOCUMENTS * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
-    chosen = hashed.withColumn("place", rank).filter(f"place <= {DOCUMENTS}")
+    chosen = distinct.withColumn("place", rank).filter(f"place <= {DOCUMENTS}").select("lang", "_hash", "doc_id")
+    chosen = hashed.join(chosen, ["lang", "_hash", "doc_id"]).dropDuplicates(["lang", "_hash"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +151,7 @@ def training_words(docs: DataFrame) -> list[tuple[str, bytes]]:
                 raw = lowered(data[offsets[k] : offsets[k + 1]])
                 found = words(raw, np.array([0, len(raw)]), NOT_SPACE)
                 of, start, end = cut(found.start, found.end)
-                take = np.random.default_rng(len(raw)).permutation(len(of))[:WORDS_EACH]
+                take = np.random.default_rng(len(raw)).permutation(len(of))[:words_each]
                 tokens = [raw[start[i] : end[i]].tobytes() for i in take]
                 lang = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(tokens), np.int32)))
                 yield pa.RecordBatch.from_arrays([lang, pa.array(tokens, pa.binary())], ["lang", "word"])
@@ -153,12 +163,14 @@ def training_words(docs: DataFrame) -> list[tuple[str, bytes]]:
 def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork | None:
     """Position-wise cross-entropy by backpropagation through time; languages weigh the same."""
     rng = np.random.default_rng(seed)
-    labels = sorted({lang for lang, _ in sample})[:LANGUAGES]
+    labels = sorted({lang for lang, _ in sample})
     if not labels:
         return None
     network = ByteNetwork(labels, seed)
-    by = {k: [w for lang, w in sample if lang == k] for k in labels}
-    size = min(WORDS, max(map(len, by.values())))
+    by: dict[str, list[bytes]] = {k: [] for k in labels}
+    for lang, word in sample:
+        by[lang].append(word)
+    size = min(max(1, int(WORDS * _share(len(labels)))), max(map(len, by.values())))
     rule = Adam(network.p, RATE)
     for epoch in range(epochs):
         rule.rate = RATE * (1 - epoch / epochs) + 0.001
@@ -202,7 +214,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
         labels = np.array([*(shared.value.labels if shared.value else []), UNDETERMINED], object)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, int(PIECE * (labeller.share if labeller else 1))):
                 part, base = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if labeller:
                     total = labeller(part, base)

@@ -376,6 +376,14 @@ def test_language(spark):
     assert {r["lang_pred"] for r in untaught.collect()} <= {"und"}
 
 
+def test_every_language_is_learned_and_copies_count_once(spark):
+    sample = [(f"l{k:03}", f"w{k}".encode()) for k in range(230)]
+    assert len(language.train(sample, epochs=1).labels) == 230
+    rows = [(k, "same text", "aa") for k in range(1000)] + [(2000 + k, f"text{k}", "aa") for k in range(100)]
+    found = [w for _, w in language.training_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))]
+    assert found.count(b"same") == 1 and len(found) == len(set(found)) > 50
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     clean = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(n))
