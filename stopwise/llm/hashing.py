@@ -87,3 +87,7 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 # Digits, a-z and whatever is not ASCII, after lowering.
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+# a-z and whatever is not ASCII, after lowering.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True

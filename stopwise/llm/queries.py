@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stopwise.llm.alignment import align_corpus
 from stopwise.llm.common import table
 from stopwise.llm.language import label_languages
 from stopwise.llm.decontamination import decontaminate, digest
+from stopwise.llm.divergence import audit_divergence
+from stopwise.llm.fingerprints import compare_with_edited
 from stopwise.llm.mixing import mix
 from stopwise.llm.near_duplicates import near_duplicates
 from stopwise.llm.neighbours import nearest
@@ -122,6 +125,53 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+                        lambda w: translate(w, '{_UPPER}', '{_LOWER}')) AS w
+  FROM documents),
+occ AS (SELECT lang, source, id, unnest(w) AS item FROM (SELECT *, row_number() OVER () AS id FROM d)),
+kept AS (SELECT lang, item, count(*) AS n FROM occ GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+c AS (SELECT lang, source, item, count(*) AS n FROM occ JOIN kept USING (lang, item) GROUP BY 1, 2, 3),
+g AS (
+  SELECT lang, source, coalesce(s.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) s USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.item, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + l.v)::HUGEINT AS p,
+         1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v)::HUGEINT AS q
+  FROM g JOIN kept k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.item = k.item),
+cross_sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN cross_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_corpus(table(spark, sf_dir, "documents"), hashed=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html": Query(op1_html),
     "op2_toxicity": Query(op2_toxicity),
@@ -133,4 +183,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": Query(op8_secrets),
     "op9_minhash": Query(op9_minhash, OP9_SQL),
     "op10_suffix_array": Query(op10_suffix_array),
+    "op11_divergence": Query(op11_divergence, OP11_SQL),
+    "op12_fingerprint": Query(op12_fingerprint),
+    "op13_alignment": Query(op13_alignment),
 }
