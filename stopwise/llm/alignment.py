@@ -1,9 +1,10 @@
 """Alignment of two tokenizers over the same text, and how often their tokens meet in the corpus.
 
 A is a byte-level BPE over a space and the text, B a piece model over the text (it puts the space itself). Each
-token covers bytes; ``end: index`` dictionaries of both sides are intersected, and the sorted common ends slice
-both lists of ids into groups. Within a slice no two ends coincide, so every end of either side closes exactly
-one link, a pair of tokens whose bytes overlap.
+token covers bytes; the ``end: index`` dictionaries of both sides are intersected, and the common ends, in order,
+slice both lists of ids into groups. Ends are small distinct integers, so a dictionary is a table addressed by the
+end itself: a hash without collisions whose keys are read in order. Within a slice no two ends coincide, so every
+end of either side closes exactly one link, a pair of tokens whose bytes overlap.
 
 Links are kept per document as distinct pairs of ids with their numbers. Their corpus-wide counts are summed by
 Spark and looked up again in blocks of at most ``BLOCK_PAIRS`` pairs, one broadcast and one pass over the kept
@@ -100,19 +101,24 @@ def _sides(byte_file: bytes, piece_file: bytes) -> tuple[ByteSide, PieceSide, np
     return a, b, marks
 
 
-def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte offset where tokens of both sides end, in order, the index of either token."""
-    at_a = dict(zip(ends_a.tolist(), range(len(ends_a))))
-    at_b = dict(zip(ends_b.tolist(), range(len(ends_b))))
-    both = sorted(at_a.keys() & at_b.keys())
-    last_a, last_b = (np.fromiter(map(at.__getitem__, both), np.int64, len(both)) for at in (at_a, at_b))
-    return last_a, last_b
+def dictionaries(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Two rows, A and B: at every byte offset the index of the token that ends there, or -1."""
+    index = np.full((2, int(ends_a[-1]) + 1), -1, np.int32)
+    index[0, ends_a], index[1, ends_b] = np.arange(len(ends_a)), np.arange(len(ends_b))
+    return index
 
 
-def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the linked tokens, in order of the bytes where they meet."""
-    either = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, either), np.searchsorted(ends_b, either)
+def common_ends(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every offset where tokens of both sides end, in order, the index of either token."""
+    both = np.flatnonzero((index >= 0).all(axis=0))
+    return index[0, both], index[1, both]
+
+
+def links_of(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the linked tokens, in order of the bytes where they meet: as many ends as lie before."""
+    ends = index >= 0
+    ends = ends[:, ends.any(axis=0)]
+    return np.cumsum(ends[0]) - ends[0], np.cumsum(ends[1]) - ends[1]
 
 
 def _written(a, b, last_a, last_b, marks: np.ndarray, size_a: int, size_b: int) -> Iterator[bytes]:
@@ -160,9 +166,9 @@ def align(
         a, b = side_a.encode(" " + plain), side_b.encode(plain)
         if not (text and side_a.cover(a, b" " + text) and side_b.cover(b, b" " + text)):
             return 0, 0, 0, 0, "", b"", b""
-        ends_a, ends_b = side_a.length[a].cumsum(), side_b.length[b].cumsum()
-        last_a, last_b = common_ends(ends_a, ends_b)
-        link_a, link_b = links_of(ends_a, ends_b)
+        index = dictionaries(side_a.length[a].cumsum(), side_b.length[b].cumsum())
+        last_a, last_b = common_ends(index)
+        link_a, link_b = links_of(index)
         code = a[link_a].astype(np.uint64) * np.uint64(len(side_b.bytes)) + b[link_b].astype(np.uint64)
         pairs, numbers = np.unique(code, return_counts=True)
         written = _written(a, b, last_a, last_b, marks, len(side_a.bytes), len(side_b.bytes))
