@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stopwise.llm.common import pieces, release, staged, utf8
@@ -25,7 +26,8 @@ from stopwise.llm.hashing import LETTERS, lowered, words
 
 LEAST_DOCS, TOP = 3, 200
 UNIT_STEPS, UNIT_BASE = 3, 1000  # 1000 ** 3 shares make a whole
-SLOT_TERMS = 5000  # terms of a language in one partition of the first skybands
+PIECES = 16  # of text whose counts are added up before they leave a task
+SLOT_TERMS = 20_000  # terms of a language in one partition of the first skybands
 MERGED = 16  # skybands that are merged at a time
 BUCKET_TERMS, BLOCK = 2000, 256  # terms and sources on a side of one cell of source pairs
 
@@ -33,28 +35,36 @@ BUCKET_TERMS, BLOCK = 2000, 256  # terms and sources on a side of one cell of so
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences of every term in every group, and documents that have it."""
 
+    def counted(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple:
+        """Group, term and numbers of every combination, the terms as entries of a dictionary."""
+        low = lowered(data)
+        found = words(low, offsets, LETTERS)
+        names = _slices(low, found.start, found.end).dictionary_encode()
+        term, many = names.indices.to_numpy().astype(np.int64), max(len(names.dictionary), 1)
+        own = np.unique(found.doc * many + term, return_counts=True)
+        key, at = np.unique(group[own[0] // many] * many + own[0] % many, return_inverse=True)
+        n, docs = np.bincount(at, own[1]).astype(np.int64), np.bincount(at)
+        return key // many, pa.DictionaryArray.from_arrays(pa.array(key % many, pa.int32()), names.dictionary), n, docs
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
             group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-            for i, j in pieces(offsets):
-                low = lowered(data[offsets[i] : offsets[j]])
-                found = words(low, offsets[i : j + 1], LETTERS)
-                if not len(found.start):
-                    continue
-                names = _slices(low, found.start, found.end).dictionary_encode()
-                term, many = names.indices.to_numpy().astype(np.int64), len(names.dictionary)
-                own = np.unique(found.doc * many + term, return_counts=True)
-                key, at = np.unique(group[i + own[0] // many] * many + own[0] % many, return_inverse=True)
-                n = np.bincount(at, own[1]).astype(np.int64)
+            spans = list(pieces(offsets))
+            for first in range(0, len(spans), PIECES):
+                made = [counted(data[offsets[i] : offsets[j]], offsets[i : j + 1], group[i:j]) for i, j in spans[first : first + PIECES]]
+                groups, names, n, docs = zip(*made)
+                names = pa.chunked_array(names).unify_dictionaries().combine_chunks()
+                term, many = names.indices.to_numpy().astype(np.int64), max(len(names.dictionary), 1)
+                key, at = np.unique(np.concatenate(groups) * many + term, return_inverse=True)
+                sums = [np.bincount(at, np.concatenate(x), len(key)).astype(np.int64) for x in (n, docs)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         lang.dictionary.take(pa.array(key // many // len(source.dictionary))),
                         source.dictionary.take(pa.array(key // many % len(source.dictionary))),
                         names.dictionary.take(pa.array(key % many)).cast(pa.string()),
-                        pa.array(n),
-                        pa.array(np.bincount(at)),
+                        *map(pa.array, sums),
                     ],
                     ["lang", "source", "term", "n", "docs"],
                 )
@@ -65,6 +75,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The byte ranges as an Arrow column: every second entry between alternating bounds."""
+    if not len(start):
+        return pa.array([], pa.large_binary())
     bounds = np.empty(2 * len(start), np.int64)
     bounds[0::2], bounds[1::2] = start, end
     both = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
@@ -119,22 +131,25 @@ class Skyband:
 def _skybands(rows: DataFrame, k: int) -> DataFrame:
     """The skyband of every ``lang, source, slot``. A task holds the kept counts of one at a time."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, band = None, None
         for batch in batches:
-            fresh = (batch[["lang", "source", "slot"]] != batch[["lang", "source", "slot"]].shift()).any(axis=1)
-            starts = [*np.flatnonzero(fresh.to_numpy()).tolist(), len(batch)]
+            ids = [batch.column(c) for c in ("lang", "source", "slot")]
+            fresh = np.zeros(max(len(batch) - 1, 0), bool)
+            for c in ids:
+                fresh |= pc.not_equal(c.slice(1), c.slice(0, max(len(batch) - 1, 0))).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(fresh) + 1).tolist(), len(batch)] if len(batch) else []
             kept = np.zeros(len(batch), bool)
-            n, total = batch["n"].to_numpy(), batch["lang_n"].to_numpy()
+            n, total = batch.column("n").to_numpy(), batch.column("lang_n").to_numpy()
             for i, j in zip(starts, starts[1:]):
-                group = tuple(batch.iloc[i][["lang", "source", "slot"]])
+                group = tuple(c[i].as_py() for c in ids)
                 if group != last:
                     last, band = group, Skyband(k)
                 kept[i:j] = band.keep(n[i:j], total[i:j])
-            yield batch[kept]
+            yield batch.filter(pa.array(kept))
 
     order = ["lang", "source", "slot"]
-    return rows.repartition(*order).sortWithinPartitions(*order, "item").mapInPandas(scan, rows.schema)
+    return rows.repartition(*order).sortWithinPartitions(*order, "item").mapInArrow(scan, rows.schema)
 
 
 def _leading_terms(rows: DataFrame, slots: int, top: int) -> DataFrame:
