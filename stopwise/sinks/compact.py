@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stopwise.sinks.storage import Storage, new_staging
-from stopwise.sinks.table import Table, ensure_table
-from stopwise.sinks.write import move_in, put
+from stopwise.sinks.storage import WRITE, Storage, Writes, at_once
+from stopwise.sinks.table import Table, ensure_table, settle
+from stopwise.sinks.write import put_in_place
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
-_FILE = "file_number__"  # not hidden: folder names that begin with an underscore are
 
 
-def data_files(spark: SparkSession, location: str, small_bytes: int = 0) -> DataFrame:
+def data_files(spark: SparkSession, table: Table, small_bytes: int = 0) -> DataFrame:
     """``(folder, files, bytes, small)`` per partition folder, from the listing; no file is opened."""
-    return (
+    writes = Writes(Storage(spark, table.location))
+    folders = writes.store.leaves("", len(table.partitions))
+    held = {f: c for f, c in zip(folders, at_once(writes.current, folders)) if c is not None}
+    if not held:
+        return spark.createDataFrame([], "folder string, files long, bytes long, small long")
+    found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(location)
-        .select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length")
-        .groupBy("folder")
-        .agg(
-            F.count("*").alias("files"),
-            F.sum("length").alias("bytes"),
-            F.count_if(F.col("length") < small_bytes).alias("small"),
-        )
+        .load([f"{writes.store.root}/{c}" for c in held.values()])
+        .select(F.regexp_replace("path", f"(/{WRITE}=[0-9]+)?/[^/]*$", "").alias("folder"), "length")
+    )
+    return found.groupBy("folder").agg(
+        F.count("*").alias("files"),
+        F.sum("length").alias("bytes"),
+        F.count_if(F.col("length") < small_bytes).alias("small"),
     )
 
 
@@ -39,30 +43,26 @@ def compact(spark: SparkSession, table: Table, target_file_bytes: int = TARGET_F
     unchanged. Partitions that are already compact are neither read nor written.
     """
     ensure_table(spark, table)
-    store = Storage(spark, table.location)
-    listed = data_files(spark, table.location, target_file_bytes // 2).where("small > 1")
-    scattered = {r["folder"]: math.ceil(r["bytes"] / target_file_bytes) for r in listed.collect()}  # one per partition
-    if not scattered:
+    writes = Writes(Storage(spark, table.location))
+    listed = data_files(spark, table, target_file_bytes // 2).where("small > 1").collect()  # one row per partition
+    if not listed:
         return 0
-    rows = spark.read.schema(table.stored_schema).option("basePath", table.location).parquet(*scattered)
-    sizes = spark.createDataFrame(list(scattered.items()), "__folder string, __files int")
-    folder = F.url_decode(F.regexp_replace(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")), "/[^/]*$", ""))
-    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z0-9]+:/*", "/")
-    placed = rows.withColumn("__at", plain(folder)).join(
-        sizes.select(plain(F.col("__folder")).alias("__at"), "__files"), "__at", "left"
-    )
-    # every file of a partition is one key of the shuffle and one folder of the staged copy
-    number = F.pmod(F.xxhash64(*table.columns), F.coalesce("__files", F.lit(1))).cast("int")
-    keyed = placed.withColumn(_FILE, number).repartition(*table.partition_names, _FILE).drop("__at", "__files")
-    staging = new_staging()
-    put(keyed, table, f"{store.root}/{staging}", _FILE)
-    folders = store.leaves(staging, len(table.partitions))
-    for folder in folders:
-        base = f"{staging}/{folder}".rstrip("/")
-        for level, is_folder in store.names(base):
-            for name in store.files(f"{base}/{level}") if is_folder else []:
-                store.move(f"{base}/{level}/{name}", f"{base}/{level.split('=')[1]}-{name}")
-            if is_folder:
-                store.delete(f"{base}/{level}")
-    move_in(spark, table, staging)
-    return len(folders)
+    levels = len(table.partitions)
+    plain = lambda path: "/".join(unquote(path).split("/")[-levels:]) if levels else ""
+    files = {plain(r["folder"]): math.ceil(r["bytes"] / target_file_bytes) for r in listed}
+    held = dict(zip(files, at_once(writes.current, files)))
+    paths = [f"{writes.store.root}/{c}" for c in held.values()]
+    rows = spark.read.schema(table.stored_schema).option("basePath", writes.store.root).parquet(*paths)
+    first = dict(zip(files, itertools.accumulate([0, *files.values()])))
+    sizes = spark.createDataFrame([(f, first[f], n) for f, n in files.items()], "__folder string, __first int, __files int")
+    url = F.url_decode(F.regexp_replace(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")), f"(/{WRITE}=[0-9]+)?/[^/]*$", ""))
+    folder = F.array_join(F.slice(F.split(url, "/"), -levels, levels), "/") if levels else F.lit("")
+    placed = rows.select(*table.columns, *table.partition_names, folder.alias("__at"))
+    placed = placed.join(F.broadcast(sizes), F.col("__at") == F.col("__folder"))
+    # every file is a number, and every number a task of its own
+    number = F.col("__first") + F.pmod(F.xxhash64(*table.columns), "__files")
+    keyed = placed.repartitionById(sum(files.values()), number.cast("int")).select(*table.columns, *table.partition_names)
+    own = writes.begin()
+    writes.commit(own, put_in_place(keyed, table, own), [])
+    settle(spark, table, writes)
+    return len(files)

@@ -1,15 +1,30 @@
-"""Folders and small files on the storage of the tables, and the journalled swap of a table's content."""
+"""Folders of a table on storage, and the record of its writes.
+
+Every write puts its files where they stay: into a folder ``write__=<number>`` of its own inside each partition
+folder. What a reader sees is the folder the catalog names for a partition, so a write becomes visible by
+switching locations; no file is moved or copied, and a partition is never without content in between. What a
+write has replaced is deleted by the next one, which leaves readers that began before the switch their files.
+"""
 
 from __future__ import annotations
 
 import json
-import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+WRITE = "write__"  # not hidden: folder names that begin with an underscore are
+JOURNAL = "_writes"
+THREADS = 16  # requests to the storage or the catalog at a time
+
+
+def at_once(step: Callable, items: Iterable) -> list:
+    """``step`` of every item, several at a time; requests wait for a server rather than for this process."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        return list(pool.map(step, items))
 
 
 class Storage:
@@ -38,29 +53,28 @@ class Storage:
         """Partition folders ``depth`` levels below ``folder``, relative to it."""
         found = [""]
         for _ in range(depth):
-            found = [f"{f}/{n}".lstrip("/") for f in found for n, d in self.names(f"{folder}/{f}".strip("/")) if d]
+            listed = at_once(lambda f: self.names(f"{folder}/{f}".strip("/")), found)
+            found = [f"{f}/{n}".lstrip("/") for f, names in zip(found, listed) for n, d in names if d]
         return found
 
-    def files(self, folder: str) -> list[str]:
-        return [n for n, d in self.names(folder) if not d]
-
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
-    def move(self, old: str, new: str) -> None:
-        self._fs.mkdirs(self.path(new).getParent())
-        if not self._fs.rename(self.path(old), self.path(new)):
-            raise OSError(f"cannot move {self.root}/{old} to {new}")
+    def make(self, folder: str) -> None:
+        self._fs.mkdirs(self.path(folder))
 
     def write(self, name: str, text: str) -> None:
-        """Under another name first, so a reader finds the whole text or none."""
+        """Under another name first, so a reader finds the whole text; see :meth:`read`."""
         out = self._fs.create(self.path(name + ".new"), True)
         out.write(bytearray(text.encode()))
         out.close()
         self.delete(name)
-        self.move(name + ".new", name)
+        if not self._fs.rename(self.path(name + ".new"), self.path(name)):
+            raise OSError(f"cannot write {self.root}/{name}")
 
     def read(self, name: str) -> str | None:
+        """The text; if the run died while it was replaced, what it was being replaced by."""
+        name = name if self.exists(name) else name + ".new"
         if not self.exists(name):
             return None
         stream = self._fs.open(self.path(name))
@@ -76,46 +90,70 @@ def partition_values(folder: str) -> dict[str, str | None]:
     return {unquote(n): None if v == NULL_PARTITION else unquote(v) for n, v in pairs}
 
 
-JOURNAL = "_swap"
+# What Spark percent-escapes in the names of partition folders, besides control characters.
+_ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
 
 
-def new_staging() -> str:
-    """A folder of the table that readers do not see."""
-    return f"_staged_{uuid.uuid4().hex}"
+def partition_folder(values: dict[str, str | None]) -> str:
+    """The reverse of :func:`partition_values`: the folder Spark writes for these values."""
 
+    def escaped(text: str) -> str:
+        return "".join(f"%{ord(c):02X}" if c in _ESCAPED or c < " " else c for c in text)
 
-def swap(store: Storage, staging: str, folders: list[str], replacing: bool, emptied: Iterable[str] = ()) -> None:
-    """Bring staged content in: ``folders`` replace those of the same name, or their files are added.
+    return "/".join(f"{escaped(n)}={escaped(v) if v else NULL_PARTITION}" for n, v in values.items())
 
-    The journal is written first, so a run that dies at any point is finished by :func:`finish_swap`.
+
+class Writes:
+    """The numbered writes of one table. One writer at a time.
+
+    The record holds the last committed number, the number of a write that has begun, numbers of writes that
+    died, folders replaced by the last write, and catalog changes that are committed but perhaps not yet made.
     """
-    old = store.files("") if replacing and folders == [""] else []
-    entry = {"staging": staging, "folders": folders, "replacing": replacing, "emptied": list(emptied), "old": old}
-    store.write(JOURNAL, json.dumps(entry))
-    finish_swap(store)
-
-
-def finish_swap(store: Storage) -> tuple[list[str], list[str]]:
-    """Finish what the journal says, if there is one; ``(filled, emptied)`` folders. Safe to repeat."""
-    text = store.read(JOURNAL)
-    if text is None:
-        return [], []
-    entry = json.loads(text)
-    staging = entry["staging"]
-    for name in entry["old"]:
-        store.delete(name)
-    for folder in entry["folders"]:
-        source = f"{staging}/{folder}".rstrip("/")
-        if not store.exists(source):
-            continue  # moved before the run died
-        if entry["replacing"] and folder:
-            store.delete(folder)
-            store.move(source, folder)
-        else:
-            for name in store.files(source):
-                store.move(f"{source}/{name}", f"{folder}/{name}".lstrip("/"))
-    for folder in entry["emptied"]:
-        store.delete(folder)
-    store.delete(staging)
-    store.delete(JOURNAL)
-    return entry["folders"], entry["emptied"]
+
+    def __init__(self, store: Storage) -> None:
+        self.store = store
+        text = store.read(JOURNAL)
+        empty = {"last": 0, "begun": None, "dead": [], "replaced": [], "pending": None}
+        self.record = json.loads(text) if text else empty
+
+    def _save(self) -> None:
+        self.store.write(JOURNAL, json.dumps(self.record))
+
+    def begin(self) -> int:
+        """A new number. Deletes what the last write replaced."""
+        if (begun := self.record["begun"]) is not None:
+            self.record["dead"].append(begun)
+        at_once(self.store.delete, self.record["replaced"])
+        number = max([self.record["last"], *self.record["dead"]]) + 1
+        self.record |= {"begun": number, "replaced": []}
+        self._save()
+        return number
+
+    def current(self, folder: str) -> str | None:
+        """What holds the content of a partition folder, relative to the table; None if nothing does."""
+        names = self.store.names(folder)
+        numbers = [int(n.split("=")[1]) for n, d in names if d and n.startswith(f"{WRITE}=")]
+        valid = [n for n in numbers if n <= self.record["last"] and n not in self.record["dead"]]
+        if valid:
+            found = f"{folder}/{WRITE}={max(valid)}".lstrip("/")
+            return found if self.store.names(found) else None  # an empty folder: the partition was emptied
+        return folder if any(not d for _, d in names) else None
+
+    def commit(self, number: int, filled: list[str], emptied: list[str]) -> None:
+        """From here on the write counts; the catalog follows, see :meth:`pending`."""
+        own = f"{WRITE}={number}"
+        at_once(lambda f: self.store.make(f"{f}/{own}".lstrip("/")), emptied)
+        folders = [*filled, *emptied]
+        listed = at_once(self.store.names, folders)
+        replaced = [f"{f}/{n}".lstrip("/") for f, names in zip(folders, listed) for n, d in names if n != own and (f or not d or WRITE in n)]
+        new = [f for f, names in zip(folders, listed) if all(n == own for n, _ in names)]
+        pending = {"number": number, "filled": filled, "emptied": emptied, "new": new}
+        self.record |= {"last": number, "begun": None, "replaced": replaced, "pending": pending}
+        self._save()
+
+    def pending(self) -> dict | None:
+        return self.record["pending"]
+
+    def settled(self) -> None:
+        self.record["pending"] = None
+        self._save()

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stopwise.functions.clock import utc_date, utc_hour_key
-from stopwise.sinks.storage import Storage, finish_swap, partition_values
+from stopwise.sinks.storage import WRITE, Storage, Writes, at_once, partition_values
 
 _PARTITIONS_PER_STATEMENT = 500
+_FILTERED_TYPES = ("string", "bigint", "int", "date")
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,17 @@ class Table:
     def partition_names(self) -> list[str]:
         return [p.name for p in self.partitions]
 
+    @property
+    def filtered_keys(self) -> list[str]:
+        """Key columns whose row groups carry Bloom filters, see ``upsert``."""
+        return [k for k in self.keys if self.columns[k] in _FILTERED_TYPES]
+
+    @property
+    def write_options(self) -> dict[str, str]:
+        """Bloom filters on the keys, sized by the values a row group holds."""
+        filters = {f"parquet.bloom.filter.enabled#{k}": "true" for k in self.filtered_keys}
+        return filters | {"parquet.bloom.filter.adaptive.enabled": "true"} if filters else {}
+
     @property
     def stored_schema(self) -> str:
         stored = {**self.columns, **{p.name: p.data_type for p in self.partitions}}
@@ -79,24 +91,30 @@ def ensure_namespace_of(spark: SparkSession, table_name: str, table_location: st
 def ensure_table(spark: SparkSession, table: Table) -> bool:
     """Create the table if it is absent; an existing one is left as it is. True if created.
 
-    Data already at the location (from an earlier session without a shared catalog) is picked up. A swap
-    of files that an earlier run began and did not end is ended first.
+    Data already at the location (from an earlier session without a shared catalog) is picked up. Catalog
+    changes of a write that was committed by an earlier run and not ended are made first.
     """
     store = Storage(spark, table.location)
-    filled, emptied = finish_swap(store)
     if spark.catalog.tableExists(table.name):
-        publish(spark, table, filled, emptied)
+        settle(spark, table, Writes(store))
         return False
     ensure_namespace_of(spark, table.name, table.location)
-    empty = spark.createDataFrame([], table.stored_schema).write.mode("ignore")
-    (empty.partitionBy(*table.partition_names) if table.partitions else empty).parquet(table.location)
+    store.make("")
+    writes = Writes(store)
+    folders = store.leaves("", len(table.partitions))
+    found = {f: c for f, c in zip(folders, at_once(writes.current, folders)) if c is not None}
+    whole = store.root
+    if not table.partitions:  # never the root itself, below which a write that has not been committed may lie
+        whole = f"{store.root}/{found.get('', f'{WRITE}=0')}".rstrip("/")
+        Storage(spark, whole).make("")
     layout = f"PARTITIONED BY ({', '.join(table.partition_names)})" if table.partitions else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table.name} ({table.stored_schema}) USING parquet {layout}"
-        f" LOCATION '{table.location}'"
+        f"CREATE TABLE IF NOT EXISTS {table.name} ({table.stored_schema}) USING parquet {layout} LOCATION '{whole}'"
     )
-    if table.partitions and store.names(""):
-        spark.sql(f"ALTER TABLE {table.name} RECOVER PARTITIONS")
+    if table.partitions:
+        add_partitions(spark, table, found)
+    if writes.pending():
+        writes.settled()
     spark.catalog.refreshTable(table.name)
     return True
 
@@ -113,17 +131,52 @@ def partition_spec(folder: str) -> str:
     return ", ".join(f"{n} = {literal(v)}" for n, v in partition_values(folder).items())
 
 
-def publish(spark: SparkSession, table: Table, filled: Sequence[str] = (), emptied: Sequence[str] = ()) -> None:
-    """Tell the catalog which partition folders have come and gone; nothing else is listed."""
-    for start in range(0, len(filled) if table.partitions else 0, _PARTITIONS_PER_STATEMENT):
-        few = filled[start : start + _PARTITIONS_PER_STATEMENT]
-        specs = " ".join(f"PARTITION ({partition_spec(f)})" for f in few)
+def _literal(path: str) -> str:
+    return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def add_partitions(spark: SparkSession, table: Table, places: Mapping[str, str]) -> None:
+    """Partition folders, and what holds their content, that the catalog may not know yet."""
+    root, items = table.location.rstrip("/"), list(places.items())
+    for start in range(0, len(items), _PARTITIONS_PER_STATEMENT):
+        few = items[start : start + _PARTITIONS_PER_STATEMENT]
+        specs = " ".join(f"PARTITION ({partition_spec(f)}) LOCATION {_literal(f'{root}/{c}')}" for f, c in few)
         spark.sql(f"ALTER TABLE {table.name} ADD IF NOT EXISTS {specs}")
-    for start in range(0, len(emptied), _PARTITIONS_PER_STATEMENT):
-        few = emptied[start : start + _PARTITIONS_PER_STATEMENT]
-        specs = ", ".join(f"PARTITION ({partition_spec(f)})" for f in few)
-        spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS {specs}")
+
+
+def publish(spark: SparkSession, table: Table, filled: Sequence[str]) -> None:
+    """Partition folders that were written without a number of their own."""
+    if table.partitions:
+        add_partitions(spark, table, {f: f for f in filled})
+    spark.catalog.refreshTable(table.name)
+
+
+def settle(spark: SparkSession, table: Table, writes: Writes) -> None:
+    """Make the catalog follow the last committed write. Safe to repeat.
+
+    Every partition changes from its old to its new folder in one statement.
+    """
+    pending = writes.pending()
+    if pending is None:
+        return
+    root, own = table.location.rstrip("/"), f"{WRITE}={pending['number']}"
+    if table.partitions:
+        new = set(pending["new"])
+        add_partitions(spark, table, {f: f"{f}/{own}" for f in pending["filled"]})
+
+        def switch(folder: str) -> None:
+            place = _literal(f"{root}/{folder}/{own}")
+            spark.sql(f"ALTER TABLE {table.name} PARTITION ({partition_spec(folder)}) SET LOCATION {place}")
+
+        at_once(switch, [f for f in pending["filled"] if f not in new])
+        for start in range(0, len(pending["emptied"]), _PARTITIONS_PER_STATEMENT):
+            few = pending["emptied"][start : start + _PARTITIONS_PER_STATEMENT]
+            specs = ", ".join(f"PARTITION ({partition_spec(f)})" for f in few)
+            spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS {specs}")
+    elif pending["filled"]:
+        spark.sql(f"ALTER TABLE {table.name} SET LOCATION {_literal(f'{root}/{own}')}")
     spark.catalog.refreshTable(table.name)
+    writes.settled()
 
 
 def with_partitions(df: DataFrame, partitions: Sequence[Partition]) -> DataFrame:

@@ -1,29 +1,47 @@
 """Plain writes. Rows are rebalanced by partition first, so files come out neither tiny nor huge and
 a partition that holds most of the rows is written by many tasks.
 
-Every write goes to a hidden folder of the table first and is then moved in under a journal. Moving is a
-rename where the storage has one; on an object store it is a copy of the new files.
+Files are written where they stay, into a folder of the write's own in every partition, and become visible when
+the catalog is switched to it; see ``stopwise.sinks.storage``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from stopwise.session import scratch_dir
-from stopwise.sinks.storage import Storage, new_staging, swap
-from stopwise.sinks.table import Table, conform, ensure_namespace_of, ensure_table, publish
+from stopwise.sinks.storage import WRITE, Storage, Writes, at_once, partition_folder
+from stopwise.sinks.table import Table, conform, ensure_namespace_of, ensure_table, settle
 
 
 def rebalanced(df: DataFrame, table: Table) -> DataFrame:
     return df.hint("rebalance", *table.partition_names)
 
 
-def put(df: DataFrame, table: Table, path: str, *more_levels: str) -> None:
-    levels = [*table.partition_names, *more_levels]
+def put(df: DataFrame, table: Table, path: str) -> None:
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*levels) if levels else writer).parquet(path)
+    (writer.partitionBy(*table.partition_names) if table.partitions else writer).parquet(path)
+
+
+def put_in_place(df: DataFrame, table: Table, number: int) -> list[str]:
+    """Write into the folders of write ``number``, or of the one in column ``WRITE``; returns the partition folders."""
+    seen = Observation()
+    df = df if WRITE in df.columns else df.withColumn(WRITE, F.lit(number))
+    names = table.partition_names
+    if names:  # counted while the rows pass, one entry per partition
+        df = df.observe(seen, F.collect_set(F.to_json(F.array(*[F.col(n).cast("string") for n in names]))).alias("found"))
+    writer = df.write.mode("append").partitionBy(*names, WRITE)
+    for option, value in table.write_options.items():
+        writer = writer.option(option, value)
+    writer.parquet(table.location)
+    if not names:
+        return [""]
+    return sorted({partition_folder(dict(zip(names, json.loads(x)))) for x in seen.get["found"]})
 
 
 def stage(spark: SparkSession, df: DataFrame, table: Table) -> DataFrame:
@@ -43,27 +61,18 @@ def discard(spark: SparkSession, staged: DataFrame) -> None:
     Storage(spark, staged._staged_at).delete("")
 
 
-def replace(
-    spark: SparkSession, table: Table, df: DataFrame, touched: Sequence[str] = (), replacing: bool = True
-) -> None:
-    """Swap the partitions ``df`` has rows for (the whole table if it has no partitions).
+def replace(spark: SparkSession, table: Table, df: DataFrame, touched: Sequence[str] = ()) -> None:
+    """New content for the partitions ``df`` has rows for (for the whole table if it has no partitions).
 
-    ``touched`` partition folders that ``df`` has no rows for are emptied. With ``replacing=False`` the rows
-    are added instead.
+    ``touched`` partition folders that ``df`` has no rows for are emptied.
     """
-    store, staging = Storage(spark, table.location), new_staging()
-    put(df, table, f"{store.root}/{staging}")
-    move_in(spark, table, staging, touched, replacing)
-
-
-def move_in(
-    spark: SparkSession, table: Table, staging: str, touched: Sequence[str] = (), replacing: bool = True
-) -> None:
-    store = Storage(spark, table.location)
-    filled = store.leaves(staging, len(table.partitions))
-    emptied = sorted(set(touched) - set(filled)) if table.partitions else []
-    swap(store, staging, filled, replacing, emptied)
-    publish(spark, table, filled, emptied)
+    writes = Writes(Storage(spark, table.location))
+    number = writes.begin()
+    filled = put_in_place(df, table, number)
+    if not table.partitions:
+        writes.store.make(f"{WRITE}={number}")
+    writes.commit(number, filled, sorted(set(touched) - set(filled)) if table.partitions else [])
+    settle(spark, table, writes)
 
 
 def overwrite_partitions(spark: SparkSession, table: Table, df: DataFrame) -> None:
@@ -87,10 +96,43 @@ def append(spark: SparkSession, table: Table, df: DataFrame) -> Table:
     grown = Table(
         table.name, table.location, {**table.columns, **added}, table.keys, table.partitions
     )
-    replace(spark, grown, rebalanced(conform(df, grown), grown), replacing=False)
+    add_rows(spark, grown, conform(df, grown))
     return grown
 
 
+def add_rows(spark: SparkSession, table: Table, rows: DataFrame) -> None:
+    """Add files to the folders that hold the content of their partitions; new partitions get a folder of this write.
+
+    The partitions are found first, by a scan of the partition columns alone, so ``rows`` must come out the
+    same when it is read again. Spark's commit protocol decides when the files appear.
+    """
+    writes = Writes(Storage(spark, table.location))
+    number, names = writes.begin(), table.partition_names
+    folders = {"": None}
+    if names:
+        values = rows.select(*[F.col(n).cast("string") for n in names]).distinct().collect()  # one row per partition
+        folders = {partition_folder(r.asDict()): r for r in values}
+    held = dict(zip(folders, at_once(writes.current, folders)))
+    own = f"{WRITE}={number}"
+    at = {f: int(c.rsplit("=", 1)[1]) for f, c in held.items() if c is not None and c != f}
+    if flat := [f for f, c in held.items() if c is not None and c == f]:
+        raise ValueError(f"{table.name}: {flat[0] or 'its folder'} was not written by this library")
+    if names:
+        schema = ", ".join(f"`{n}` string" for n in names) + f", `{WRITE}` int"
+        targets = spark.createDataFrame([(*r, at.get(f, number)) for f, r in folders.items()], schema)
+        same = [F.col(f"l.{n}").cast("string").eqNullSafe(F.col(f"r.{n}")) for n in names]
+        placed = rows.alias("l").join(F.broadcast(targets).alias("r"), reduce(and_, same), "left").select("l.*", WRITE)
+        placed = placed.withColumn(WRITE, F.coalesce(WRITE, F.lit(number)))
+    else:
+        placed = rows.withColumn(WRITE, F.lit(at.get("", number)))
+    filled = put_in_place(rebalanced(placed, table), table, number)
+    fresh = [f for f in filled if f not in at]
+    if not table.partitions and fresh:
+        writes.store.make(own)
+    writes.commit(number, fresh, [])
+    settle(spark, table, writes)
+
+
 def full_refresh(spark: SparkSession, name: str, location: str, df: DataFrame) -> None:
     """Create or replace the table with the result of a query; the schema is the query's."""
     ensure_namespace_of(spark, name, location)

@@ -14,6 +14,7 @@ from stopwise.sinks import Table, append, compact, day_partition, ensure_table,
 from stopwise.sinks import storage
 from stopwise.sinks.compact import data_files
 from stopwise.sinks.table import MissingColumns, scan
+from stopwise.sinks.upsert import probe
 from test_tables import COLUMNS, FIRST, content, frame
 
 
@@ -29,36 +30,100 @@ class Died(Exception):
     pass
 
 
-@pytest.mark.parametrize("parts", LAYOUTS)
-@pytest.mark.parametrize("survived", range(7))
-def test_dead_upsert_is_finished_by_the_next(spark, tmp_path, monkeypatch, parts, survived):
-    """The run dies after any number of moves and deletions of files; nothing is lost."""
-    table = new_table(tmp_path, parts)
-    upsert(spark, table, frame(spark, *FIRST))
-    steps = iter(range(survived))
+WHOLE = {1: (1, "01 10:00", "07x", 1), None: (None, None, "it's", 9)}
+OLD = WHOLE | {2: (2, "01 11:00", "08", 2), 3: (3, "02 11:00", "", 3)}
+NEW = WHOLE | {2: (2, "01 11:00", "08", 22), 3: (3, "05 11:00", "", 33), 4: (4, "01 11:00", "07", 4)}
 
-    def dying(old):
-        def step(self, name, *more):
-            if name != storage.JOURNAL + ".new" and next(steps, None) is None:
-                raise Died
-            return old(self, name, *more)
 
-        return step
+def steps_of_a_write(monkeypatch, spark, before):
+    """Calls ``before(n)`` ahead of the n-th change of storage or catalog."""
+    count = iter(range(10_000))
+
+    def watched(owner, name):
+        old = getattr(owner, name)
+
+        def step(self, text, *more):
+            if name != "sql" or text.startswith("ALTER"):
+                before(next(count))
+            return old(self, text, *more)
+
+        monkeypatch.setattr(owner, name, step)
+
+    for name in ("write", "delete", "make"):
+        watched(storage.Storage, name)
+    watched(type(spark), "sql")
+
+
+@pytest.mark.parametrize("parts", LAYOUTS)
+def test_dead_upsert_is_finished_by_the_next(spark, tmp_path, monkeypatch, parts):
+    """The run dies before any change of storage or catalog; nothing is lost, with the catalog or (odd) without."""
+    monkeypatch.setattr(storage, "THREADS", 1)
+    for survived in range(40):
+        table = new_table(tmp_path / str(survived), parts)
+        upsert(spark, table, frame(spark, *FIRST))
+
+        def before(n):
+            if n == survived:
+                raise Died
 
-    for name in ("move", "delete"):
-        monkeypatch.setattr(storage.Storage, name, dying(getattr(storage.Storage, name)))
-    with pytest.raises(Died):
+        with monkeypatch.context() as patch:
+            steps_of_a_write(patch, spark, before)
+            try:
+                upsert(spark, table, frame(spark, *NEXT))
+                break
+            except Died:
+                pass
+        if survived % 2:
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+        ensure_table(spark, table)  # what every write begins with
+        assert content(spark, table) in (sorted(OLD.values(), key=repr), sorted(NEW.values(), key=repr)), survived
         upsert(spark, table, frame(spark, *NEXT))
+        assert {r[0]: r for r in content(spark, table)} == NEW and len(content(spark, table)) == 5
+    assert survived > 5
+
+
+@pytest.mark.parametrize("parts", LAYOUTS)
+def test_readers_see_old_or_new_rows_of_every_partition(spark, tmp_path, monkeypatch, parts):
+    """Between any two steps of a write, and with a plan made before it, a partition has its old or its new rows."""
+    monkeypatch.setattr(storage, "THREADS", 1)
+    table = new_table(tmp_path, parts)
+    many = [(k, f"2024-01-{k % 5 + 1:02d} 10:00", "aa", k) for k in range(20)]
+    upsert(spark, table, frame(spark, *many))
+    earlier, seen = spark.table(table.name), []
+
+    def read(_):
+        for df in (spark.table(table.name), earlier):
+            rows = df.select(F.dayofmonth("ts"), F.col("v") >= 1000).collect()
+            days = {d: [new for e, new in rows if e == d] for d in range(1, 6)}
+            assert all(len(x) == 4 and len(set(x)) == 1 for x in days.values())
+            seen.append(tuple(all(x) for x in days.values()))
+
+    steps_of_a_write(monkeypatch, spark, read)
+    upsert(spark, table, frame(spark, *[(k, t, line, v + 1000) for k, t, line, v in many]))
     monkeypatch.undo()
-    ensure_table(spark, table)  # what every write begins with
-    after = content(spark, table)
-    whole = {1: (1, "01 10:00", "07x", 1), None: (None, None, "it's", 9)}
-    old = whole | {2: (2, "01 11:00", "08", 2), 3: (3, "02 11:00", "", 3)}
-    new = whole | {2: (2, "01 11:00", "08", 22), 3: (3, "05 11:00", "", 33), 4: (4, "01 11:00", "07", 4)}
-    assert after in (sorted(old.values(), key=repr), sorted(new.values(), key=repr))
-    upsert(spark, table, frame(spark, *NEXT))
-    got = {r[0]: r for r in content(spark, table)}
-    assert got == new
+    assert seen[0] == (False,) * 5 and len(set(seen)) == 2
+    assert {r[3] for r in content(spark, table)} == {k + 1000 for k in range(20)}
+
+
+def test_row_groups_without_a_key_are_skipped(spark, tmp_path):
+    """Keys strewn over all files: statistics cannot exclude a row group, Bloom filters do."""
+    table = new_table(tmp_path, (day_partition("ts"),))
+    rows = spark.range(200_000).selectExpr("id * 7919 % 200000 AS id", "timestamp_seconds(1704067200 + id % 40 * 86400) AS ts", "'a' AS line", "1 AS v")
+    upsert(spark, table, rows, stable_partitions=True)
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
+    try:
+        found = probe(spark, table, spark.createDataFrame([(11,), (7919,)], "id bigint"))
+        assert len(found.collect()) == 2
+        nodes = [found._jdf.queryExecution().executedPlan()]
+        read = 0
+        while nodes:
+            node = nodes.pop()
+            if node.metrics().contains("numFiles"):
+                read = node.metrics().apply("numOutputRows").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.parquet.pushdown.inFilterThreshold")
+    assert spark.table(table.name).count() == 200_000 and 2 <= read < 100_000
 
 
 def test_touched_folders_are_all_that_is_read(spark, tmp_path, monkeypatch):
@@ -136,10 +201,10 @@ def test_compaction_obeys_its_target(spark, tmp_path):
     )
     for k in range(12):
         append(spark, table, rows.where(f"id % 12 = {k}").coalesce(1))
-    size = data_files(spark, table.location).first()["bytes"]
+    size = data_files(spark, table).first()["bytes"]
     target = size // 3
     assert compact(spark, table, target) == 1
-    after = data_files(spark, table.location).first()
+    after = data_files(spark, table).first()
     assert after["files"] in (3, 4) and spark.table(table.name).count() == 40_000
     assert compact(spark, table, target) == 0
 
