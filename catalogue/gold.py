@@ -109,7 +109,7 @@ _ARRIVALS_SQL = f"""
      FROM {EVENTS_SQL} e WHERE event_type <> 'error')
 """
 
-_WEATHER_SQL = f"""
+WEATHER_SQL = f"""
     (SELECT 'w' || event_id AS obs_id, ts AS obs_ts, floor(value) / 8 AS temp_c, floor(value) / 4 AS wind_kph,
             CASE WHEN k >= 10 THEN k * k / 4096.0 END AS precip_mm, 10 - k / 20.0 AS vis_km,
             'sky ' || k AS condition_text, k, k AS humidity, k / 10.0 AS uv, value / 2 AS air_pm10,
@@ -179,7 +179,7 @@ def headway_over_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM {_ARRIVALS_SQL} a
     LEFT JOIN (SELECT slot, count(*) AS n, min(epoch_us(obs_ts)) AS first_us,
                       max(epoch_us(obs_ts)) AS last_us, sum(k) AS total_k
-               FROM {_WEATHER_SQL} o GROUP BY slot) s
+               FROM {WEATHER_SQL} o GROUP BY slot) s
       ON s.slot BETWEEN a.slot - 2 AND a.slot + 2
     GROUP BY a.id
 """, name="band_join", nullable=("first_us", "last_us", "total_k"))
@@ -195,7 +195,7 @@ def weather_in_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join(facts, observations, "event_ts", "obs_ts", measures, ["id"]).drop("event_ts")
 
 
-def _nearest_sql(observations: str, within: str = "o.slot BETWEEN a.slot - 2 AND a.slot + 2") -> str:
+def nearest_sql(observations: str, within: str = "o.slot BETWEEN a.slot - 2 AND a.slot + 2") -> str:
     return f"""
         SELECT id, obs_id, round(temp_c, 4) AS temp_c FROM (
             SELECT a.id, o.obs_id, o.temp_c,
@@ -218,22 +218,22 @@ def _nearest(spark: SparkSession, sf_dir: str, observations: DataFrame, **option
     ).select("id", "obs_id", "temp_c")
 
 
-@query(_nearest_sql(_WEATHER_SQL))
+@query(nearest_sql(WEATHER_SQL))
 def nearest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, weather(spark, sf_dir))
 
 
-@query(_nearest_sql(_WEATHER_SQL))
+@query(nearest_sql(WEATHER_SQL))
 def nearest_without_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, weather(spark, sf_dir), max_broadcast_bytes=0)
 
 
-@query(_nearest_sql(f"(SELECT * FROM {_WEATHER_SQL} q WHERE k < 20)"))
+@query(nearest_sql(f"(SELECT * FROM {WEATHER_SQL} q WHERE k < 20)"))
 def nearest_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, weather(spark, sf_dir).where(F.col("humidity") < 20))
 
 
-@query(_nearest_sql(_WEATHER_SQL, "abs(a.sec - o.sec) <= 3600"))
+@query(nearest_sql(WEATHER_SQL, "abs(a.sec - o.sec) <= 3600"))
 def nearest_exact_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, weather(spark, sf_dir), mode="exact")
 
@@ -253,8 +253,8 @@ _ENRICHED_SQL = f"""
                     ELSE 'good' END AS weather_severity
         FROM {_ARRIVALS_SQL} a
         JOIN {_HEADWAY_SQL} h ON h.id = a.id
-        JOIN ({_nearest_sql(_WEATHER_SQL)}) n ON n.id = a.id
-        LEFT JOIN {_WEATHER_SQL} o ON o.obs_id = n.obs_id) f) g)
+        JOIN ({nearest_sql(WEATHER_SQL)}) n ON n.id = a.id
+        LEFT JOIN {WEATHER_SQL} o ON o.obs_id = n.obs_id) f) g)
 """
 
 
@@ -329,16 +329,19 @@ _ROUNDED = ("delay_rate", "adverse_rate", "weather_attrib_rate", "avg_temp_c", "
 _COUNTS = ("total_preds", "delayed_preds", "adverse_preds", "weather_attrib_delays")
 
 
-@query(f"""
+HOURLY_SQL = f"""
     SELECT epoch_us(event_hour) AS hour_us, line, {", ".join(_COUNTS)},
            {", ".join(f"round({c}, 6) AS {c}" for c in _ROUNDED)}
     FROM {_HOURLY_SQL} h
-""", name="hourly_rollup")
+"""
+
+
+@query(HOURLY_SQL, name="hourly_rollup")
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown_hours(hourly_rollup(enriched(spark, sf_dir), CONFIG))
+    return shown_hours(hourly_rollup(enriched(spark, sf_dir), CONFIG))
 
 
-def _shown_hours(hourly: DataFrame) -> DataFrame:
+def shown_hours(hourly: DataFrame) -> DataFrame:
     return hourly.select(
         F.unix_micros("event_hour").alias("hour_us"),
         "line",
@@ -362,7 +365,7 @@ def gold_hourly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = facts.withColumn("line", F.when(F.col("bus") != 7, F.col("line")))
     for _ in range(2):
         _, hourly = build_gold(spark, lost, timetable(spark, sf_dir), weather(spark, sf_dir), folder, database, CONFIG)
-    return _shown_hours(spark.table(hourly.name))
+    return shown_hours(spark.table(hourly.name))
 
 
 @query(f"""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogue.base import EVENTS_SQL, events, new_database, new_folder, query
-from stopwise.plans.tables import live_weather
+from catalogue.gold import CONFIG, HOURLY_SQL, arrivals, enriched, nearest_sql, shown_hours, weather, WEATHER_SQL
+from stopwise.jobs import fold_live
+from stopwise.plans.tables import delay_weather_hourly, live_weather, meteorology_current
 from stopwise.streaming import observations_from_live, stream_files, stream_messages, write_bronze, write_live
 from stopwise.streaming.live import dead_letter_table
 from stopwise.streaming.landing import DOMAINS
+from stopwise.streaming.state import deduplicated, nearest_in_streams, roll_up_hours, write_rollup, write_rows
 
 _ONCE = {"availableNow": True}
 
@@ -154,3 +157,79 @@ def route_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.regexp_extract("bronze_path", "(bronze/.*)/[^/]*$", 1)
     return _run_bronze(spark, sf_dir).select("value", "domain", place.alias("place"))
+
+
+def _landed(df: DataFrame, folder: str, times: int = 1) -> DataFrame:
+    """A stream of files that each hold the events of a quarter of the ids, read one after the other."""
+    quarter = F.pmod(F.col("__part"), F.lit(4))
+    for part in range(4):
+        for _ in range(times):
+            df.where(quarter == part).drop("__part").coalesce(1).write.mode("append").parquet(folder)
+    spark, schema = df.sparkSession, df.drop("__part").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+@query(HOURLY_SQL)
+def stream_hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour gets rows in each of four micro-batches and is replaced each time."""
+    database, folder = new_database(spark, "rolling")
+    facts = enriched(spark, sf_dir).withColumn("__part", F.col("id").cast("bigint"))
+    hourly = delay_weather_hourly(folder, database)
+    rolled = roll_up_hours(_landed(facts, f"{folder}/in"), "60 days", CONFIG)
+    write_rollup(rolled, hourly, f"{folder}/checkpoint", _ONCE).awaitTermination()
+    return shown_hours(spark.table(hourly.name))
+
+
+@query("SELECT event_id, epoch_us(ts) AS ts_us, event_type, round(value, 2) AS value FROM events")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file comes three times."""
+    folder = new_folder(spark, "repeated")
+    rows = events(spark, sf_dir).select("event_id", "ts", "event_type", "value", F.col("event_id").alias("__part"))
+    found = deduplicated(_landed(rows, f"{folder}/in", 3), ["event_id"], "ts", "60 days")
+    write_rows(found, f"{folder}/out", f"{folder}/checkpoint", _ONCE).awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return out.select("event_id", F.unix_micros("ts").alias("ts_us"), "event_type", F.round("value", 2).alias("value"))
+
+
+@query(nearest_sql(WEATHER_SQL))
+def stream_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals and weather as two streams; a heartbeat on each moves the watermark past the last window."""
+    folder = new_folder(spark, "near")
+    beat = F.lit("2034-01-01 00:00:00").cast("timestamp")
+    sides = {
+        "events": arrivals(spark, sf_dir).select("id", "event_ts"),
+        "weather": weather(spark, sf_dir).select(
+            F.col("id").alias("obs_id"), "obs_ts", F.round("temp_c", 4).alias("temp_c")
+        ),
+    }
+    streams = []
+    for name, rows in sides.items():
+        beats = rows.limit(1).select(*[
+            beat.alias(c) if kind == "timestamp" else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes
+        ])
+        rows.unionByName(beats).write.parquet(f"{folder}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}"))
+    found = nearest_in_streams(*streams, "event_ts", "obs_ts", "obs_id", ["id"])
+    write_rows(found, f"{folder}/out", f"{folder}/checkpoint", _ONCE).awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return out.where(F.col("id").isNotNull()).select("id", "obs_id", "temp_c")
+
+
+@query(f"""
+    SELECT CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS obs_sec, 0::BIGINT AS live_rows
+    FROM {EVENTS_SQL} e WHERE k > 10 GROUP BY 1
+""")
+def live_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of messages, each folded and dropped; a third fold finds nothing."""
+    database, folder = new_database(spark, "fold")
+    good, dead = live_weather(folder, database), dead_letter_table(f"{database}.dead", f"{folder}/dead")
+    for part in (0, 1):
+        rows = events(spark, sf_dir).where(F.pmod("event_id", F.lit(2)) == part)
+        rows.select(_message().alias("value")).write.mode("append").text(f"{folder}/in")
+        messages = stream_messages(spark, f"{folder}/in")
+        write_live(messages, good, dead, f"{folder}/checkpoint", _ONCE).awaitTermination()
+        fold_live(spark, folder, database, folder, database)
+    fold_live(spark, folder, database, folder, database)
+    left = spark.table(good.name).agg(F.count("*").alias("live_rows"))
+    observed = spark.table(meteorology_current(folder, database).name)
+    return observed.select(F.unix_seconds("obs_ts").alias("obs_sec")).join(F.broadcast(left))

@@ -14,7 +14,7 @@ from stopwise.session import build_session
 from stopwise.sinks.table import ensure_namespace_of, ensure_table
 from stopwise.sources import read_documents, read_json_documents, read_workbooks
 from stopwise.streaming import stream_files, stream_messages, write_bronze, write_live
-from stopwise.streaming.live import by_batch, dead_letter_table
+from stopwise.streaming.live import dead_letter_table
 from stopwise.streaming.silver import write_silver
 
 # Headers of the documents, for the formats that must be told.
@@ -135,9 +135,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "gold":
         _gold(spark, args)
     elif args.job == "fold":
-        live = by_batch(tables.live_weather(args.warehouse, args.live_db))
-        ensure_table(spark, live)
-        jobs.load_live(spark, spark.table(live.name), args.warehouse, args.db, args.method)
+        jobs.fold_live(spark, args.warehouse, args.live_db, args.warehouse, args.db, args.method)
     elif args.job == "silver":
         names = {"arrivals": args.transit_db, "lines": args.transit_db, "meteorology": args.weather_db}
         trigger = {"availableNow": True} if args.once else None

@@ -10,9 +10,9 @@ from stopwise.config import GoldConfig
 from stopwise.functions import utc_date, utc_hour_key
 from stopwise.operators import latest_per_key
 from stopwise.plans import enrich, hourly_rollup, ingest_arrivals, ingest_lines, parse_weather, tables
-from stopwise.sinks import Table, compact, full_refresh, merge_into, upsert
+from stopwise.sinks import Table, append, compact, full_refresh, merge_into, upsert
 from stopwise.sinks.write import discard
-from stopwise.streaming.live import observations_from_live
+from stopwise.streaming.live import by_batch, drop_folded, ledger_table, observations_from_live, unfolded
 
 METHODS = ("rewrite", "merge")
 
@@ -72,6 +72,26 @@ def load_live(spark: SparkSession, live: DataFrame, warehouse: str, db: str, met
     _store_and_discard(spark, target, observations_from_live(live), method, latest, stable_partitions=True)
 
 
+def fold_live(
+    spark: SparkSession, live_warehouse: str, live_db: str, warehouse: str, db: str, method: str = "rewrite"
+) -> int:
+    """Move the batches of the live table that were not folded yet into the observations; returns how many.
+
+    First the rows are upserted, then the batches are entered in the ledger, then their partitions are dropped:
+    a run that dies in between is finished by the next one, and no row is lost or counted twice.
+    """
+    live = by_batch(tables.live_weather(live_warehouse, live_db))
+    ledger = ledger_table(f"{live_db}.folded", f"{live_warehouse.rstrip('/')}/{live_db}/folded")
+    rows, batches = unfolded(spark, live, ledger)
+    if rows is None:
+        drop_folded(spark, live, ledger)
+        return 0
+    load_live(spark, rows, warehouse, db, method)
+    append(spark, ledger, batches.withColumn("folded_at", F.current_timestamp()))
+    drop_folded(spark, live, ledger)
+    return batches.count()
+
+
 def build_gold(
     spark: SparkSession,
     arrivals: DataFrame,

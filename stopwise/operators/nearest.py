@@ -17,7 +17,7 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 CELL_SECONDS = 300
 
 
-def _reach(window_minutes: int, slot_minutes: int, mode: str) -> int:
+def reach_in_slots(window_minutes: int, slot_minutes: int, mode: str) -> int:
     if mode == "slot":
         return window_minutes // slot_minutes
     if mode == "exact":
@@ -136,7 +136,7 @@ def nearest_join(
     """
     if (slot_minutes * 60) % cell_seconds:
         raise ValueError("a slot must be a whole number of cells")
-    reach = _reach(window_minutes, slot_minutes, mode)
+    reach = reach_in_slots(window_minutes, slot_minutes, mode)
     seconds = _one_per_second(observations, obs_ts, obs_id, slot_minutes)
     size = _measure(observations, obs_ts, slot_minutes)
     borders = size["slots"] * (2 * reach + 1) * (slot_minutes * 60 // cell_seconds)
@@ -186,7 +186,7 @@ def band_join(
     slot see the same observations, so the aggregates are taken per slot, added up over the
     neighbouring slots, and looked up: the pairs of the join are never formed.
     """
-    reach = _reach(window_minutes, slot_minutes, "slot")
+    reach = reach_in_slots(window_minutes, slot_minutes, "slot")
     per_slot = (
         observations.where(F.col(obs_ts).isNotNull())
         .groupBy(slot_number(F.col(obs_ts), slot_minutes).alias("slot"))

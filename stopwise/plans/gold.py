@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stopwise.config import GoldConfig
 from stopwise.functions import (
@@ -87,8 +87,8 @@ def flag_delays(facts: DataFrame, config: GoldConfig = GoldConfig()) -> DataFram
     )
 
 
-def hourly_rollup(enriched: DataFrame, config: GoldConfig = GoldConfig()) -> DataFrame:
-    """Counts, rates and weather means per hour and line."""
+def rollup_measures() -> list[Column]:
+    """Counts, rates and weather means of enriched arrivals."""
     flags = {
         ("delayed_preds", "delay_rate"): "delayed",
         ("adverse_preds", "adverse_rate"): "weather_adverse",
@@ -99,10 +99,14 @@ def hourly_rollup(enriched: DataFrame, config: GoldConfig = GoldConfig()) -> Dat
     for (count_name, rate_name), flag in flags.items():
         hits = F.count_if(F.col(flag))
         measures += [hits.alias(count_name), F.try_divide(hits, total).alias(rate_name)]
-    measures += [F.avg(c).alias(f"avg_{c}") for c in ("temp_c", "wind_kph", "precip_mm")]
+    return measures + [F.avg(c).alias(f"avg_{c}") for c in ("temp_c", "wind_kph", "precip_mm")]
+
+
+def hourly_rollup(enriched: DataFrame, config: GoldConfig = GoldConfig()) -> DataFrame:
+    """Counts, rates and weather means per hour and line."""
     return (
         enriched.groupBy(event_hour(F.col("event_ts"), config.bucket_tz).alias("event_hour"), "line")
-        .agg(*measures)
+        .agg(*rollup_measures())
         .withColumn("build_ts", F.current_timestamp())
         .select(*DELAY_WEATHER_HOURLY)
     )

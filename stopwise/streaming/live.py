@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stopwise.functions import hash_key, utc_text
 from stopwise.schemas import LIVE_FIELDS, METEOROLOGY_CURRENT
-from stopwise.sinks.storage import NULL_PARTITION, Storage
-from stopwise.sinks.table import Partition, Table, conform, ensure_table, publish
+from stopwise.sinks.storage import NULL_PARTITION, Storage, at_once, partition_values
+from stopwise.sinks.table import Partition, Table, conform, ensure_table, partition_spec, publish
 
 # Every field is read as text: a value of another type is then no reason to lose the message.
 _BLOCK = ", ".join(f"`{key}`:string" for key in LIVE_FIELDS)
@@ -142,7 +142,7 @@ def write_live(
     Both tables are partitioned by sink and batch, and each batch overwrites its own partitions, so a batch
     that is replayed after a failure leaves every message exactly once in exactly one of them. The sink is
     named by a file in the checkpoint: several queries, and a query that begins anew, can share the tables.
-    Batches are folded into larger files by moving their rows on with ``load_live``.
+    Batches are moved on into the observations, and dropped here, by ``jobs.fold_live``.
     """
     spark = stream.sparkSession
     good = by_batch(good)
@@ -180,6 +180,54 @@ def write_live(
     )
 
 
+def ledger_table(name: str, location: str) -> Table:
+    """Batches whose rows have been folded into the observations."""
+    return Table(name, location, {"sink": "string", "batch": "bigint", "folded_at": "timestamp"})
+
+
+def unfolded(spark: SparkSession, live: Table, ledger: Table) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of the batches that are not in the ledger, and those batches; None if there are none.
+
+    Batches are found by the names of their partitions; no other file is read.
+    """
+    for table in (live, ledger):
+        ensure_table(spark, table)
+    named = "[^=/]*=([^/]*)/[^=/]*=([^/]*)$"
+    parts = spark.sql(f"SHOW PARTITIONS {live.name}")
+    there = parts.select(*[F.regexp_extract("partition", named, k + 1).alias(n) for k, n in enumerate(("sink", "batch"))])
+    there = there.select("sink", F.col("batch").cast("bigint").alias("batch")).distinct()
+    new = there.join(spark.table(ledger.name), ["sink", "batch"], "left_anti").collect()  # one row per batch
+    if not new:
+        return None, None
+    batches = spark.createDataFrame(new, "sink string, batch bigint")
+    sinks: dict[str, list[int]] = {}
+    for sink, batch in new:
+        sinks.setdefault(sink, []).append(batch)
+    chosen = F.lit(False)
+    for sink, numbers in sinks.items():  # on partition columns alone, so other partitions are not listed
+        chosen |= (F.col("sink") == sink) & F.col("batch").isin(numbers)
+    return spark.table(live.name).where(chosen), batches
+
+
+def drop_folded(spark: SparkSession, live: Table, ledger: Table) -> int:
+    """Remove the partitions of batches in the ledger; returns how many. Safe to repeat.
+
+    The ledger stays: a batch that its stream replays after it was folded is dropped again, not folded twice.
+    """
+    done = {(r["sink"], r["batch"]) for r in spark.table(ledger.name).collect()}  # one row per batch
+    store, folders = Storage(spark, live.location), []
+    for (folder,) in spark.sql(f"SHOW PARTITIONS {live.name}").collect():
+        values = partition_values(folder)
+        if (values["sink"], int(values["batch"])) in done:
+            folders.append(folder)
+    for start in range(0, len(folders), 500):
+        specs = ", ".join(f"PARTITION ({partition_spec(f)})" for f in folders[start : start + 500])
+        spark.sql(f"ALTER TABLE {live.name} DROP IF EXISTS {specs}")
+    at_once(store.delete, folders)
+    spark.catalog.refreshTable(live.name)
+    return len(folders)
+
+
 def observations_from_live(live: DataFrame) -> DataFrame:
     """Live rows in the columns of the batch observations, ready to be upserted into that table.
 
