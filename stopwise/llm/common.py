@@ -13,6 +13,8 @@ from stopwise.session import scratch_dir
 
 # Bytes of text that a Python task works on at once: the arrays made of them are about 30 times that.
 PIECE = 2 << 20
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,18 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder of ``spark.checkpoint.dir`` and read back: evaluated once, lineage cut."""
+    """Write to the shared folder of ``spark.checkpoint.dir`` and read back: evaluated once, lineage cut.
+
+    While it is written, Python tasks get their rows in batches of ``BATCH_BYTES``: both sides hold a batch.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
     return back

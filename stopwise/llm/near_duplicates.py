@@ -9,8 +9,9 @@ bound is compared as well. A group of thousands of near copies costs a few candi
 
 What those few leave out is found exactly. A block is the classes that share ``SHALLOW`` minima of an order;
 one with more classes than a window reaches, which are not all of one component by then, is first compared
-with the class in it that has most links (the original of many copies), and if that does not join it, every
-two classes of different components are compared on their full sets, in cells spread over tasks.
+with the class in it that has most links (the original of many copies). The classes of the blocks that this
+leaves with several components are joined on their rarest shingles (a prefix filter), and every pair of different
+components that meets is compared on its full sets.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, SHALLOW, NEIGHBOURS = 16, 8, 3, 8
 BINS = TREES * DEPTH
 KEY = 16
-CELL_ROWS, CELL_SHINGLES = 1000, 1 << 19  # classes and shingles on one side of a cell, on average
+EXPLODED = 1 << 16  # shingles of a set in one batch
 
 _RANDOM = np.random.default_rng(20240229)
 # Where an empty bin looks for a minimum: itself, then the other bins in an order of its own.
@@ -205,73 +206,63 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def mixed_blocks(classes: DataFrame, roots: DataFrame, degrees: DataFrame, reach: int) -> DataFrame:
     """Blocks of more classes than a window reaches that are not all of one component.
 
-    ``tree, label``; ``main``, the component most of them are of; classes and shingles inside and outside of
-    it; ``hub`` and ``hub_root``, the class with most links and its component.
+    ``tree, label``; ``hub`` and ``hub_root``, the class with most links and its component.
     """
     rows = _rooted(_ordered(classes, list(range(TREES)), SHALLOW), roots)
     rows = rows.join(degrees, "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    each = rows.groupBy("tree", "label", "root").agg(
-        F.count("*").alias("rows"), F.sum("n").alias("size"), F.max(F.struct("links", "key")).alias("hub")
-    )
+    each = rows.groupBy("tree", "label", "root").agg(F.count("*").alias("rows"), F.max(F.struct("links", "key")).alias("hub"))
     whole = each.groupBy("tree", "label").agg(
-        F.count("*").alias("roots"), F.sum("rows").alias("rows"), F.sum("size").alias("size"),
-        F.max(F.struct("rows", "size", "root")).alias("main"), F.max(F.struct("hub.links", "hub.key", "root")).alias("hub"),
-    )
-    return whole.filter((F.col("roots") > 1) & (F.col("rows") > reach + 1)).select(
-        "tree", "label", F.col("main.root").alias("main"), F.col("main.rows").alias("main_rows"), F.col("main.size").alias("main_size"),
-        (F.col("rows") - F.col("main.rows")).alias("rest_rows"), (F.col("size") - F.col("main.size")).alias("rest_size"),
-        F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"),
-    )
-
-
-def _linked(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of a cell that join components, each pair tested on its full sets unless it is joined already."""
-    cell_i, cell_j, tree = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["tree"].iloc[0])
-    group = group.sort_values("key", key=lambda c: c.map(bytes))
-    keys, n = group["key"].map(bytes).to_list(), group["n"].to_numpy()
-    chunk = group["chunk"].to_numpy()
-    minima = np.frombuffer(b"".join(group["signature"]), ">u4").reshape(len(group), BINS)
-    prefix = np.stack([minima[:, _PLACE[t][:SHALLOW]] for t in range(tree)], axis=1) if tree else None
-    root = np.unique(group["root"].map(bytes), return_inverse=True)[1]
-    shingles = np.frombuffer(b"".join(group["shingles"]), np.uint64)
-    distinct, number = np.unique(shingles, return_inverse=True)
-    ends = np.concatenate(([0], np.cumsum(n)))
-    present = np.zeros(len(distinct), np.int64)
-    right = np.flatnonzero(chunk == cell_j)
-    a, b = [], []
-    for x in np.flatnonzero(chunk == cell_i):
-        y = right[right > x] if cell_i == cell_j else right
-        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        y = y[(root[y] != root[x]) & (100 * small >= percent * large)]
-        if tree and len(y):  # a pair is compared in the first block it shares
-            y = y[~(prefix[y] == prefix[x]).all(axis=2).any(axis=1)]
-        if not len(y):
-            continue
-        present[number[ends[x] : ends[x + 1]]] = 1
-        first = np.cumsum(n[y]) - n[y]
-        at = np.repeat(ends[y] - first, n[y]) + np.arange(n[y].sum())
-        both = np.add.reduceat(present[number[at]], first)
-        present[number[ends[x] : ends[x + 1]]] = 0
-        for z in y[100 * both >= percent * (n[x] + n[y] - both)]:
-            if root[z] != root[x]:
-                a.append(keys[x])
-                b.append(keys[z])
-                root[root == root[z]] = root[x]
-    return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
-
-
-def cells(classes: DataFrame, roots: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Members of the blocks once per cell: a chunk outside the main component with one such or one inside it."""
-    ways = lambda part: F.ceil(F.greatest(F.col(f"{part}_rows") / CELL_ROWS, F.col(f"{part}_size") / CELL_SHINGLES)).cast("int")
-    cut = blocks.select("tree", "label", "main", ways("rest").alias("rest"), ways("main").alias("inside"))
-    rows = _rooted(_ordered(classes, list(range(TREES)), SHALLOW).join(cut, ["tree", "label"]), roots)
-    mixed = F.xxhash64("key", F.lit(1))
-    chunk = F.when(F.col("root") == F.col("main"), F.col("rest") + F.pmod(mixed, F.col("inside"))).otherwise(F.pmod(mixed, F.col("rest")))
-    rows = rows.withColumn("chunk", chunk.cast("int"))
-    before = F.transform(F.sequence(F.lit(0), F.least("chunk", F.col("rest") - 1)), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
-    after = F.transform(F.sequence("chunk", F.col("rest") + F.col("inside") - 1), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))
-    place = F.when(F.col("chunk") < F.col("rest"), F.array_union(before, after)).otherwise(before)
-    return rows.withColumn("c", F.explode(place)).select("tree", "label", "c.i", "c.j", "chunk", "key", "n", "root")
+        F.count("*").alias("roots"), F.sum("rows").alias("rows"), F.max(F.struct("hub.links", "hub.key", "root")).alias("hub")
+    )
+    whole = whole.filter((F.col("roots") > 1) & (F.col("rows") > reach + 1))
+    return whole.select("tree", "label", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"))
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """``key, n, shingle``: a row for every shingle of every set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                shingles = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                for low in range(0, len(shingles), EXPLODED):
+                    part = shingles[low : low + EXPLODED]
+                    key = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int32)), batch.column(0).slice(k, 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [key.dictionary_decode(), pa.array(np.full(len(part), len(shingles))), pa.array(part)], ["key", "n", "shingle"]
+                    )
+
+    return sets.select("key", "shingles").mapInArrow(scan, "key binary, n long, shingle long")
+
+
+def prefix_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: pairs of sets of different components that can reach the similarity, each once.
+
+    ``classes`` has ``key, root, shingles``. A set of ``n`` shingles shares one of its ``n - ceil(t n) + 1``
+    rarest with every set that is as similar as ``t``, whatever the order of equally rare ones, as long as it is
+    the same for all. What only one set has leads nowhere and is not joined, so a set takes part with the few
+    rare shingles that others have too; what a whole region has in common stands last and is hardly ever met.
+    Where two sets meet first, all they share lies from there on, and must be enough (a positional filter):
+    copies with edits of their own fall out here before they become pairs.
+    """
+    rows = staged(_exploded(classes), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    met = rows.join(often, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("met"))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    length = F.col("n") - least + 1 - (F.col("n") - F.size("met"))  # of the prefix, without what only this set has
+    prefix = F.posexplode(F.slice("met", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("at", "m")
+    rest = F.size("met") - F.col("at")  # of the set, from this shingle on
+    short = met.select("key", "n", "met", prefix).select("key", "n", "m.shingle", rest.alias("rest"))
+    short = short.join(classes.select("key", "root"), "key")
+    short = staged(short, "prefixes")
+    other = short.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("rest").alias("restb"), "shingle")
+    both = short.withColumnsRenamed({"key": "a", "root": "ra"}).join(other, "shingle")
+    size = (100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n"))
+    enough = F.least("rest", "restb") * (100 + percent) >= percent * (F.col("n") + F.col("nb"))
+    new = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    pairs = staged(both.filter(new & size & enough).select("a", "b").distinct(), "pairs")
+    release(rows, short)
+    return pairs
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -297,7 +288,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """
     marked = staged(shingled(docs, width, False), "signatures")
     classes = marked.filter("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("least"), F.min("mark").alias("source"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
     classes = staged(classes, "classes")
     # First one neighbour in a few orders: it joins most of every group, so that of the many candidates of
@@ -305,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     near = candidates(classes, [0, 1], 1, percent)
     wide = candidates(classes, list(range(TREES)), NEIGHBOURS, percent)
     named = wide.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    members = classes.join(named, "key", "left_semi").select(F.col("least").alias("doc_id"), F.col("key").alias("wanted"))
+    members = classes.join(named, "key", "left_semi").select(F.col("source").alias("mark"), F.col("key").alias("wanted"))
     sets = _sets(docs, members, width)
     first = staged(confirmed(near, sets, percent), "links")
     roots = components(first)
@@ -331,8 +322,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 
 def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``key, shingles`` of the classes ``wanted``, each read from its document with the least id."""
-    sources = texts(docs).join(staged(members, "members"), "doc_id").select("doc_id", "text", "wanted")
+    """``key, shingles`` of the classes ``wanted``, each read from one of its rows."""
+    sources = texts(docs).withColumn("mark", row_key()).join(staged(members, "members"), "mark").select("doc_id", "text", "wanted")
     sets = shingled(sources, width, True).dropDuplicates(["key"])
     return staged(sets.select("key", "shingles"), "sets")
 
@@ -346,7 +337,7 @@ def _completed(
         return roots
     rows = _ordered(classes, list(range(TREES)), SHALLOW).join(blocks.select("tree", "label"), ["tree", "label"])
     lacking = staged(rows.select("key").distinct().join(sets, "key", "left_anti"), "lacking")
-    members = classes.join(lacking, "key", "left_semi").select(F.col("least").alias("doc_id"), F.col("key").alias("wanted"))
+    members = classes.join(lacking, "key", "left_semi").select(F.col("source").alias("mark"), F.col("key").alias("wanted"))
     if not lacking.isEmpty():
         more = _sets(docs, members, width)
         sets = staged(sets.union(more.join(lacking, "key", "left_semi")), "sets")
@@ -359,9 +350,10 @@ def _completed(
     blocks = staged(mixed_blocks(classes, roots, degrees, NEIGHBOURS), "blocks")
     if blocks.isEmpty():
         return roots
-    full = cells(classes, roots, blocks).join(classes.select("key", "signature"), "key").join(sets, "key")
-    found = full.groupBy("tree", "label", "i", "j").applyInPandas(lambda group: _linked(group, percent), "a binary, b binary")
-    return _merged(roots, found)
+    inside = _ordered(classes, list(range(TREES)), SHALLOW).join(blocks.select("tree", "label"), ["tree", "label"])
+    inside = _rooted(inside.select("key").distinct(), roots).join(sets, "key")
+    pairs = prefix_pairs(staged(inside, "crowded"), percent)
+    return _merged(roots, confirmed(pairs, sets, percent))
 
 
 def _renamed(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:

@@ -113,6 +113,42 @@ def test_crowded_region_is_one_component(spark):
     assert {r["component_id"] for r in found.collect()} == {0}
 
 
+def test_common_opening_links_nothing(spark):
+    """Three thousand texts that begin alike and are not similar, and a few that are."""
+    rng = random.Random(17)
+    opening = prose(9, 60)
+    docs = [(k, f"{opening} {' '.join(f'w{rng.getrandbits(40)}' for _ in range(40))}", "s") for k in range(3000)]
+    docs += [(5000 + k, docs[10 * k][1] + " more", "s") for k in range(20)]
+    found = near_duplicates.near_duplicates(documents(spark, docs), 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == {k: k for k in range(3000)} | {5000 + k: 10 * k for k in range(20)}
+
+
+def test_prefix_pairs_find_every_similar_pair(spark):
+    rng = random.Random(23)
+    sets = {}
+    for k in range(60):
+        base = rng.sample(range(400), rng.randrange(1, 60))
+        for c in range(3):
+            sets[bytes([k, c]) * 8] = sorted({*base, *rng.sample(range(400), rng.randrange(0, 6))})
+    rows = [(key, key if key[1] else b"r" * 16, np.array(x, np.uint64).tobytes()) for key, x in sets.items()]
+    classes = spark.createDataFrame(rows, "key binary, root binary, shingles binary")
+    root = {key: r for key, r, _ in rows}
+    met = {(bytes(r.a), bytes(r.b)) for r in near_duplicates.prefix_pairs(classes, 80).collect()}
+    similar = {
+        (a, b) for a in sets for b in sets
+        if a < b and root[a] != root[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+    }
+    assert similar and similar <= met and len(met) < len(sets) ** 2 // 8
+
+
+def test_near_copies_without_an_id(spark):
+    base = prose(31, 200).split()
+    docs = [(7, " ".join(base), "s"), (None, " ".join([*base[:50], "other", *base[51:]]), "s"), (None, prose(33, 80), "s")]
+    found = near_duplicates.near_duplicates(documents(spark, docs), 5, 80)
+    assert sorted((r["component_id"] is None, r["kept"]) for r in found.collect()) == [(False, False), (False, True), (True, True)]
+
+
 def edited(words_, rng, many):
     """The words with ``many`` of them changed, no two in one shingle of five."""
     out = list(words_)
