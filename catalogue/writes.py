@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalogue.base import events, new_database, query, scratch, table
+from stopwise.jobs import documents_or_quarantine
+from stopwise.plans.tables import quarantined_documents
 from stopwise.sinks import (
     Partition,
     Table,
@@ -220,3 +222,78 @@ def upsert_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = rows.groupBy("event_hour").agg(F.count("*").alias("n")).withColumn("line", F.lit("any"))
     upsert(spark, target, changed.unionByName(every), stable_partitions=True)
     return spark.table(target.name).select(F.unix_micros("event_hour").alias("hour_us"), "line", "n")
+
+
+@query("""
+    SELECT CAST(o_orderkey AS BIGINT) AS key, CAST(round(o_totalprice) AS DOUBLE) AS price,
+           CAST(o_orderkey % 7 AS DOUBLE) AS rate, o_orderstatus AS status
+    FROM orders
+    UNION ALL
+    SELECT o_orderkey + 3000000000, round(o_totalprice, 2) + 0.5, o_orderkey % 11 + 0.125::DOUBLE, 'x'
+    FROM orders
+    UNION ALL
+    SELECT -o_orderkey - 1, o_orderkey % 100, o_orderkey % 5, NULL FROM orders
+""")
+def append_widened_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys outgrow int, prices become fractions, rates get more digits; the last load has the narrow types again."""
+    database, folder = new_database(spark, "widened")
+    orders = table(spark, sf_dir, "orders")
+    columns = {"key": "int", "price": "int", "rate": "decimal(7,1)", "status": "string"}
+    target = Table(f"{database}.orders", f"{folder}/orders", columns)
+    for load in (
+        ("CAST(o_orderkey AS int) AS key", "CAST(round(o_totalprice) AS int) AS price",
+         "CAST(o_orderkey % 7 AS decimal(7,1)) AS rate", "o_orderstatus AS status"),
+        ("o_orderkey + 3000000000 AS key", "round(o_totalprice, 2) + 0.5D AS price",
+         "CAST(o_orderkey % 11 + 0.125 AS decimal(12,3)) AS rate", "'x' AS status"),
+        ("CAST(-o_orderkey - 1 AS int) AS key", "CAST(o_orderkey % 100 AS smallint) AS price",
+         "CAST(o_orderkey % 5 AS decimal(7,1)) AS rate", "NULL AS status"),
+    ):
+        append(spark, target, orders.selectExpr(*load))
+    compact(spark, target)
+    return spark.table(target.name).withColumn("rate", F.col("rate").cast("double"))
+
+
+@query(_SHOWN_SQL)
+def compact_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each day in the order of kind and time, cut into files by ranges."""
+    target = _events_table(spark, "clustered")
+    rows = events(spark, sf_dir)
+    for kind in ("event_type = 'click'", "event_type = 'view'", "event_type NOT IN ('click', 'view')"):
+        append(spark, target, rows.where(kind).select(*_EVENT_COLUMNS))
+    compact(spark, target, cluster_by=["event_type", "ts"])
+    return _shown(spark.table(target.name))
+
+
+_LINE_SQL = """
+    (SELECT *, 1 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line,
+            c_custkey || ',"' || replace(c_name, '#', '""') || CASE
+                WHEN c_custkey % 7 = 0 THEN '"' WHEN c_custkey % 11 = 0 THEN '",a,b'
+                ELSE '",' || c_mktsegment END AS raw,
+            c_custkey % 7 = 0 OR c_custkey % 11 = 0 AS bad
+     FROM customer)
+"""
+
+
+@query(f"""
+    SELECT CAST(c_custkey AS VARCHAR) AS key, replace(c_name, '#', '"') AS name, c_mktsegment AS segment,
+           CAST(NULL AS DOUBLE) AS line, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS folder
+    FROM {_LINE_SQL} l WHERE NOT bad
+    UNION ALL
+    SELECT NULL, NULL, NULL, CAST(line AS DOUBLE), raw, 'nation=' || c_nationkey FROM {_LINE_SQL} l WHERE bad
+""")
+def document_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per nation with lines of too few and too many cells, read twice: no bad line is kept twice."""
+    database, folder = new_database(spark, "quarantine")
+    key = F.col("c_custkey")
+    tail = F.when(key % 7 == 0, '"').when(key % 11 == 0, '",a,b').otherwise(F.concat(F.lit('",'), "c_mktsegment"))
+    text = F.concat(key.cast("string"), F.lit(',"'), F.regexp_replace("c_name", "#", '""'), tail)
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation")
+    heads = customers.select("nation", F.lit(-1).cast("bigint").alias("at"), F.lit("key,name,segment").alias("value")).distinct()
+    lines = heads.unionByName(customers.select("nation", key.cast("bigint").alias("at"), text.alias("value")))
+    lines = lines.repartition("nation").sortWithinPartitions("nation", "at")
+    lines.select("nation", "value").write.partitionBy("nation").text(f"{folder}/documents")
+    for _ in range(2):
+        good = documents_or_quarantine(spark, f"{folder}/documents", ["key", "name", "segment"], folder, database)
+    bad = spark.table(quarantined_documents(folder, database).name)
+    bad = bad.select(F.col("line").cast("double").alias("line"), "raw", "folder")
+    return good.unionByName(bad, allowMissingColumns=True)

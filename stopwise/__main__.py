@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stopwise import jobs
 from stopwise.config import GoldConfig
+from stopwise.incremental import refresh_gold
 from stopwise.plans import tables
 from stopwise.schemas import WEATHER_FIELDS
 from stopwise.session import build_session
@@ -32,10 +33,11 @@ def _parser() -> argparse.ArgumentParser:
         p = commands.add_parser(job)
         p.add_argument("--input", required=True)
         p.add_argument("--format", choices=("csv", "json", "workbook"), default="csv")
-        p.add_argument("--headers", nargs="*", help="headers as in the files (json and workbook)")
+        p.add_argument("--headers", nargs="*", help="headers as in the files, in their order")
         p.add_argument("--warehouse", required=True)
         p.add_argument("--db", default="meteorology" if job == "weather" else "transit")
         p.add_argument("--source_tz")
+        p.add_argument("--quarantine", action="store_true", help="keep lines that cannot be read (csv, json)")
         if job != "lines":
             p.add_argument("--method", choices=jobs.METHODS, default="rewrite")
     fold = commands.add_parser("fold", help="live rows into the observations")
@@ -65,6 +67,7 @@ def _parser() -> argparse.ArgumentParser:
     gold.add_argument("--bucket_tz", default=defaults.bucket_tz)
     gold.add_argument("--wrap_midnight", action="store_true")
     gold.add_argument("--between", nargs=2, metavar=("FROM", "BEFORE"), help="build these hours only")
+    gold.add_argument("--changed", action="store_true", help="build what changed since the last such build")
     for job in ("live", "bronze"):
         p = commands.add_parser(job)
         p.add_argument("--input")
@@ -79,6 +82,8 @@ def _parser() -> argparse.ArgumentParser:
 
 def _documents(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     headers = args.headers or HEADERS[args.job]
+    if args.quarantine:
+        return jobs.documents_or_quarantine(spark, args.input, headers, args.warehouse, args.db, args.format)
     if args.format == "json":
         return read_json_documents(spark, args.input, headers)
     if args.format == "workbook":
@@ -111,6 +116,9 @@ def _gold(spark: SparkSession, args: argparse.Namespace) -> None:
     for table in (arrivals, weather):
         ensure_table(spark, table)
     timetable = _silver(spark, args.silver_warehouse, args.transit_db, "lines_timetable")
+    if args.changed:
+        refresh_gold(spark, arrivals, weather, timetable, args.warehouse, args.gold_db, config)
+        return
     jobs.build_gold(
         spark,
         spark.table(arrivals.name),

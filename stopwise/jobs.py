@@ -12,6 +12,7 @@ from stopwise.operators import latest_per_key
 from stopwise.plans import enrich, hourly_rollup, ingest_arrivals, ingest_lines, parse_weather, tables
 from stopwise.sinks import Table, append, compact, full_refresh, merge_into, upsert
 from stopwise.sinks.write import discard
+from stopwise.sources.quarantine import split_documents
 from stopwise.streaming.live import by_batch, drop_folded, ledger_table, observations_from_live, unfolded
 
 METHODS = ("rewrite", "merge")
@@ -39,6 +40,17 @@ def _store_and_discard(spark: SparkSession, table: Table, df: DataFrame, method:
         discard(spark, written)
 
 
+def documents_or_quarantine(
+    spark: SparkSession, path: str, columns: Sequence[str], warehouse: str, db: str, kind: str = "csv"
+) -> DataFrame:
+    """The good rows of documents; lines that cannot be read go to ``quarantined_documents``, once however often it runs."""
+    good, bad = split_documents(spark, path, columns, kind)
+    # a file stays in its folder, so a key never changes partition
+    target = tables.quarantined_documents(warehouse, db)
+    _store_and_discard(spark, target, bad.withColumn("seen_at", F.current_timestamp()), "rewrite", stable_partitions=True)
+    return good
+
+
 def load_arrivals(
     spark: SparkSession, raw: DataFrame, warehouse: str, db: str, source_tz: str | None = None, method: str = "rewrite"
 ) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from stopwise import schemas
-from stopwise.sinks.table import Table, day_partition, hour_partition, prefix_partition
+from stopwise.sinks.table import Partition, Table, day_partition, hour_partition, prefix_partition
 
 
 def _table(warehouse: str, db: str, name: str, columns: dict[str, str], **layout) -> Table:
@@ -55,3 +57,11 @@ def live_weather(warehouse: str, db: str) -> Table:
     }
     parts = (day_partition("timestamp"),)
     return _table(warehouse, db, "live_weather", columns, keys=("ts_epoch",), partitions=parts)
+
+
+def quarantined_documents(warehouse: str, db: str) -> Table:
+    """Lines of documents that could not be read, by the folder of their file."""
+    columns = {"file": "string", "line": "bigint", "reason": "string", "raw": "string", "seen_at": "timestamp"}
+    folder = lambda c: F.nullif(F.regexp_extract(c, "([^/]*)/[^/]*$", 1), F.lit(""))
+    parts = (Partition("folder", "string", "file", folder, monotone=False),)
+    return _table(warehouse, db, "quarantined_documents", columns, keys=("file", "line"), partitions=parts)

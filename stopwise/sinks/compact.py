@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stopwise.sinks.storage import WRITE, Storage, Writes, at_once
-from stopwise.sinks.table import Table, ensure_table, settle
+from stopwise.sinks.table import Table, as_stored, ensure_table, settle
 from stopwise.sinks.write import put_in_place
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
@@ -35,16 +36,30 @@ def data_files(spark: SparkSession, table: Table, small_bytes: int = 0) -> DataF
     )
 
 
-def compact(spark: SparkSession, table: Table, target_file_bytes: int = TARGET_FILE_BYTES) -> int:
+def compact(
+    spark: SparkSession,
+    table: Table,
+    target_file_bytes: int = TARGET_FILE_BYTES,
+    cluster_by: Sequence[str] = (),
+    every: bool = False,
+) -> int:
     """Rewrite the partitions that have two or more files below half the target; returns how many.
 
     A partition of ``b`` bytes gets ``ceil(b / target)`` files of like size, none of which is then below
     half the target unless it is the only one, so a compacted partition is not taken up again. Rows are
-    unchanged. Partitions that are already compact are neither read nor written.
+    unchanged. Partitions that are already compact are neither read nor written, unless ``every`` is set.
+
+    With ``cluster_by`` the rows of a partition are also put in the order of these columns and cut into files by
+    ranges of them, so statistics of files and row groups exclude most of a partition from a scan for a value.
+    Ranges run over partitions: one may end in a short file and the next begin with one, so a clustered
+    partition is taken up again from three short files on. Equal values are spread by a hash of the row.
     """
     ensure_table(spark, table)
+    table = as_stored(spark, table)
     writes = Writes(Storage(spark, table.location))
-    listed = data_files(spark, table, target_file_bytes // 2).where("small > 1").collect()  # one row per partition
+    short = 2 if cluster_by else 1
+    listed = data_files(spark, table, target_file_bytes // 2)
+    listed = listed.where(F.lit(every) | (F.col("small") > short)).collect()  # one row per partition
     if not listed:
         return 0
     levels = len(table.partitions)
@@ -59,9 +74,14 @@ def compact(spark: SparkSession, table: Table, target_file_bytes: int = TARGET_F
     folder = F.array_join(F.slice(F.split(url, "/"), -levels, levels), "/") if levels else F.lit("")
     placed = rows.select(*table.columns, *table.partition_names, folder.alias("__at"))
     placed = placed.join(F.broadcast(sizes), F.col("__at") == F.col("__folder"))
-    # every file is a number, and every number a task of its own
-    number = F.col("__first") + F.pmod(F.xxhash64(*table.columns), "__files")
-    keyed = placed.repartitionById(sum(files.values()), number.cast("int")).select(*table.columns, *table.partition_names)
+    spread, total = F.xxhash64(*table.columns), sum(files.values())
+    if cluster_by:
+        ranged = placed.repartitionByRange(total, "__first", *cluster_by, spread)
+        keyed = ranged.sortWithinPartitions(*table.partition_names, *cluster_by)
+    else:  # every file is a number, and every number a task of its own
+        number = F.col("__first") + F.pmod(spread, "__files")
+        keyed = placed.repartitionById(total, number.cast("int"))
+    keyed = keyed.select(*table.columns, *table.partition_names)
     own = writes.begin()
     writes.commit(own, put_in_place(keyed, table, own), [])
     settle(spark, table, writes)

@@ -129,12 +129,18 @@ class Writes:
         self._save()
         return number
 
+    def _valid(self, names: list[tuple[str, bool]]) -> list[int]:
+        numbers = [int(n.split("=")[1]) for n, d in names if d and n.startswith(f"{WRITE}=")]
+        return [n for n in numbers if n <= self.record["last"] and n not in self.record["dead"]]
+
+    def last_write(self, folder: str) -> int:
+        """The number of the committed write that gave a partition folder its content, or emptied it; 0 without one."""
+        return max(self._valid(self.store.names(folder)), default=0)
+
     def current(self, folder: str) -> str | None:
         """What holds the content of a partition folder, relative to the table; None if nothing does."""
         names = self.store.names(folder)
-        numbers = [int(n.split("=")[1]) for n, d in names if d and n.startswith(f"{WRITE}=")]
-        valid = [n for n in numbers if n <= self.record["last"] and n not in self.record["dead"]]
-        if valid:
+        if valid := self._valid(names):
             found = f"{folder}/{WRITE}={max(valid)}".lstrip("/")
             return found if self.store.names(found) else None  # an empty folder: the partition was emptied
         return folder if any(not d for _, d in names) else None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -187,15 +187,21 @@ class MissingColumns(ValueError):
     """The source of an upsert lacks columns of the table."""
 
 
-def conform(df: DataFrame, table: Table, fill: bool = True) -> DataFrame:
+def as_stored(spark: SparkSession, table: Table) -> Table:
+    """``table`` with the columns and types the catalog has by now: an append may have added or widened some."""
+    stored = {n: k for n, k in spark.table(table.name).dtypes if n not in table.partition_names}
+    return replace(table, columns=stored)
+
+
+def conform(df: DataFrame, table: Table, required: Sequence[str] = ()) -> DataFrame:
     """Exactly the stored columns, in order. Names match in any case; extra columns go.
 
-    Missing columns become null, or with ``fill=False`` are an error.
+    Missing columns become null, or are an error if they are ``required``.
     """
     present = {name.lower(): name for name in df.columns}
     missing = [name for name in table.columns if name.lower() not in present]
-    if missing and not fill:
-        raise MissingColumns(f"{table.name}: the source has no {', '.join(missing)}")
+    if lacking := [name for name in required if name.lower() not in present]:
+        raise MissingColumns(f"{table.name}: the source has no {', '.join(lacking)}")
     columns = [
         (F.lit(None) if name in missing else F.col(f"`{present[name.lower()]}`")).cast(kind).alias(name)
         for name, kind in table.columns.items()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stopwise.operators.rows import latest_per_key
 from stopwise.sinks.storage import WRITE, Storage, Writes, at_once
-from stopwise.sinks.table import Table, conform, ensure_table
+from stopwise.sinks.table import Table, as_stored, conform, ensure_table
 from stopwise.sinks.write import rebalanced, replace, stage
 
 
@@ -106,7 +106,8 @@ def upsert(
     ``on_duplicate`` is ``"error"`` or ``"latest"`` (first row by ``latest_by``, which must be given).
     ``stable_partitions`` promises that a key never changes partition, which spares the search for keys in
     the other partitions (see :func:`probe`). A null in a key equals nothing, as in MERGE, unless ``null_safe`` is set. Keys missing from
-    the source stay in the table; a source without one of the table's columns is an error.
+    the source stay in the table; a source without one of the declared columns is an error, columns that were
+    added by ``append`` may be missing and are null then.
     Returns the source as it was written, for further use without computing it again; ``discard`` it then.
     """
     if on_duplicate not in ("error", "latest"):
@@ -114,8 +115,9 @@ def upsert(
     if on_duplicate == "latest" and not latest_by:
         raise ValueError("on_duplicate='latest' needs latest_by")
     ensure_table(spark, table)
+    declared, table = table, as_stored(spark, table)
     rule = _Key(table, null_safe)
-    incoming = conform(source, table, fill=False)
+    incoming = conform(source, table, list(declared.columns))
     if on_duplicate == "latest":
         incoming = rule.resolve(incoming, latest_by)
     staged = stage(spark, incoming, table)

@@ -7,6 +7,7 @@ the catalog is switched to it; see ``stopwise.sinks.storage``.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Sequence
 from functools import reduce
@@ -15,8 +16,9 @@ from operator import and_
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from stopwise.session import scratch_dir
+from stopwise.sinks.drift import changed_types, reject_losses, widen
 from stopwise.sinks.storage import WRITE, Storage, Writes, at_once, partition_folder
-from stopwise.sinks.table import Table, conform, ensure_namespace_of, ensure_table, settle
+from stopwise.sinks.table import Table, as_stored, conform, ensure_namespace_of, ensure_table, settle
 
 
 def rebalanced(df: DataFrame, table: Table) -> DataFrame:
@@ -78,24 +80,31 @@ def replace(spark: SparkSession, table: Table, df: DataFrame, touched: Sequence[
 def overwrite_partitions(spark: SparkSession, table: Table, df: DataFrame) -> None:
     """Dynamic partition overwrite: partitions without a row in ``df`` stay."""
     ensure_table(spark, table)
+    table = as_stored(spark, table)
     replace(spark, table, rebalanced(conform(df, table), table))
 
 
 def append(spark: SparkSession, table: Table, df: DataFrame) -> Table:
     """Append; columns the table lacks are added to it, columns ``df`` lacks are null.
 
-    Names match in any case. Returns the table with its grown column list.
+    Names match in any case. Where types differ the stored type becomes the wider one (:mod:`stopwise.sinks.drift`);
+    if neither holds the other, values that the stored type would change are a ``TypeDrift`` error and nothing
+    is written. Returns the table with its grown column list.
     """
     ensure_table(spark, table)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    known = {c.lower() for c in spark.table(table.name).columns}
-    added = {name: kind for name, kind in kinds.items() if name.lower() not in known}
+    stored = spark.table(table.name).schema.fields
+    grown = as_stored(spark, table)
+    wide, doubtful = changed_types(df, grown, stored)
+    if doubtful:
+        reject_losses(df, grown, doubtful)
+    if wide:
+        grown = widen(spark, grown, wide)
+    known = {f.name.lower() for f in stored}
+    added = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name.lower() not in known}
     if added:
         columns = ", ".join(f"`{name}` {kind}" for name, kind in added.items())
         spark.sql(f"ALTER TABLE {table.name} ADD COLUMNS ({columns})")
-    grown = Table(
-        table.name, table.location, {**table.columns, **added}, table.keys, table.partitions
-    )
+        grown = dataclasses.replace(grown, columns={**grown.columns, **added})
     add_rows(spark, grown, conform(df, grown))
     return grown
 

@@ -2,6 +2,7 @@
 
 from stopwise.sinks.table import scan
 from stopwise.sources.documents import read_document_sets, read_documents, read_json_documents
+from stopwise.sources.quarantine import split_documents
 from stopwise.sources.workbook import read_workbooks
 
 __all__ = [
@@ -10,4 +11,5 @@ __all__ = [
     "read_json_documents",
     "read_workbooks",
     "scan",
+    "split_documents",
 ]

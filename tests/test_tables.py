@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from stopwise.sinks import (
+    Partition,
     Table,
     append,
     compact,
@@ -19,6 +22,7 @@ from stopwise.sinks import (
     upsert,
 )
 from stopwise.sinks.compact import data_files
+from stopwise.sinks.drift import TypeDrift, wider
 from stopwise.sinks.table import scan
 from stopwise.sinks.upsert import DuplicateKeys
 
@@ -128,6 +132,81 @@ def test_compaction_keeps_rows(spark, table):
     assert data_files(spark, table).agg(F.max("files")).first()[0] == 1
 
 
+def test_clustered_compaction_prunes_files(spark, table):
+    rows = [(i, f"2024-01-0{1 + i % 2} {i % 24:02}:00", f"L{i // 7 % 40:02}", i) for i in range(4000)]
+    for k in range(5):
+        append(spark, table_by_day(table), frame(spark, *rows[k::5]))
+    day = table_by_day(table)
+    before, size = content(spark, day), data_files(spark, day).agg(F.max("bytes")).first()[0]
+    wanted = spark.table(day.name).where("line = 'L07'")
+    assert files_holding(spark, day, "L07") >= 10
+    assert compact(spark, day, size // 6, cluster_by=["line", "ts"], every=True) == 2
+    assert content(spark, day) == before
+    assert files_holding(spark, day, "L07") <= 4
+    spark.catalog.refreshTable(day.name)
+    assert wanted.count() == sum(r[2] == "L07" for r in rows)
+
+
+def table_by_day(table):
+    return Table(table.name, table.location, COLUMNS, ("id",), (day_partition("ts"),))
+
+
+def files_holding(spark, table, line):
+    """Files whose statistics do not exclude the value."""
+    found = 0
+    for path in spark.table(table.name).inputFiles():
+        groups = pq.ParquetFile(path.removeprefix("file://")).metadata
+        stats = [groups.row_group(g).column(2).statistics for g in range(groups.num_row_groups)]
+        found += any(s.min <= line <= s.max for s in stats)
+    return found
+
+
+def test_wider_types():
+    kind = lambda text: _parse_datatype_string(f"c {text}")[0].dataType
+    for stored, incoming, expected in [
+        ("int", "bigint", "bigint"), ("bigint", "tinyint", "bigint"), ("int", "float", "double"), ("float", "double", "double"),
+        ("int", "double", "double"), ("decimal(7,1)", "decimal(12,3)", "decimal(12,3)"), ("decimal(7,3)", "decimal(9,1)", "decimal(11,3)"),
+        ("decimal(4,1)", "int", "decimal(11,1)"), ("string", "string", "string"), ("int", "void", "int"),
+        ("bigint", "double", None), ("double", "bigint", None), ("string", "int", None), ("date", "timestamp", None),
+        ("decimal(38,0)", "decimal(38,10)", None), ("int", "decimal(5,2)", None),
+    ]:
+        got = wider(kind(stored), kind(incoming))
+        assert (got and got.simpleString()) == expected, (stored, incoming)
+
+
+def test_append_widens_and_refuses(spark, table):
+    append(spark, table, frame(spark, *FIRST))
+    wide = append(spark, table, frame(spark, *NEXT).withColumn("v", F.col("v") + F.lit(5_000_000_000)))
+    assert wide.columns["v"] == "bigint" and dict(spark.table(table.name).dtypes)["v"] == "bigint"
+    assert [r.v for r in spark.table(table.name).where("id IN (1, 4)").orderBy("id").collect()] == [1, 5_000_000_004]
+    files = len(spark.table(table.name).inputFiles())
+    # whole numbers in a text column fit; other texts do not, and then nothing is written
+    append(spark, table, frame(spark, (7, "2024-01-01 10:00", "07x", 7)).withColumn("v", F.lit("77")))
+    assert spark.table(table.name).where("id = 7").first().v == 77
+    for bad in (F.lit("seven"), F.lit("1.5"), F.lit(2.5), F.lit(1e30), F.array(F.lit(1)), F.create_map(F.lit(1), F.lit(2))):
+        with pytest.raises(TypeDrift):
+            append(spark, table, frame(spark, (8, "2024-01-01 10:00", "07x", 8)).withColumn("v", bad))
+    with pytest.raises(TypeDrift):  # partitions hang on it
+        append(spark, Table(f"{table.name}2", f"{table.location}2", {"k": "int"}, (), (by_remainder(),)), spark.range(3).selectExpr("id AS k"))
+    assert spark.table(table.name).where("id = 8").count() == 0 and len(spark.table(table.name).inputFiles()) >= files
+
+
+def by_remainder():
+    return Partition("part", "int", "k", lambda c: F.pmod(c, F.lit(3)).cast("int"), monotone=False)
+
+
+def test_added_and_widened_columns_outlive_rewrites(spark, table):
+    """Upsert and compaction with the first declaration keep what appends have added."""
+    append(spark, table, frame(spark, *FIRST))
+    append(spark, table, frame(spark, *NEXT[1:2]).withColumns({"note": F.lit("n"), "v": F.lit(6_000_000_000)}))
+    upsert(spark, table, frame(spark, (9, "2024-01-01 11:00", "07", 9)))
+    for row in FIRST[:3]:
+        append(spark, table, frame(spark, row).withColumn("id", F.col("id") + 100))
+    compact(spark, table)
+    got = {r.id: (r.v, r.note) for r in spark.table(table.name).where("id IN (1, 4, 9)").collect()}
+    assert got == {1: (1, None), 4: (6_000_000_000, "n"), 9: (9, None)}
+
+
 def test_full_refresh_replaces_schema(spark, tmp_path):
     name = f"db_{uuid.uuid4().hex}.t"
     full_refresh(spark, name, str(tmp_path / "db" / "t"), spark.range(5))
