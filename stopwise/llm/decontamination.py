@@ -180,10 +180,13 @@ def matched(docs: DataFrame, rows: list[tuple[str, str]], window: int = WINDOW)
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most ``limit`` bytes (one item at least), fetched one partition at a time."""
+    """Items in blocks of at most ``limit`` bytes (one item at least), fetched one partition at a time.
+
+    A longer item is a block of its own.
+    """
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     block, size = [], 0
-    for row in items.dropna().toLocalIterator():
+    for row in items.dropna(subset=["text"]).toLocalIterator():
         if block and size + len(row[1]) > limit:
             yield block
             block, size = [], 0
@@ -199,17 +202,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     ``items`` (ids of the items with an occurring window), ``matches`` (maximal verbatim matches with
     their places in item and document) and ``longest`` (words of the longest).
 
-    A null or empty text has no words and matches nothing. Items without words, or without an id or text,
-    match nothing. Repeated documents are judged one by one; repeated ``item_id`` values count once. A
-    benchmark of more than one block is looked up block by block over numbered rows.
+    A null or empty text has no words and matches nothing. Items without words or text match nothing.
+    Items without an id hit like others; together they are one item, whose id is null. Repeated documents are
+    judged one by one; repeated ``item_id`` values count once. A benchmark of more than one block is looked up
+    block by block over numbered rows: the matches of a block are written before the block after next is fetched.
     """
-    every = list(blocks(benchmark, block_bytes))
-    if len(every) == 1:
-        whole = matched(docs, every[0], window)
+    rest = blocks(benchmark, block_bytes)
+    block, after = next(rest), next(rest, None)
+    if after is None:
+        whole = matched(docs, block, window)
     else:
         numbered = staged(texts(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
         keyed = numbered.select(F.col("row").alias("doc_id"), "text")
-        whole = _united([matched(keyed, block, window) for block in every])
+        found = []
+        while block is not None:
+            found.append(staged(matched(keyed, block, window), "matches"))
+            block, after = after, next(rest, None)
+        whole = _united(found)
         whole = whole.withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row")
         whole = whole.select("doc_id", "n_words", "hits", "items", "matches")
     return whole.withColumn("longest", F.coalesce(F.array_max(F.col("matches.n_words")), F.lit(0)))
@@ -246,7 +255,10 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, whole, in which no window of any item occurs."""
+    """The rows of ``docs``, whole, in which no window of any item occurs, also of items without an id.
+
+    One pass over the documents; every block of the benchmark is held by the executors until it ends.
+    """
     kept = docs
     at = docs.columns.index("text")
     for block in blocks(benchmark, block_bytes):

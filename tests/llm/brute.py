@@ -16,14 +16,14 @@ def contamination(docs, items, window=10):
     for doc_id, text in docs:
         w, hit, ids = words(text), set(), set()
         for item_id, item in items:
-            iw = words(item) if item_id is not None else []
+            iw = words(item)
             n = min(window, len(iw))
             wanted = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else set()
             for i in range(len(w) - n + 1 if n else 0):
                 if tuple(w[i : i + n]) in wanted:
                     hit.update(range(i, i + n))
-                    ids.add(str(item_id))
-        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+                    ids.add(None if item_id is None else str(item_id))
+        digest = hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(ids), digest, bool(hit)))
     return out
 
