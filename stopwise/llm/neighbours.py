@@ -3,8 +3,8 @@
 A unit vector is turned by three rounds of random signs and a fast Hadamard transform and is hashed to the
 nearest signed axis; a table joins as many such hashes as the number of vectors asks for, the last one over
 a part of the axes. Every vector stands once in every table; a query looks into the buckets of the axes that
-come next as well. Rows and queries of a bucket meet in one sorted stream, crowded buckets in several, and
-every candidate is ranked by its exact inner product.
+come next as well, into more of them the more buckets there are. Rows and queries of a bucket meet in one
+sorted stream, crowded buckets in a grid of several, and every candidate is ranked by its exact inner product.
 
 Inner products are searched, not angles: where norms differ, a vector is scaled by the largest norm and gets
 one more component that makes it a unit vector, and a query gets a zero there.
@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stopwise.llm.common import staged
 
 TABLES, PROBES, SEED = 8, 16, 11
+PROBE_RATE = 0.875  # probes of a table per square root of its buckets, which holds recall while the share looked at falls
 REACH = 64  # a table's probed buckets should hold so many times k candidates, on average
-BUCKET_ROWS = 4096  # vectors a bucket should hold at most, on average
-CROWD_ROWS = 50_000  # rows of a bucket that one task compares; a fuller bucket is spread over several
+BUCKET_ROWS = 1024  # vectors a bucket should hold at most, on average
+CROWD_ROWS = 50_000  # rows, and queries, of a bucket that one task compares; a fuller bucket is spread over several
+ASKED_ROWS = 4096  # queries of a task compared with rows at once
 
 
 class CrossPolytope:
@@ -75,6 +77,12 @@ class CrossPolytope:
             code, cost = np.take_along_axis(code, best, 1), np.take_along_axis(cost, best, 1)
         return code
 
+    def probed(self, k: int, rows: int, least: int = PROBES) -> int:
+        """Buckets that a query looks into per table to find ``k`` neighbours among ``rows`` vectors."""
+        buckets = math.prod(2 * p for p in self.parts)
+        reach = buckets * min(1.0, REACH * k / max(rows, 1))
+        return min(buckets, max(least, math.ceil(PROBE_RATE * math.sqrt(buckets)), math.ceil(reach)))
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     n, width = x.shape
@@ -160,14 +168,16 @@ def _ranked(entries: DataFrame, kind: str, k: int) -> DataFrame:
                         ids, queries = [names], [asked]
                         rows = _matrix(part.column(5).slice(split), kind).astype(np.float64)
                         row_ids = part.column(4).slice(split).to_numpy()
-                        rough = asked @ rows.T
-                        least = np.partition(rough, -k, axis=1)[:, -k] if k < len(rows) else np.full(len(asked), -np.inf)
-                        slack = 1e-9 * (np.abs(rough).max() if rough.size else 0)
-                        q, r = np.nonzero(rough >= (least - slack)[:, None])
-                        exact = (asked[q] * rows[r]).sum(axis=1)
-                        at = _best(names[q], row_ids[r], exact, k)
-                        kept.append((names[q][at], row_ids[r][at], exact[at]))
-                        if len(kept) > 16:
+                        for few in range(0, len(asked), ASKED_ROWS):
+                            rough = asked[few : few + ASKED_ROWS] @ rows.T
+                            least = np.partition(rough, -k, axis=1)[:, -k] if k < len(rows) else np.full(len(rough), -np.inf)
+                            slack = 1e-9 * (np.abs(rough).max() if rough.size else 0)
+                            q, r = np.nonzero(rough >= (least - slack)[:, None])
+                            q += few
+                            exact = (asked[q] * rows[r]).sum(axis=1)
+                            at = _best(names[q], row_ids[r], exact, k)
+                            kept.append((names[q][at], row_ids[r][at], exact[at]))
+                        if len(kept) > 16 + len(asked) // ASKED_ROWS:
                             q, r, s = (np.concatenate(x) for x in zip(*kept))
                             at = _best(q, r, s, k)
                             kept = [(q[at], r[at], s[at])]
@@ -176,6 +186,28 @@ def _ranked(entries: DataFrame, kind: str, k: int) -> DataFrame:
     return entries.select("tab", "bucket", "salt", "kind", "id", "vec").mapInArrow(scan, "query long, id long, score double")
 
 
+def _spread(inside: DataFrame, asking: DataFrame) -> DataFrame:
+    """Rows and queries with the ``salt`` of their cell: 0, but for crowded buckets, which are a grid.
+
+    Rows of a crowded bucket are split into ``ways`` and its queries into ``groups``; every part of the rows
+    goes to every group and the reverse, so that each pair meets in one cell.
+    """
+    bucket = ["tab", "bucket"]
+    parts = lambda n: F.ceil(F.col(n) / CROWD_ROWS).cast("int")
+    crowded = inside.groupBy(*bucket).agg(F.count("*").alias("n")).filter(f"n > {CROWD_ROWS}")
+    crowded = staged(crowded.select(*bucket, parts("n").alias("ways")), "crowded")
+    if crowded.isEmpty():
+        return inside.unionByName(asking).withColumn("salt", F.lit(0))
+    asked = asking.join(crowded, bucket).groupBy(*bucket, "ways").agg(F.count("*").alias("n"))
+    grid = staged(asked.select(*bucket, "ways", parts("n").alias("groups")), "grid")
+    ways, groups = F.coalesce("ways", F.lit(1)), F.coalesce("groups", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = inside.join(grid, bucket, "left").withColumn("group", every(groups)).withColumn("way", F.pmod(F.hash("id"), ways))
+    queries = asking.join(grid, bucket, "left").withColumn("way", every(ways)).withColumn("group", F.pmod(F.hash("id"), groups))
+    both = rows.unionByName(queries).withColumn("salt", F.col("group") * ways + F.col("way"))
+    return both.drop("ways", "groups", "way", "group")
+
+
 def nearest(
     vectors: DataFrame,
     asked: str,
@@ -216,17 +248,10 @@ def nearest(
     wanted = packed.filter(asked)
     queries = staged(wanted.groupBy("vec").agg(F.min("vec_id").alias("id")), "queries")
     hashing = CrossPolytope(width, most or 1.0, not most or most - least <= 1e-6 * most, count, tables, seed)
-    buckets = math.prod(2 * p for p in hashing.parts)
-    probes = max(probes, math.ceil(buckets * min(1.0, REACH * k / max(count, 1))))
     inside = staged(_entries(rows, hashing, kind, 0), "rows")
-    asking = _entries(queries, hashing, kind, probes)
-    crowded = inside.groupBy("tab", "bucket").agg(F.count("*").alias("n")).filter(f"n > {CROWD_ROWS}")
-    crowded = staged(crowded.select("tab", "bucket", F.ceil(F.col("n") / CROWD_ROWS).cast("int").alias("ways")), "crowded")
-    ways = F.coalesce("ways", F.lit(1))
-    inside = inside.join(crowded, ["tab", "bucket"], "left").withColumn("salt", F.pmod(F.hash("id"), ways))
-    asking = asking.join(crowded, ["tab", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    asking = _entries(queries, hashing, kind, hashing.probed(k, count, probes))
     place = ["tab", "bucket", "salt"]
-    both = inside.drop("ways").unionByName(asking.drop("ways"))
+    both = _spread(inside, asking)
     stream = both.repartition(*place).sortWithinPartitions(*place, "kind", "id")
     found = _ranked(stream, kind, k + 1).groupBy("query", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")

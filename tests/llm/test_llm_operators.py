@@ -230,6 +230,46 @@ def test_nearest_recall(spark):
     assert hits / 600 >= 0.9
 
 
+@pytest.mark.parametrize("rows", [100_000, 530_000, 10**6, 9 * 10**6, 6 * 10**7])
+def test_recall_holds_as_buckets_grow(rows):
+    """Neighbours planted where the 20 nearest of so many random vectors lie are in a probed bucket."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    hashing = neighbours.CrossPolytope(64, 1.0, True, rows, neighbours.TABLES, neighbours.SEED)
+    many, n = hashing.probed(20, rows), 150
+    grid = np.linspace(-1, 1, 400_001)
+    tail = 1 - np.cumsum((1 - grid**2) ** 30.5) / ((1 - grid**2) ** 30.5).sum()
+    query = unit(rng.standard_normal((n, 64)))
+    found, ranks = 0.0, (1, 7, 14, 20)
+    planted = []
+    for rank in ranks:
+        cosine = grid[np.searchsorted(-tail, -(rank - 0.5) / rows)]
+        side = rng.standard_normal((n, 64))
+        side = unit(side - (side * query).sum(axis=1, keepdims=True) * query)
+        planted.append(cosine * query + np.sqrt(1 - cosine**2) * side)
+    hit = np.zeros((len(ranks), n), bool)
+    for t in range(neighbours.TABLES):
+        probes = hashing.probes(query, t, many)
+        for k, x in enumerate(planted):
+            hit[k] |= (probes == hashing.buckets(x, t)[:, None]).any(axis=1)
+    found = hit.mean()
+    buckets = np.prod([2.0 * p for p in hashing.parts])
+    print(rows, int(buckets), many, round(found, 3), round(1 - (1 - many / buckets) ** neighbours.TABLES, 3))
+    assert found >= 0.9
+
+
+def test_crowded_buckets_are_a_grid(spark, monkeypatch):
+    """Near-equal vectors crowd a few buckets; rows and queries split, results are those of brute force."""
+    monkeypatch.setattr(neighbours, "CROWD_ROWS", 40)
+    monkeypatch.setattr(neighbours, "ASKED_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(k, [1 + float(x) for x in rng.standard_normal(6) * 1e-3]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, "vec_id % 2 = 0", 5)
+    found = [(*r[:3], round(r[3], 9)) for r in rows_of(got, "query_id", "rank", "vec_id", "score")]
+    assert sorted(found) == sorted(exact_nearest(rows, 5, lambda i: i % 2 == 0))
+
+
 def test_hashing_keeps_norms_and_pairs_probe_first():
     hashing = neighbours.CrossPolytope(30, 1.0, True, 10**6, 3, 1)
     x = hashing.lifted(np.random.default_rng(0).standard_normal((20, 30)), True)
