@@ -26,7 +26,43 @@ GRID = 100  # steps of a p-value's logarithm per factor of e; rounded up, so tha
 LEAST_LOG = -690  # smaller ones, below about 1e-300, are one step
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLOCK = 256  # elements of an array that a fold grows at once
 _SPAN = "array<struct<start:int,end:int,text:string>>"
+_GAP = "array<struct<start:int,end:int>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(array: Column) -> Column:
+    """The array in pieces of ``BLOCK`` elements."""
+    count = F.ceil(F.size(array) / BLOCK).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    return F.transform(numbers, lambda k: F.slice(array, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(array: Column, kind: str, step) -> Column:
+    """What ``step(carry, element)`` gives of every element, in order: a struct of the next carry and an array to keep.
+
+    The carry is a number and starts at 0. Results grow within blocks and blocks are put together at the end:
+    growing one array by each element would copy it as often as it has elements.
+    """
+    empty = lambda kind: F.expr(f"CAST(array() AS {kind})")
+
+    def within(carry: Column, block: Column) -> Column:
+        def one(s: Column, x: Column) -> Column:
+            return _bound(step(s["carry"], x), lambda r: F.struct(r["carry"].alias("carry"), F.concat(s["kept"], r["kept"]).alias("kept")))
+
+        return F.aggregate(block, F.struct(carry.alias("carry"), empty(kind).alias("kept")), one)
+
+    def across(s: Column, block: Column) -> Column:
+        put = lambda r: F.struct(r["carry"].alias("carry"), F.concat(s["kept"], F.array(r["kept"])).alias("kept"))
+        return _bound(within(s["carry"], block), put)
+
+    start = F.struct(F.lit(0).alias("carry"), empty(f"array<{kind}>").alias("kept"))
+    return _bound(array, lambda a: F.aggregate(_blocks(a), start, across, lambda s: F.flatten(s["kept"])))
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -35,17 +71,15 @@ def spans(text: Column, pattern: str) -> Column:
     The text between matches and the matches themselves, in turn, add up to the places.
     """
     between, matched = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.expr(f"named_struct('at', 0, 'found', CAST(array() AS {_SPAN}))")
 
-    def step(done: Column, pair: Column) -> Column:
-        first = done["at"] + F.length(pair["b"])
+    def step(at: Column, pair: Column) -> Column:
+        first = at + F.length(pair["b"])
         last = first + F.length(pair["m"])
         one = F.struct(first.alias("start"), last.alias("end"), pair["m"].alias("text"))
-        return F.struct(last.alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
+        return F.struct(last.alias("carry"), F.array(one).alias("kept"))
 
     pairs = F.zip_with(F.slice(between, 1, F.size(matched)), matched, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    found = F.aggregate(pairs, start, step, lambda done: done["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"CAST(array() AS {_SPAN})"))
+    return F.when(text.rlike(pattern), running(pairs, _SPAN, step)).otherwise(F.expr(f"CAST(array() AS {_SPAN})"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -182,19 +216,29 @@ def _limit(band: Column, limits: dict[int, int]) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or union of spans that overlap, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    """The text with every span, or union of spans that overlap, replaced by ``mark``.
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        return F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(fresh, F.concat(s["done"], gap, F.lit(mark))).otherwise(s["done"]).alias("done"),
-        )
+    What stays is cut out of the stretch of text that a block of gaps lies in, so that no cut counts
+    characters from the beginning of a long text.
+    """
+    gap = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def step(at: Column, x: Column) -> Column:
+        kept = F.filter(F.array(gap(at, x["start"])), lambda g: g["end"] >= g["start"])
+        # a span that begins inside the one before has no gap; one that touches it is a mark of its own
+        return F.struct(F.greatest(at, x["end"]).alias("carry"), kept.alias("kept"))
+
+    tail = F.array(gap(F.array_max(F.transform(found, lambda x: x["end"])), F.length(text)))
+    gaps = F.concat(running(found, _GAP, step), tail)
+
+    def cut(block: Column) -> Column:
+        first, last = F.element_at(block, 1)["start"], F.element_at(block, -1)["end"]
+        part = F.struct(first.alias("at"), F.substring(text, first + 1, last - first).alias("text"))
+        pieces = lambda p: F.transform(block, lambda g: F.substring(p["text"], g["start"] - p["at"] + 1, g["end"] - g["start"]))
+        return F.array_join(_bound(part, pieces), mark)
 
-    rest = lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+    masked = _bound(gaps, lambda g: F.array_join(F.transform(_blocks(g), cut), mark))
+    return F.when(F.size(found) > 0, masked).otherwise(text)
 
 
 def digest(found: DataFrame) -> DataFrame:
