@@ -22,6 +22,7 @@ HIDDEN, LONGEST, BATCH, RATE, SEED = 16, 32, 512, 0.01, 5
 # Bounds of the training sample: documents and words of a language, words of a document. Beyond so many
 # languages each has fewer words; none is left out.
 DOCUMENTS, WORDS, WORDS_EACH, LANGUAGES, EPOCHS = 300, 15_000, 100, 200, 4
+BROADCAST_ROWS = 500_000  # names of chosen documents that are sent to every task, at most; each is about 50 bytes
 REMEMBERED = 400_000  # words whose sums a task keeps
 UNDETERMINED = "und"
 
@@ -138,10 +139,13 @@ def training_words(docs: DataFrame) -> list[tuple[str, bytes]]:
     distinct = hashed.groupBy("lang", "_hash").agg(F.min("doc_id").alias("doc_id"))  # copies count once
     # a share by hash that holds some four times what is wanted, so that few rows of a language meet in a task
     number = distinct.groupBy("lang").agg(F.count("*").alias("_n"))
-    words_each = max(1, int(WORDS_EACH * _share(number.count())))
+    languages = number.count()
+    words_each = max(1, int(WORDS_EACH * _share(languages)))
     distinct = distinct.join(F.broadcast(number), "lang").filter(F.pmod("_hash", F.lit(1 << 20)) * F.col("_n") < 4 * DOCUMENTS * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
     chosen = distinct.withColumn("place", rank).filter(f"place <= {DOCUMENTS}").select("lang", "_hash", "doc_id")
+    if languages * DOCUMENTS <= BROADCAST_ROWS:  # then the texts are filtered where they are read
+        chosen = F.broadcast(chosen)
     chosen = hashed.join(chosen, ["lang", "_hash", "doc_id"]).dropDuplicates(["lang", "_hash"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
