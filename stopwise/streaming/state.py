@@ -18,6 +18,8 @@ from stopwise.schemas import DELAY_WEATHER_HOURLY
 from stopwise.sinks import Table, upsert
 from stopwise.sinks.write import discard
 
+CELL_SECONDS = 60  # of the cells in which events meet observations, a part of a slot
+
 
 def roll_up_hours(facts: DataFrame, lateness: str = "2 hours", config: GoldConfig = GoldConfig()) -> DataFrame:
     """The hourly roll-up of a stream of enriched arrivals: one state row per hour and line.
@@ -79,28 +81,58 @@ def nearest_in_streams(
 ) -> DataFrame:
     """Each event of a stream with the nearest observation of another, by the rules of ``nearest_join``.
 
-    Both sides are joined on a slot of time, the events once for every slot in reach, and within an interval
-    that lets the state forget rows; then the nearest is kept per event. An event comes out once, when the
-    watermark of both streams has passed its window, without an observation if there is none. ``keys`` and
-    ``event_ts`` tell events apart; equal ones are one. Columns: ``keys``, ``event_ts``, ``obs_ts`` and the
-    other columns of ``observations``.
+    No pair of event and observation is formed. Observations shrink to one per second and are gathered in sliding
+    windows, one around every slot with an observation in reach: of the slot itself all seconds, of the others the
+    last one before and the first one after it. A window is cut into cells of a minute, each with the seconds that
+    can be nearest in it, at most 62, and an event is joined with the one row of its cell, within an interval that
+    lets the state forget rows. An event comes out once, when the watermark of both streams has passed its window,
+    without an observation if there is none. ``keys`` and ``event_ts`` tell events apart; equal ones are one.
+    Columns: ``keys``, ``event_ts``, ``obs_ts`` and the other columns of ``observations``.
     """
     reach = reach_in_slots(window_minutes, slot_minutes, mode)
-    slot = lambda c: F.floor(F.unix_seconds(c) / (slot_minutes * 60))
-    near = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    cell = lambda c: F.floor(F.unix_seconds(c) / CELL_SECONDS)
+    minutes = lambda n: F.expr(f"INTERVAL {n} MINUTES")
     left = events.select(*keys, F.col(event_ts).alias("__event")).withWatermark("__event", lateness)
-    left = left.withColumn("__near", near).withColumn("__slot", slot(F.col("__event")) + F.col("__near"))
+    left = left.withColumn("__cell", cell(F.col("__event")))
     others = [c for c in observations.columns if c not in (obs_ts, obs_id)]
     right = observations.select(F.col(obs_ts).alias("__obs"), F.col(obs_id).alias("__id"), F.struct(*others).alias("__rest"))
-    right = right.withWatermark("__obs", lateness).withColumn("__place", slot(F.col("__obs")))
-    width = F.expr(f"INTERVAL {(reach + 1) * slot_minutes} MINUTES")
-    apart = F.abs(F.unix_seconds("__event") - F.unix_seconds("__obs"))
-    same = (F.col("__slot") == F.col("__place")) & F.col("__obs").between(F.col("__event") - width, F.col("__event") + width)
-    if mode == "exact":
-        same &= apart <= window_minutes * 60
-    joined = left.join(right, same, "left_outer")
-    found = F.when(F.col("__obs").isNotNull(), F.struct(apart.alias("apart"), "__obs", "__id", "__rest"))
-    best = joined.groupBy(*keys, "__event").agg(F.min(found).alias("best"))
+    seconds = (
+        right.withWatermark("__obs", lateness)
+        .groupBy(F.window("__obs", "1 second").alias("__second"))
+        .agg(F.min(F.struct("__obs", "__id", "__rest")).alias("found"))
+        .select(F.window_time("__second").alias("__at"), "found")
+    )
+    around = F.window("__at", f"{(2 * reach + 1) * slot_minutes} minutes", f"{slot_minutes} minutes")
+    first = F.col("around.start") + minutes(reach * slot_minutes)
+    before, after = F.col("__at") < first, F.col("__at") >= first + minutes(slot_minutes)
+    gathered = (
+        seconds.withColumn("around", around)
+        .groupBy("around")
+        .agg(
+            F.max_by(F.when(before, F.col("found")), F.when(before, F.col("__at"))).alias("before"),
+            F.min_by(F.when(after, F.col("found")), F.when(after, F.col("__at"))).alias("after"),
+            F.collect_list(F.when(~before & ~after, F.col("found"))).alias("within"),
+        )
+    )
+    # in order of time; an entry that is not there is null
+    known = F.concat(F.array("before"), F.sort_array("within"), F.array("after"))
+    numbers = F.sequence(cell(first), cell(first) + slot_minutes * 60 // CELL_SECONDS - 1)
+    cells = gathered.select(F.window_time("around").alias("__piece"), known.alias("known"), F.explode(numbers).alias("__place"))
+    place = lambda o: cell(o["__obs"])
+    earlier = F.filter("known", lambda o: place(o) < F.col("__place"))
+    later = F.filter("known", lambda o: place(o) > F.col("__place"))
+    here = F.filter("known", lambda o: place(o) == F.col("__place"))
+    near = F.concat(F.slice(F.reverse(earlier), 1, 1), here, F.slice(later, 1, 1))
+    cells = cells.select("__piece", "__place", near.alias("__near"))
+    # a window ends ``reach`` slots after the end of its own slot, and its time is just before that
+    timed = F.col("__piece").between(
+        F.col("__event") + minutes(reach * slot_minutes), F.col("__event") + minutes((reach + 1) * slot_minutes)
+    )
+    joined = left.join(cells, (F.col("__cell") == F.col("__place")) & timed, "left_outer")
+    apart = lambda o: F.abs(F.unix_seconds("__event") - F.unix_seconds(o["__obs"]))
+    within = F.filter("__near", lambda o: apart(o) <= window_minutes * 60) if mode == "exact" else F.col("__near")
+    found = F.array_min(F.transform(within, lambda o: F.struct(apart(o).alias("apart"), o["__obs"], o["__id"], o["__rest"])))
+    best = joined.withColumn("__found", found).groupBy(*keys, "__event").agg(F.min("__found").alias("best"))
     return best.select(
         *keys,
         F.col("__event").alias(event_ts),

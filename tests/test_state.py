@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopwise import jobs
+from stopwise.operators import nearest_join
 from stopwise.plans.tables import delay_weather_hourly, live_weather, meteorology_current
 from stopwise.streaming import live as live_module, stream_messages, write_live
 from stopwise.streaming.live import dead_letter_table
@@ -76,6 +77,33 @@ def test_nearest_of_two_streams(spark, tmp_path, mode):
     assert got == {"tie": ("w0", 0), "later": ("w3", 3), "far": far, "none": (None, None)}
 
 
+@pytest.mark.parametrize("mode", ["slot", "exact"])
+def test_streams_meet_in_cells_not_in_pairs(spark, tmp_path, mode):
+    """Many observations a slot, several a second and some borders bare: the rows of ``nearest_join``, one state row an event."""
+    start, beat = 1704067200, 2000000000
+    moments = {  # seconds with a fraction, so that whole seconds repeat
+        "events": spark.range(400).selectExpr("string(id) AS id", f"timestamp_micros(({start} + id * 7919 % 43200) * 1000000 + id) AS at"),
+        "weather": spark.range(900).selectExpr(
+            "concat('w', id) AS obs",
+            f"timestamp_micros(({start} + 3600 * (id % 4) * 3 + id * 613 % 4000 DIV 3 * 3) * 1000000 + id % 3) AS seen", "int(id % 50) AS temp",
+        ),
+    }
+    streams = []
+    for name, rows in moments.items():
+        rows.write.parquet(str(tmp_path / name))
+        last = [F.timestamp_seconds(F.lit(beat)) if kind == "timestamp" else F.lit(None).cast(kind) for _, kind in rows.dtypes]
+        spark.range(1).select(*[c.alias(n) for c, n in zip(last, rows.columns)]).write.mode("append").parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema(rows.schema).parquet(str(tmp_path / name)))
+    found = nearest_in_streams(*streams, "at", "seen", "obs", ["id"], "1 hour", mode=mode)
+    query = write_rows(found, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ONCE)
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where("id IS NOT NULL").select("id", "seen", "obs", "temp").collect()
+    same = nearest_join(moments["events"], moments["weather"], "at", "seen", "obs", ["id"], mode=mode)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, same.select("id", "seen", "obs", "temp").collect()), key=repr)
+    joins = [o for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    assert joins and sum(o["numRowsUpdated"] for o in joins) <= 402
+
+
 @pytest.mark.parametrize("dies_in", ["append", "drop_folded", None])
 def test_fold_takes_every_batch_once(spark, tmp_path, monkeypatch, dies_in):
     database, folder = f"db_{uuid.uuid4().hex}", str(tmp_path)
