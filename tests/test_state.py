@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import streams
 from stopwise import jobs
 from stopwise.operators import nearest_join
 from stopwise.plans.tables import delay_weather_hourly, live_weather, meteorology_current
@@ -47,6 +48,23 @@ def test_late_rows_are_counted_and_left_out(spark, tmp_path):
     assert late_rows(query) == 1
 
 
+def test_quarters_land_by_many_tasks_one_batch_each(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "timestamp_seconds(id) AS ts", "IF(id = 7, NULL, id) AS __part")
+    tasks, batches = [], []
+
+    def start(stream):
+        def note(batch, _):
+            if batch.count():
+                tasks.append(len(batch.select(F.input_file_name()).distinct().collect()))
+                batches.append({r.id % 4 for r in batch.select("id").collect()})
+
+        return stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(**ONCE).foreachBatch(note).start()
+
+    streams._run_landing(rows, str(tmp_path), start, 2)
+    assert batches == [{0}, {0}, {1}, {1}, {2}, {2}, {3}, {3}] and min(tasks) > 1
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 2 * 3999  # a row without a number lands nowhere
+
+
 def test_repeats_within_the_watermark_go(spark, tmp_path):
     schema = "id string, ts timestamp"
     rows = ["('a', '2024-01-01 10:00')", "('b', '2024-01-01 10:10')", "(null, '2024-01-01 10:00')"]
