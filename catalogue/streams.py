@@ -162,6 +162,16 @@ def bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_bronze(spark, sf_dir).select("value", "domain", place.alias("place"))
 
 
+def _landed(df: DataFrame, folder: str, times: int = 1) -> DataFrame:
+    """A stream of files that each hold the events of a quarter of the ids, read one after the other."""
+    quarter = F.pmod(F.col("__part"), F.lit(4))
+    for part in range(4):
+        for _ in range(times):
+            df.where(quarter == part).drop("__part").coalesce(1).write.mode("append").parquet(folder)
+    spark, schema = df.sparkSession, df.drop("__part").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
 def _in_quarters(df: DataFrame, folder: str) -> list[DataFrame]:
     """The rows of each quarter of the ids in ``__part``, computed once and by many tasks."""
     quarter = F.pmod(F.col("__part"), F.lit(4)).cast("int")
@@ -171,14 +181,13 @@ def _in_quarters(df: DataFrame, folder: str) -> list[DataFrame]:
     return [rows.where(F.col("__part") == part).drop("__part") for part in range(4)]
 
 
-def _run_landing(df: DataFrame, folder: str, start: Callable[[DataFrame], StreamingQuery], times: int = 1) -> None:
-    """A stream that gets a quarter of the rows in each micro-batch, ``times`` times over: a quarter lands, in as many
-    files as it takes, and the query is started on it and ends."""
+def _run_landing(df: DataFrame, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """A stream that gets a quarter of the rows in each micro-batch: a quarter lands, in as many files as it takes,
+    and the query is started on it and ends."""
     spark, quarters = df.sparkSession, _in_quarters(df, folder)
     for rows in quarters:
-        for _ in range(times):
-            rows.write.mode("append").parquet(f"{folder}/in")
-            start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).awaitTermination()
+        rows.write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).awaitTermination()
 
 
 @query(HOURLY_SQL)
@@ -197,16 +206,12 @@ def stream_hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, epoch_us(ts) AS ts_us, event_type, round(value, 2) AS value FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row comes three times."""
+    """Every file comes three times."""
     folder = new_folder(spark, "repeated")
     rows = events(spark, sf_dir).select("event_id", "ts", "event_type", "value", F.col("event_id").alias("__part"))
-
-    def start(stream: DataFrame) -> StreamingQuery:
-        found = deduplicated(stream, ["event_id"], "ts", "60 days")
-        return write_rows(found, f"{folder}/out", f"{folder}/checkpoint", _ONCE)
-
-    _run_landing(rows, folder, start, 3)
-    out = spark.read.schema(rows.drop("__part").schema).parquet(f"{folder}/out")
+    found = deduplicated(_landed(rows, f"{folder}/in", 3), ["event_id"], "ts", "60 days")
+    write_rows(found, f"{folder}/out", f"{folder}/checkpoint", _ONCE).awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/out")
     return out.select("event_id", F.unix_micros("ts").alias("ts_us"), "event_type", F.round("value", 2).alias("value"))
 
 

@@ -60,9 +60,9 @@ def test_quarters_land_by_many_tasks_one_batch_each(spark, tmp_path):
 
         return stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(**ONCE).foreachBatch(note).start()
 
-    streams._run_landing(rows, str(tmp_path), start, 2)
-    assert batches == [{0}, {0}, {1}, {1}, {2}, {2}, {3}, {3}] and min(tasks) > 1
-    assert spark.read.parquet(str(tmp_path / "in")).count() == 2 * 3999  # a row without a number lands nowhere
+    streams._run_landing(rows, str(tmp_path), start)
+    assert batches == [{0}, {1}, {2}, {3}] and min(tasks) > 1
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 3999  # a row without a number lands nowhere
 
 
 def test_repeats_within_the_watermark_go(spark, tmp_path):
