@@ -36,13 +36,14 @@ def _one_per_second(observations: DataFrame, obs_ts: str, obs_id: str, slot_minu
 
 
 def _measure(observations: DataFrame, obs_ts: str, slot_minutes: int) -> Row:
-    """Bounds from one job: seconds with an observation, slots, widest row."""
+    """From one job: seconds with an observation, slots, widest row."""
     width = sum((field_bytes(f) for f in observations.schema.fields), F.lit(0))
-    seconds = F.least(F.count("*"), F.lit(slot_minutes * 60))
     return (
         observations.where(F.col(obs_ts).isNotNull())
-        .groupBy(slot_number(F.col(obs_ts), slot_minutes))
-        .agg(seconds.alias("n"), F.max(width).alias("width"))
+        .groupBy(F.unix_seconds(F.col(obs_ts)).alias("sec"))
+        .agg(F.max(width).alias("width"))
+        .groupBy(F.floor(F.col("sec") / (slot_minutes * 60)))
+        .agg(F.count("*").alias("n"), F.max("width").alias("width"))
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.count("*").alias("slots"),

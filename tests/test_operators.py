@@ -21,6 +21,7 @@ from stopwise.operators import (
     union_with_missing,
     unpivot_groups,
 )
+from stopwise.operators import nearest
 from stopwise.operators.headers import normalized
 
 
@@ -244,3 +245,9 @@ def test_salted_join_splits_hot_keys(spark):
     for threshold in (10, 1_000):
         got = salted_left_join(left, right, ["k"], ["id"], rows_per_task=threshold)
         assert rows(got, "id", "k", "v") == rows(left.join(right, "k", "left"), "id", "k", "v")
+
+
+def test_observations_of_one_second_are_measured_as_one(spark):
+    many = spark.range(500).selectExpr("string(id) AS obs", "timestamp_micros(1704067200000000 + id) AS seen")
+    size = nearest._measure(many, "seen", 30)
+    assert (size["rows"], size["slots"]) == (1, 1)
