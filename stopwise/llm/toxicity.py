@@ -11,6 +11,7 @@ positive, and goes on with the window that scores highest in each and the worst
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,10 +154,10 @@ class WindowNetwork:
         return grads
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], DataFrame]:
     """A bounded sample of labelled rows outside the held-out fifth: by hash of the text, so many of each label.
 
-    Rows with a null label, id or text are left out.
+    The label of every chosen id, and ``(doc_id, text)`` of the rows. Rows with a null label, id or text are left out.
     """
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = marked.agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -172,10 +173,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     most = F.when(F.col("toxic") == 1, TOXIC).otherwise(CLEAN)
     chosen = hashed.withColumn("rank", rank).filter(f"rank <= {max(TOXIC, CLEAN)}").filter(F.col("rank") <= most)
     ids = {r["doc_id"]: r["toxic"] for r in chosen.select("doc_id", "toxic").collect()}
-    if not ids:
-        return []
-    picked = known.filter(F.col("doc_id").isin(list(ids)))
-    return sorted((ids[r["doc_id"]], r["text"]) for r in picked.collect())
+    return ids, known.filter(F.col("doc_id").isin(list(ids)))
 
 
 def likelihood_ratio(bad: np.ndarray, n: np.ndarray, toxic: int, documents: int) -> np.ndarray:
@@ -348,4 +346,16 @@ def score_toxicity(docs: DataFrame, network: WindowNetwork | None, column: str =
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> WindowNetwork | None:
-    return train(training_texts(docs, labels))
+    """Trained in one task on the sample, of which neither texts nor arrays come to the driver."""
+    ids, picked = training_rows(docs, labels)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
+        network = train(sorted((ids[doc_id], text) for batch in rows for doc_id, text in batch))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
+
+    if len(set(ids.values())) < 2:
+        return None
+    # coalesced after a shuffle: the filter still runs in many tasks
+    found = picked.repartition(8).coalesce(1).mapInArrow(fit, "network binary").collect()
+    return pickle.loads(found[0]["network"])

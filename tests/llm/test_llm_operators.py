@@ -4,6 +4,7 @@ tables and extra columns of clashing names."""
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import brute
@@ -529,3 +530,12 @@ def test_windows_cover_every_word():
         doc, window = tokens.windows()
         seen = set(window[doc == 0].reshape(-1).tolist()) - {-1}
         assert seen == set(tokens.of[: n].tolist()) and (doc == 1).sum() == 1
+
+
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda sample: (os.getpid(), sample))
+    where, sample = toxicity.learn(docs, labels)
+    assert where != os.getpid()
+    assert sample == sorted(sample) and 0 < len(sample) < 40 and all(t == int(x.split()[1]) % 2 for t, x in sample)
