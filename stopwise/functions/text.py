@@ -38,7 +38,8 @@ def strict_int(text: Column) -> Column:
 
 def json_int(text: Column) -> Column:
     """Integer from a JSON scalar kept as text, quoted or not; signs allowed, fractions are null."""
-    return text.try_cast("int")
+    # A point makes every such cast fail, and a failing cast raises and catches an error.
+    return F.when(~text.contains("."), text.try_cast("int"))
 
 
 def bool_text(text: Column) -> Column:

@@ -49,14 +49,18 @@ def _json_string(token: Column) -> Column:
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
     plain = F.regexp_replace(inner, _ESCAPED + "'", "$1'")
     hexed = F.regexp_replace(plain, _ESCAPED + "x([0-9a-fA-F]{2})", r"$1\\u00$2")
-    quoted = F.when(token.startswith("'"), F.regexp_replace(hexed, r'(?<!\\)((?:\\\\)*+)"', r'$1\\"')).otherwise(hexed)
-    return F.concat(F.lit('"'), quoted, F.lit('"'))
+    single = token.startswith("'")
+    quoted = F.when(single, F.regexp_replace(hexed, r'(?<!\\)((?:\\\\)*+)"', r'$1\\"')).otherwise(hexed)
+    special = token.contains("\\") | (single & token.contains('"'))  # the others need no rewriting
+    return F.concat(F.lit('"'), F.when(special, quoted).otherwise(inner), F.lit('"'))
 
 
 def _json_bare(token: Column) -> Column:
+    json = token
     for literal, value in (("None", "null"), ("True", "true"), ("False", "false")):
-        token = F.regexp_replace(token, rf"\b{literal}\b", value)
-    return F.regexp_replace(token, r",(\s*[\]}])", "$1")
+        json = F.regexp_replace(json, rf"\b{literal}\b", value)
+    json = F.regexp_replace(json, r",(\s*[\]}])", "$1")
+    return F.when(token.rlike(r"None|True|False|,\s*[\]}]"), json).otherwise(token)
 
 
 def literal_to_json(text: Column) -> Column:
@@ -81,14 +85,17 @@ def parse_json_array(
     """
     array = f"array<{items}>"
     text = F.col(f"`{column}`")
-    first = f"__{into}_json"
-    parsed = df.withColumn(first, F.from_json(text, array))
+    first, rewritten = f"__{into}_json", f"__{into}_rewritten"
+    # The parser costs some microseconds a cell whatever the cell holds, so it is called no more than needed.
+    parsed = df.withColumn(first, F.when(text == "[]", F.array().cast(array)).otherwise(F.from_json(text, array)))
     result = F.col(first)
     if repair_literals:
-        result = F.coalesce(result, F.from_json(F.when(result.isNull(), literal_to_json(text)), array))
+        parsed = parsed.withColumn(rewritten, F.when(result.isNull(), literal_to_json(text)))
+        # Text that comes out as it was is not parsed again.
+        result = F.coalesce(result, F.from_json(F.when(F.col(rewritten) != text, F.col(rewritten)), array))
     return parsed.withColumns(
         {into: result, f"{into}_bad": text.isNotNull() & result.isNull()}
-    ).drop(first)
+    ).drop(first, rewritten)
 
 
 def quality_counts(df: DataFrame) -> DataFrame:

@@ -42,8 +42,9 @@ def predictions(parsed: DataFrame, keep_empty: bool = True, null_safe_key: bool
     With ``keep_empty`` a poll without arrivals leaves one row of nulls, which later counts.
     """
     fields = declared("bus", ARRIVE_FIELDS, own={"line": "line", "stop_id": "stopid"})
-    rows = each(parsed, "arrive_json", "bus", keep_empty).select("event_ts", *named(fields))
-    key = [utc_text(F.col("event_ts")), *(F.col(c) for c in ("stop_id", "line", "bus", "estimate_arrive_sec"))]
+    polls = parsed.withColumn("__at", utc_text(F.col("event_ts")))  # once a poll, not once an item
+    rows = each(polls, "arrive_json", "bus", keep_empty).select("event_ts", "__at", *named(fields))
+    key = [F.col(c) for c in ("__at", "stop_id", "line", "bus", "estimate_arrive_sec")]
     return rows.withColumns(
         {"id": hash_key(key, null_safe_key), "ingest_ts": F.current_timestamp()}
     ).select(*ARRIVALS_PREDICTIONS)
