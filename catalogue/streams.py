@@ -256,4 +256,4 @@ def live_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold_live(spark, folder, database, folder, database)
     left = spark.table(good.name).agg(F.count("*").alias("live_rows"))
     observed = spark.table(meteorology_current(folder, database).name)
-    return observed.select(F.unix_seconds("obs_ts").alias("obs_sec")).join(F.broadcast(left))
+    return observed.select(F.unix_seconds("obs_ts").alias("obs_sec"), left.scalar().alias("live_rows"))

@@ -73,8 +73,11 @@ def compact(
     url = F.url_decode(F.regexp_replace(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")), f"(/{WRITE}=[0-9]+)?/[^/]*$", ""))
     folder = F.array_join(F.slice(F.split(url, "/"), -levels, levels), "/") if levels else F.lit("")
     placed = rows.select(*table.columns, *table.partition_names, folder.alias("__at"))
-    placed = placed.join(F.broadcast(sizes), F.col("__at") == F.col("__folder"))
     spread, total = F.xxhash64(*table.columns), sum(files.values())
+    if levels:
+        placed = placed.join(F.broadcast(sizes), F.col("__at") == F.col("__folder"))
+    else:  # one folder: its number of files is a constant
+        placed = placed.withColumns({"__first": F.lit(0), "__files": F.lit(total)})
     if cluster_by:
         ranged = placed.repartitionByRange(total, "__first", *cluster_by, spread)
         keyed = ranged.sortWithinPartitions(*table.partition_names, *cluster_by)
